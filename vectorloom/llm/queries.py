@@ -1,0 +1,43 @@
+"""Queries of the operators in this subpackage, and the DuckDB SQL that some are checked against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vectorloom.llm import lines, quality
+from vectorloom.llm.common import table
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
+}
+
+ORACLES = {
+    "op6_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, i, x,
+                   translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS i
+                  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+        f AS (
+            SELECT k, max(doc_id) AS owner FROM l WHERE length(k) >= 20
+            GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+        SELECT doc_id, count(*) AS n_lines,
+               count(*) FILTER (WHERE owner IS NOT NULL AND doc_id <> owner) AS n_dropped,
+               sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE owner IS NULL OR doc_id = owner), '')) AS kept_sha256
+        FROM l LEFT JOIN f ON l.k = f.k
+        GROUP BY doc_id
+    """,
+}
