@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import bpe, langid, lines, packing, quality
-from vectorloom.llm.common import table
+from vectorloom.llm import bpe, chat, compaction, langid, lines, packing, quality
+from vectorloom.llm.common import materialise, shared_dir, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,11 +26,34 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+#: Both rows of conversation -1 say this.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    messages = materialise(chat.messages_of(turns.unionByName(added)), "messages")
+    return chat.digests(chat.format_paths(messages))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader of the last version finds after four arrivals and the merges that they cause."""
+    store = compaction.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    found = compaction.ingest(table(spark, sf_dir, "documents"), store, "doc_id", arrivals=4, tiers=compaction.Tiers())
+    return found.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return found.select(
@@ -47,12 +72,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op5_reply_trees": op5_reply_trees,
     "op6_line_dedup": op6_line_dedup,
+    "op8_size_tiered_compaction": op8_size_tiered_compaction,
     "op9_bpe_segment_tree": op9_bpe_segment_tree,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
+    "op5_reply_trees": """
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (
+            SELECT *, length(role || text) AS n,
+                   length(role || text) - length(replace(role || text, '&', '')) AS amps,
+                   length(role || text) - length(replace(role || text, '<', '')) AS lts,
+                   length(role || text) - length(replace(replace(role || text, '[', ''), ']', '')) AS brackets
+            FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(n + 4 * amps + 3 * lts + 4 * brackets + 11)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op6_line_dedup": """
         WITH l AS (
             SELECT doc_id, i, x,
@@ -69,4 +114,7 @@ ORACLES = {
         FROM l LEFT JOIN f ON l.k = f.k
         GROUP BY doc_id
     """,
+    "op8_size_tiered_compaction": """
+        SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+    """,
 }
