@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import bpe, chat, compaction, langid, lines, packing, quality
+from vectorloom.llm import ann, bpe, chat, compaction, langid, lines, packing, quality
 from vectorloom.llm.common import materialise, shared_dir, table
 
 
@@ -47,6 +47,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.valid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op8_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader of the last version finds after four arrivals and the merges that they cause."""
     store = compaction.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
@@ -74,6 +79,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_reply_trees": op5_reply_trees,
     "op6_line_dedup": op6_line_dedup,
+    "op7_anisotropic_search": op7_anisotropic_search,
     "op8_size_tiered_compaction": op8_size_tiered_compaction,
     "op9_bpe_segment_tree": op9_bpe_segment_tree,
     "op10_language_id": op10_language_id,
