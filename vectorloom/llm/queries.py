@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import ann, bpe, chat, compaction, langid, lines, minhash, packing, quality
+from vectorloom.llm import ann, bpe, chat, compaction, langid, lines, minhash, packing, quality, suffix
 from vectorloom.llm.common import materialise, shared_dir, table
 
 
@@ -26,6 +26,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.removed(suffix.spans(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Rules(words=3, percent=85, bands=30, rows=5))
 
@@ -81,6 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_super_minhash": op4_super_minhash,
     "op5_reply_trees": op5_reply_trees,
     "op6_line_dedup": op6_line_dedup,
