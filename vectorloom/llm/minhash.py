@@ -39,7 +39,7 @@ class Rules:
     bands: int = 40
     rows: int = 4
     #: Hubs of a bucket by the end of each round; the last stands for all.
-    hubs: tuple[int, ...] = (1, 8, 64, 512, 4096)
+    hubs: tuple[int, ...] = (1, 16, 256)
     broadcast_rows: int = 200_000
 
     @property
@@ -231,58 +231,77 @@ def linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * shared >= percent * (a + b - shared)
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """node, n_own: how many shingles of each class no other class of ``sets`` holds."""
+    return (
+        sets.select("node", F.explode("shingles").alias("x"))
+        .groupBy("x")
+        .agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node"))
+        .where("holders = 1")
+        .groupBy("node")
+        .agg(F.count(F.lit(1)).alias("n_own"))
+    )
+
+
 def find_links(classes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
-    """node, component of the classes that are linked with another one."""
-    spark = docs.sparkSession
+    """node, component of the classes that share a band with another one.
+
+    An intersection can't be larger than the shingles of either class that any other class holds. So classes with
+    few shingles of their own make the best hubs, like the text that a group of near copies comes from; and
+    pairs that this bound rules out need no comparison, like those of copies too far from it.
+    """
     banded = classes.where("n_shingles > 0").select("node", F.explode("bands").alias("key"))
     shared = materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
     buckets = materialise(banded.join(small(shared, rules.broadcast_rows), "key"), "buckets")
     inside = materialise(buckets.select("node").distinct().join(classes.select("node", "set_id", "n_shingles", "doc_id"), "node"), "inside")
-    reps = inside.select(F.col("doc_id").alias("_rep")).distinct()
-    chosen = docs.join(small(materialise(reps, "reps"), rules.broadcast_rows), docs["doc_id"].eqNullSafe(F.col("_rep")), "left_semi")
-    sets = materialise(full_sets(chosen, rules).join(inside.select("set_id", "node", "n_shingles"), "set_id").dropDuplicates(["node"]).select("node", "n_shingles", "shingles"), "sets")
-    labels = spark.createDataFrame([], "node long, component long")
-    links = None
+    reps = materialise(inside.select(F.col("doc_id").alias("_rep")).distinct(), "reps")
+    chosen = docs.join(small(reps, rules.broadcast_rows), docs["doc_id"].eqNullSafe(F.col("_rep")), "left_semi")
+    sets = materialise(full_sets(chosen, rules).join(inside.select("set_id", "node"), "set_id").dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    bounds = inside.select("node", "n_shingles").join(own_shingles(sets), "node", "left")
+    bounds = materialise(bounds.select("node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).alias("m")), "bounds")
+    # a class of which too little is shared has no link at all
+    able = bounds.where(100 * F.col("m") >= rules.percent * F.col("n"))
+    active = materialise(buckets.join(small(materialise(able, "able"), rules.broadcast_rows), "node").select("key", "size", "node", "n", "m"), "active")
+    labels = links = None
     before = 0
     for hubs in [*rules.hubs, None]:
-        named = buckets.join(labels, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("component")) if links is not None else buckets.select("key", "size", "node", F.col("node").alias("component"))
-        active = named.where(F.col("size") > max(1, before))
-        if links is not None:
-            mixed = active.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-            active = active.join(mixed, "key", "left_semi")
-        active = materialise(active, "active")
-        if active.isEmpty():
-            break
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-        ranked = active.withColumn("_at", F.row_number().over(order))
+        if labels is not None:
+            named = active.where(F.col("size") > before).join(small(labels, rules.broadcast_rows), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = named.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
+            named = materialise(named.join(mixed, "key", "left_semi"), "named")
+            if named.isEmpty():
+                break
+        else:
+            named = active.withColumn("component", F.col("node"))
+        order = Window.partitionBy("key").orderBy(F.desc(F.col("m") / F.col("n")), F.xxhash64("node"), "node")
+        ranked = named.withColumn("_at", F.row_number().over(order))
         heads = (ranked.where(F.col("_at") <= hubs) if hubs else ranked).where(F.col("_at") > before)
-        heads = heads.select("key", F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-        pairs = (
-            active.join(heads, "key")
-            .where("component <> hub_component")
-            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-            .distinct()
+        heads = heads.select("key", F.col("node").alias("h"), F.col("component").alias("hc"), F.col("n").alias("hn"), F.col("m").alias("hm"))
+        possible = (
+            (named["key"] == heads["key"])
+            & (F.col("component") != F.col("hc"))
+            & ((100 + rules.percent) * F.least("m", "hm") >= rules.percent * (F.col("n") + F.col("hn")))
+            & (100 * F.least("n", "hn") >= rules.percent * F.greatest("n", "hn"))
         )
-        pairs = materialise(pairs, "pairs")
-        found = confirm(pairs, sets, rules)
-        links = found if links is None else links.unionByName(found)
-        links = materialise(links, "links")
-        labels = materialise(components(links), "labels")
+        first = F.col("node") < F.col("h")
+        pairs = named.join(heads, possible).select(
+            F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"),
+            F.when(first, F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(first, F.col("hn")).otherwise(F.col("n")).alias("nb"),
+        )
+        pairs = materialise(pairs.distinct(), "pairs")
+        if not pairs.isEmpty():
+            found = materialise(confirm(pairs, sets, rules), "links")
+            links = found if links is None else links.unionByName(found)
+            labels = materialise(components(links), "labels")
         before = hubs or 0
-        if hubs is None:
-            break
-    return labels
+    return labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
-    """u, v of the pairs that are links, by the intersection of their full sets; sizes too far apart need none."""
-    sizes = sets.select("node", "n_shingles")
-    near = (
-        pairs.join(sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na")), "a")
-        .join(sizes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb")), "b")
-        .where(100 * F.least("na", "nb") >= rules.percent * F.greatest("na", "nb"))
-    )
-    whole = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    """u, v of the pairs (a, b, na, nb) that are links, by the intersection of their full sets."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    whole = one.join(small(pairs, rules.broadcast_rows), "a").join(other, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return whole.where(linked(shared, F.col("na"), F.col("nb"), rules.percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
