@@ -39,7 +39,7 @@ class Rules:
     bands: int = 40
     rows: int = 4
     #: Hubs of a bucket by the end of each round; the last stands for all.
-    hubs: tuple[int, ...] = (1, 16, 256)
+    hubs: tuple[int, ...] = (1, 32)
     broadcast_rows: int = 200_000
 
     @property
@@ -248,7 +248,9 @@ def find_links(classes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
 
     An intersection can't be larger than the shingles of either class that any other class holds. So classes with
     few shingles of their own make the best hubs, like the text that a group of near copies comes from; and
-    pairs that this bound rules out need no comparison, like those of copies too far from it.
+    pairs that this bound rules out need no comparison, like those of copies too far from it. Of copies of the
+    same hub it is known which of its shingles each lacks, in 128 groups: two copies share no more than the
+    hub's shingles without those that either lacks, and the smaller number of their others.
     """
     banded = classes.where("n_shingles > 0").select("node", F.explode("bands").alias("key"))
     shared = materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
@@ -258,52 +260,77 @@ def find_links(classes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
     chosen = docs.join(small(reps, rules.broadcast_rows), docs["doc_id"].eqNullSafe(F.col("_rep")), "left_semi")
     sets = materialise(full_sets(chosen, rules).join(inside.select("set_id", "node"), "set_id").dropDuplicates(["node"]).select("node", "shingles"), "sets")
     bounds = inside.select("node", "n_shingles").join(own_shingles(sets), "node", "left")
-    bounds = materialise(bounds.select("node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).alias("m")), "bounds")
+    bounds = bounds.select("node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).alias("m"))
     # a class of which too little is shared has no link at all
-    able = bounds.where(100 * F.col("m") >= rules.percent * F.col("n"))
-    active = materialise(buckets.join(small(materialise(able, "able"), rules.broadcast_rows), "node").select("key", "size", "node", "n", "m"), "active")
-    labels = links = None
+    able = materialise(bounds.where(100 * F.col("m") >= rules.percent * F.col("n")), "able")
+    active = materialise(buckets.join(small(able, rules.broadcast_rows), "node").select("key", "size", "node", "n", "m"), "active")
+    labels = links = hubs_of = None
     before = 0
     for hubs in [*rules.hubs, None]:
+        named = active.where(F.col("size") > before)
         if labels is not None:
-            named = active.where(F.col("size") > before).join(small(labels, rules.broadcast_rows), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            named = named.join(small(labels, rules.broadcast_rows), "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed = named.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
-            named = materialise(named.join(mixed, "key", "left_semi"), "named")
+            named = named.join(mixed, "key", "left_semi").join(small(hubs_of, rules.broadcast_rows), "node", "left")
+            named = materialise(named, "named")
             if named.isEmpty():
                 break
         else:
-            named = active.withColumn("component", F.col("node"))
+            named = named.select("*", F.col("node").alias("component"), *[F.lit(None).cast(t).alias(c) for c, t in HUB_COLUMNS])
         order = Window.partitionBy("key").orderBy(F.desc(F.col("m") / F.col("n")), F.xxhash64("node"), "node")
         ranked = named.withColumn("_at", F.row_number().over(order))
         heads = (ranked.where(F.col("_at") <= hubs) if hubs else ranked).where(F.col("_at") > before)
-        heads = heads.select("key", F.col("node").alias("h"), F.col("component").alias("hc"), F.col("n").alias("hn"), F.col("m").alias("hm"))
+        heads = heads.select("key", *[F.col(c).alias(f"h_{c}") for c in ("node", "component", "n", "m", *[c for c, _ in HUB_COLUMNS])])
+        most = F.least("m", "h_m")
+        lacking = F.bit_count(F.col("lacks0").bitwiseOR(F.col("h_lacks0"))) + F.bit_count(F.col("lacks1").bitwiseOR(F.col("h_lacks1")))
+        most = F.when(F.col("hub") == F.col("h_hub"), F.least(most, F.col("hub_n") - lacking + F.least("others", "h_others"))).otherwise(most)
         possible = (
             (named["key"] == heads["key"])
-            & (F.col("component") != F.col("hc"))
-            & ((100 + rules.percent) * F.least("m", "hm") >= rules.percent * (F.col("n") + F.col("hn")))
-            & (100 * F.least("n", "hn") >= rules.percent * F.greatest("n", "hn"))
-        )
-        first = F.col("node") < F.col("h")
-        pairs = named.join(heads, possible).select(
-            F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"),
-            F.when(first, F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(first, F.col("hn")).otherwise(F.col("n")).alias("nb"),
+            & (F.col("component") != F.col("h_component"))
+            & ((100 + rules.percent) * most >= rules.percent * (F.col("n") + F.col("h_n")))
+            & (100 * F.least("n", "h_n") >= rules.percent * F.greatest("n", "h_n"))
         )
+        pairs = named.join(heads, possible).select(F.col("node").alias("a"), "n", F.col("h_node").alias("b"), "h_n", (F.col("h_m") / F.col("h_n")).alias("rate"))
         pairs = materialise(pairs.distinct(), "pairs")
         if not pairs.isEmpty():
-            found = materialise(confirm(pairs, sets, rules), "links")
+            compared = materialise(compare(pairs, sets, rules), "compared")
+            if hubs_of is None:
+                hubs_of = materialise(_nearest_hubs(pairs, compared), "hubs")
+            found = compared.where(linked(F.col("shared"), F.col("n"), F.col("h_n"), rules.percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
             links = found if links is None else links.unionByName(found)
             labels = materialise(components(links), "labels")
         before = hubs or 0
+        if labels is None:
+            labels, hubs_of = (docs.sparkSession.createDataFrame([], x) for x in ("node long, component long", "node long, " + ", ".join(f"{c} {t}" for c, t in HUB_COLUMNS)))
     return labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
-    """u, v of the pairs (a, b, na, nb) that are links, by the intersection of their full sets."""
+def _nearest_hubs(pairs: DataFrame, compared: DataFrame) -> DataFrame:
+    """What the comparisons tell of each class by the best hub that it was compared with; of a hub, by itself."""
+    zero = F.lit(0).cast("long")
+    itself = pairs.select(F.col("b").alias("a"), F.col("h_n").alias("n"), "b", "h_n", "rate", F.col("h_n").alias("shared"), zero.alias("lacks0"), zero.alias("lacks1")).distinct()
+    told = F.struct((-F.col("rate")).alias("_r"), F.col("b").alias("hub"), F.col("h_n").alias("hub_n"), (F.col("n") - F.col("shared")).alias("others"), "lacks0", "lacks1")
+    known = compared.select(*itself.columns).unionByName(itself).groupBy(F.col("a").alias("node")).agg(F.min(told).alias("_best"))
+    return known.select("node", *[F.col("_best")[c].cast(t).alias(c) for c, t in HUB_COLUMNS])
+
+
+#: What is known of a class by a hub that it was compared with.
+HUB_COLUMNS = (("hub", "long"), ("hub_n", "long"), ("others", "long"), ("lacks0", "long"), ("lacks1", "long"))
+
+
+def compare(pairs: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
+    """``pairs`` (a, b, ...) with shared, and lacks0 and lacks1: a bit for each of 128 groups of which a lacks a shingle of b."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     whole = one.join(small(pairs, rules.broadcast_rows), "a").join(other, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return whole.where(linked(shared, F.col("na"), F.col("nb"), rules.percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    def bits(half: int) -> Column:
+        group = lambda x: F.pmod(x, F.lit(128)) - 64 * half
+        bit = lambda x: F.when(group(x).between(0, 63), F.call_function("shiftleft", F.lit(1).cast("long"), group(x).cast("int"))).otherwise(F.lit(0).cast("long"))
+        return F.aggregate("_lost", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(bit(x)))
+
+    lost = whole.select(*pairs.columns, F.array_except("sb", "sa").alias("_lost"))
+    return lost.select(*pairs.columns, (F.col("h_n") - F.size("_lost")).alias("shared"), bits(0).alias("lacks0"), bits(1).alias("lacks1"))
 
 
 def near_duplicates(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
