@@ -9,6 +9,7 @@ weighted norm of what is left or by the weighted dot product of residual and dem
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -73,6 +74,10 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> np.ndarray:
     return out
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokens:
     """Ids of texts from a tokenizer that drops white space, so that each run between blanks stands alone."""
 
@@ -84,16 +89,37 @@ class WordTokens:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.ends = {"": b""} | self.fresh([".", ","])
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of new words; letters of Latin-1 before a full stop or comma are a token run of their own, whatever their case."""
+        if len(self.stems) > CACHED:
+            self.stems.clear()
+        plain, rest = [], []
+        for x in words:
+            body, end = (x[:-1], x[-1]) if x[-1:] in self.ends else (x, "")
+            if body.isalpha() and max(body) < "\u0100":
+                plain.append((x, body.lower(), end))
+            else:
+                rest.append(x)
+        self.known |= self.fresh(rest)
+        self.stems |= self.fresh(list({s for _, s, _ in plain} - self.stems.keys()))
+        self.known |= {x: self.stems[s] + self.ends[end] for x, s, end in plain}
+
+    def fresh(self, words: list[str]) -> dict[str, bytes]:
+        found = {}
+        for k in range(0, len(words), 1 << 15):
+            part = words[k : k + (1 << 15)]
+            ids = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            found |= {x: pack_ids(e.ids) for x, e in zip(part, ids, strict=True)}
+        return found
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > CACHED:
             self.known.clear()
-        new = list({x for words in split for x in words} - self.known.keys())
-        for k in range(0, len(new), 1 << 15):
-            part = new[k : k + (1 << 15)]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known |= {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(part, found, strict=True)}
+        self.learn(set().union(*split) - self.known.keys())
         get = self.known.__getitem__
         for words in split:
             yield b"".join(map(get, words))
