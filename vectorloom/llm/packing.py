@@ -98,7 +98,7 @@ class WordTokens:
             self.stems.clear()
         plain, rest = [], []
         for x in words:
-            body, end = (x[:-1], x[-1]) if x[-1:] in self.ends else (x, "")
+            body, end = (x[:-1], x[-1]) if x[-1:] in (".", ",") else (x, "")
             if body.isalpha() and max(body) < "\u0100":
                 plain.append((x, body.lower(), end))
             else:
