@@ -19,3 +19,8 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
     QUERIES[name] = query
     if oracle is not None:
         ORACLES[name] = oracle
+
+
+def load_all() -> None:
+    """Imports the modules that register queries."""
+    from vectorloom.plans import data, losses, retrieval  # noqa: F401
