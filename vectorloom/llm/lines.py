@@ -71,7 +71,8 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadcas
 
     A null or empty text is one empty line. Rows are documents: each row of a repeated doc_id is counted, and
     every row of the largest doc_id keeps the line. A null doc_id counts as a document and is less than any
-    other. A text of which all lines go becomes empty. Other columns stay as they are.
+    other. A text of which all lines go becomes empty. Other columns stay as they are, but for
+    such as are named like the three that are added, which these replace.
 
     Frequent lines are broadcast if there are at most ``broadcast_rows`` of them (24 bytes each); beyond that
     they are joined by a shuffle of fixed-size rows, whose hot keys the adaptive planner can split.
@@ -92,10 +93,11 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadcas
         docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_hash"]),
         "left",
     )
+    made = ("n_lines", "n_dropped", "kept_text")
     return found.select(
-        *[docs[c] for c in docs.columns],
+        *[docs[f"`{c}`"] for c in docs.columns if c not in made],
         F.size(_split(docs["text"])).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(gone["_gone"]), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(gone["_gone"].isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(_rest(docs["text"], gone["_gone"])).alias("kept_text"),
     )
 

@@ -257,7 +257,8 @@ def find_links(classes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
     buckets = materialise(banded.join(small(shared, rules.broadcast_rows), "key"), "buckets")
     inside = materialise(buckets.select("node").distinct().join(classes.select("node", "set_id", "n_shingles", "doc_id"), "node"), "inside")
     reps = materialise(inside.select(F.col("doc_id").alias("_rep")).distinct(), "reps")
-    chosen = docs.join(small(reps, rules.broadcast_rows), docs["doc_id"].eqNullSafe(F.col("_rep")), "left_semi")
+    bare = own_columns(docs, "doc_id", "text")
+    chosen = bare.join(small(reps, rules.broadcast_rows), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     sets = materialise(full_sets(chosen, rules).join(inside.select("set_id", "node"), "set_id").dropDuplicates(["node"]).select("node", "shingles"), "sets")
     bounds = inside.select("node", "n_shingles").join(own_shingles(sets), "node", "left")
     bounds = bounds.select("node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).alias("m"))
@@ -356,4 +357,4 @@ def near_duplicates(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def keep_first(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; rows of a doc_id go or stay together."""
     kept = near_duplicates(docs, rules).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

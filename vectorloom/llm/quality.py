@@ -97,7 +97,7 @@ def _members(words: Column, group: tuple[str, ...]) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of each document; a null text counts as an empty one."""
+    """doc_id, text_hash and the counts of each document; a null text counts as an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
     every = [w for group in COMMON_WORDS for w in group]
@@ -112,9 +112,9 @@ def features(docs: DataFrame) -> DataFrame:
 
     solid = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long")
     kinds = F.array(*[_count_rest(text, p) for p in CLASSES])
-    return own_columns(docs, "doc_id", "text", "lang").select(
+    return own_columns(docs, "doc_id", "text").select(
         "doc_id",
-        "lang",
+        F.xxhash64("text").alias("text_hash"),
         solid.alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         _duplicate_lines(text).alias("n_dup_lines"),
@@ -122,7 +122,7 @@ def features(docs: DataFrame) -> DataFrame:
         let(words, counted).alias("w"),
     ).select(
         "doc_id",
-        "lang",
+        "text_hash",
         F.col("w.n_words").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -212,11 +212,12 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
             & (F.coalesce(F.col("char_distance"), F.lit(0.0)) <= rules.max_char_distance)
             & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= rules.max_word_distance),
         )
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept", "text_hash")
     )
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that pass; a row that can't be told from a kept one (same doc_id) stays too."""
-    kept = judge(docs, rules).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that pass, told apart by doc_id and text."""
+    kept = judge(docs, rules).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (F.xxhash64(docs["text"]) == kept["_kept_hash"])
+    return docs.join(kept, same, "left_semi")
