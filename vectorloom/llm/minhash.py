@@ -246,11 +246,12 @@ def own_shingles(sets: DataFrame) -> DataFrame:
 def find_links(classes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
     """node, component of the classes that share a band with another one.
 
-    An intersection can't be larger than the shingles of either class that any other class holds. So classes with
-    few shingles of their own make the best hubs, like the text that a group of near copies comes from; and
-    pairs that this bound rules out need no comparison, like those of copies too far from it. Of copies of the
+    The hubs of a bucket are its members that share most bands with most classes, like the text that a group of near
+    copies comes from; so the buckets of a group have the same hub. An intersection can't be larger than the
+    shingles of either class that any other class holds, and pairs that this bound rules out need no
+    comparison, like those of copies too far from their common source. Of copies of the
     same hub it is known which of its shingles each lacks, in 128 groups: two copies share no more than the
-    hub's shingles without those that either lacks, and the smaller number of their others.
+    hub's shingles without those that either lacks, and the smaller number of their others that any class shares.
     """
     banded = classes.where("n_shingles > 0").select("node", F.explode("bands").alias("key"))
     shared = materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
@@ -264,7 +265,8 @@ def find_links(classes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
     bounds = bounds.select("node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).alias("m"))
     # a class of which too little is shared has no link at all
     able = materialise(bounds.where(100 * F.col("m") >= rules.percent * F.col("n")), "able")
-    active = materialise(buckets.join(small(able, rules.broadcast_rows), "node").select("key", "size", "node", "n", "m"), "active")
+    weights = materialise(buckets.groupBy("node").agg(F.sum("size").alias("w")).join(able, "node"), "weights")
+    active = materialise(buckets.join(small(weights, rules.broadcast_rows), "node").select("key", "size", "node", "n", "m", "w"), "active")
     labels = links = hubs_of = None
     before = 0
     for hubs in [*rules.hubs, None]:
@@ -278,20 +280,20 @@ def find_links(classes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
                 break
         else:
             named = named.select("*", F.col("node").alias("component"), *[F.lit(None).cast(t).alias(c) for c, t in HUB_COLUMNS])
-        order = Window.partitionBy("key").orderBy(F.desc(F.col("m") / F.col("n")), F.xxhash64("node"), "node")
+        order = Window.partitionBy("key").orderBy(F.desc("w"), F.xxhash64("node"), "node")
         ranked = named.withColumn("_at", F.row_number().over(order))
         heads = (ranked.where(F.col("_at") <= hubs) if hubs else ranked).where(F.col("_at") > before)
-        heads = heads.select("key", *[F.col(c).alias(f"h_{c}") for c in ("node", "component", "n", "m", *[c for c, _ in HUB_COLUMNS])])
+        heads = heads.select("key", *[F.col(c).alias(f"h_{c}") for c in ("node", "component", "n", "m", "w", *[c for c, _ in HUB_COLUMNS])])
         most = F.least("m", "h_m")
         lacking = F.bit_count(F.col("lacks0").bitwiseOR(F.col("h_lacks0"))) + F.bit_count(F.col("lacks1").bitwiseOR(F.col("h_lacks1")))
-        most = F.when(F.col("hub") == F.col("h_hub"), F.least(most, F.col("hub_n") - lacking + F.least("others", "h_others"))).otherwise(most)
+        most = F.when(F.col("hub") == F.col("h_hub"), F.least(most, F.col("hub_n") - lacking + F.least(F.col("others") - (F.col("n") - F.col("m")), F.col("h_others") - (F.col("h_n") - F.col("h_m"))))).otherwise(most)
         possible = (
             (named["key"] == heads["key"])
             & (F.col("component") != F.col("h_component"))
             & ((100 + rules.percent) * most >= rules.percent * (F.col("n") + F.col("h_n")))
             & (100 * F.least("n", "h_n") >= rules.percent * F.greatest("n", "h_n"))
         )
-        pairs = named.join(heads, possible).select(F.col("node").alias("a"), "n", F.col("h_node").alias("b"), "h_n", (F.col("h_m") / F.col("h_n")).alias("rate"))
+        pairs = named.join(heads, possible).select(F.col("node").alias("a"), "n", F.col("h_node").alias("b"), "h_n", F.col("h_w").alias("rate"))
         pairs = materialise(pairs.distinct(), "pairs")
         if not pairs.isEmpty():
             compared = materialise(compare(pairs, sets, rules), "compared")
