@@ -20,9 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.bpe import CACHED, CHUNK, chunks
+from vectorloom.llm.bpe import CHUNK, chunks
 from vectorloom.llm.common import materialise, own_columns, ship
 
+#: Words and stems that a worker keeps the ids of, about 200 bytes each; bounds memory, not results.
+KEPT = 1_200_000
+
 
 @dataclass(frozen=True)
 class Capacity:
@@ -94,7 +97,7 @@ class WordTokens:
 
     def learn(self, words: set[str]) -> None:
         """Ids of new words; letters of Latin-1 before a full stop or comma are a token run of their own, whatever their case."""
-        if len(self.stems) > CACHED:
+        if len(self.stems) > KEPT:
             self.stems.clear()
         plain, rest = [], []
         for x in words:
@@ -117,7 +120,7 @@ class WordTokens:
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED:
+        if len(self.known) > KEPT:
             self.known.clear()
         self.learn(set().union(*split) - self.known.keys())
         get = self.known.__getitem__
