@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import ann, bpe, chat, compaction, langid, lines, minhash, packing, quality, suffix
+from vectorloom.llm import ann, bpe, chat, compaction, langid, lines, minhash, packing, quality, quality_sql, suffix
 from vectorloom.llm.common import materialise, shared_dir, table
 
 
@@ -23,7 +23,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    found = quality.judge(table(spark, sf_dir, "documents")).drop("text_hash")
+    return found.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +98,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_quality_rules": quality_sql.sql(),
     "op5_reply_trees": """
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
