@@ -77,6 +77,8 @@ class Model:
         # the last row is an unknown letter
         self.table = np.vstack([table, np.full((1, len(languages)), fit.unknown)])
         self.pieces = {p: i for i, p in enumerate(pieces)}
+        #: Scores of runs of letters, and places of words, whatever their case and marks, in ``scores``.
+        self.stems: dict[str, np.ndarray] = {}
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1, len(languages)))
         self.used = 1
@@ -86,15 +88,13 @@ class Model:
         get, none, k = self.pieces.get, len(self.pieces), self.fit.longest_piece
         n = np.fromiter(map(len, words), np.int64, len(words))
         at = np.full((len(words), int(n.max()) + 1, k), -1, np.int32)
-        for w, word in enumerate(words):
-            row = at[w]
-            for j in range(1, len(word) + 1):
-                for size in range(1, min(k, j) + 1):
-                    i = get(word[j - size : j])
-                    if i is not None:
-                        row[j, size - 1] = i
-                    elif size == 1:
-                        row[j, 0] = none
+        for size in np.unique(n).tolist():
+            rows = np.flatnonzero(n == size)
+            spans = [(a, b) for b in range(1, size + 1) for a in range(max(0, b - k), b)]
+            ids = np.array([[get(word[a:b], -1) for a, b in spans] for word in map(words.__getitem__, rows.tolist())], np.int32)
+            begin, end = np.array(spans).T
+            ids[:, end - begin == 1] = np.where(ids[:, end - begin == 1] < 0, none, ids[:, end - begin == 1])
+            at[rows[:, None], end, end - begin - 1] = ids
         return at, n
 
     def forward(self, at: np.ndarray) -> np.ndarray:
@@ -151,9 +151,13 @@ class Model:
         new = [x for x in {x for words in split for x in words} - self.known.keys()]
         parts = [self.parts_of(x) for x in new]
         flat = [p for x in parts for p in x]
-        found = self.word_scores(flat)
+        if len(self.stems) > CACHED:
+            self.stems.clear()
+        unseen = list(set(flat) - self.stems.keys())
+        self.stems |= zip(unseen, self.word_scores(unseen), strict=True)
         own = np.zeros((len(new), len(self.languages)))
-        np.add.at(own, np.repeat(np.arange(len(new)), [len(x) for x in parts]), found)
+        if flat:
+            np.add.at(own, np.repeat(np.arange(len(new)), [len(x) for x in parts]), np.stack([self.stems[p] for p in flat]))
         has = [bool(x) for x in parts]
         if self.used + len(new) > len(self.scores):
             self.scores = np.vstack([self.scores[: self.used], np.zeros((len(new) + len(self.scores), len(self.languages)))])
