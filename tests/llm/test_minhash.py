@@ -91,5 +91,6 @@ def test_signatures_estimate_similarity():
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long").repartition(7)
-    found = {r.node: r.component for r in minhash.components(edges).collect()}
-    assert found == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+    for rows in (200_000, 0):
+        found = {r.node: r.component for r in minhash.components(edges, rows).collect()}
+        assert found == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}

@@ -203,13 +203,17 @@ def local_unions(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInPandas(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task_rows: int = 200_000) -> DataFrame:
     """node, component (its least node) of every node of the links u, v.
 
-    Large-star and small-star contraction: each round points the neighbours of a node to the least node near
-    it, until nothing changes, in a number of rounds that grows with the logarithm of the nodes.
+    If the partitions' forests have at most ``one_task_rows`` links together (16 bytes each), one more task of
+    union-find ends it. Beyond that, large-star and small-star contraction works across partitions: each round
+    points the neighbours of a node to the least node near it, until nothing changes, in a number of rounds
+    that grows with the logarithm of the nodes.
     """
     edges = materialise(local_unions(edges), "edges")
+    if edges.limit(one_task_rows + 1).count() <= one_task_rows:
+        return _named(materialise(local_unions(edges.coalesce(1)), "edges"))
     known = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -223,10 +227,16 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialise(edges, "edges")
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == known:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return _named(edges)
         known = now
 
 
+def _named(stars: DataFrame) -> DataFrame:
+    """node, component of links u, v that all lead to the least node, v."""
+    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
 def linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * shared >= percent * (a + b - shared)
 
