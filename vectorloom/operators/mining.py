@@ -91,9 +91,18 @@ def refine_positives(candidates_: DataFrame, least_positive: float, delta: float
     return seen.where((F.col("_max") > least_positive) & ~F.col("is_positive") & (F.col("score") < F.col("_mean") + delta)).select("qid", "cid", "score")
 
 
-def similarity_bands(scores: DataFrame, width: int = 5) -> DataFrame:
-    """qid, hard, easy: mean score of the ``width`` largest and of the ``width`` smallest scores (qid, cid, score)."""
-    top = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    low = Window.partitionBy("qid").orderBy("score", "cid")
-    ranked = scores.withColumn("_top", F.row_number().over(top)).withColumn("_low", F.row_number().over(low))
-    return ranked.groupBy("qid").agg(F.avg(F.when(F.col("_top") <= width, F.col("score"))).alias("hard"), F.avg(F.when(F.col("_low") <= width, F.col("score"))).alias("easy"))
+def similarity_bands(pairs: DataFrame, corpus: DataFrame, width: int = 5, exclude_self: bool = True) -> DataFrame:
+    """qid, hard, easy: mean score of the ``width`` nearest and of the ``width`` farthest corpus rows of each pair (qid, v, positive_id).
+
+    Each band is searched in all of ``corpus`` (cid, v), the far one by the negated vector; the positive is in neither.
+    """
+    own = pairs.select("qid", "positive_id")
+    by = Window.partitionBy("qid").orderBy("rank")
+
+    def band(queries: DataFrame, name: str) -> DataFrame:
+        near = topk(queries, corpus, width + 1, exclude_self).join(own, "qid").where(~F.col("cid").eqNullSafe(F.col("positive_id")))
+        return near.withColumn("_at", F.row_number().over(by)).where(F.col("_at") <= width).groupBy("qid").agg(F.avg("score").alias(name))
+
+    hard = band(pairs.select("qid", "v"), "hard")
+    easy = band(pairs.select("qid", F.transform("v", lambda x: -x).alias("v")), "easy")
+    return hard.join(easy, "qid").select("qid", "hard", (-F.col("easy")).alias("easy"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vectorloom.functions.tables import materialise
 from vectorloom.functions.vectors import cosine, dot, hamming, int8, l2_normalize, norm, prefix, signs
 from vectorloom.operators import metrics, mining, reports
 from vectorloom.operators.knn import topk
@@ -106,8 +107,8 @@ register(
 
 def similarity_bands(spark: SparkSession, d: str) -> DataFrame:
     e = vectors(spark, d)
-    near = topk(as_queries(e.where("id % 10 = 0")), as_corpus(e), 50, exclude_self=True)
-    return rounded(mining.similarity_bands(near), "hard", "easy")
+    own = materialise(pairs(e).where("qid % 10 = 0"), "pairs")
+    return rounded(mining.similarity_bands(own, as_corpus(e)), "hard", "easy")
 
 
 register(
