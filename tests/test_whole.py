@@ -15,7 +15,7 @@ def table():
     """ids, labels and vectors by id."""
     rows = duckdb.sql(f"SELECT vec_id, label, embedding FROM read_parquet('{DATA}/embeddings.parquet') ORDER BY vec_id").fetchall()
     ids, labels, v = zip(*rows, strict=True)
-    return np.array(ids), np.array(labels), np.array(v, dtype=np.float32).astype(np.float64)
+    return np.array(ids), np.array(labels), np.array(v, dtype=np.float64)
 
 
 def positives(ids, labels, scores):
@@ -34,7 +34,7 @@ def test_bands_are_of_all_candidates_without_the_positive(spark):
     positive = positives(ids, labels, scores)
     place = {x: i for i, x in enumerate(ids.tolist())}
     found = catalogue.QUERIES["similarity_bands"](spark, DATA).collect()
-    assert found
+    assert sorted(r.qid for r in found) == ids.tolist()
     for r in found:
         i = place[r.qid]
         rest = np.sort(np.delete(scores[i], [i, positive[i]]))
@@ -46,3 +46,64 @@ def test_bands_of_a_query_without_positive(spark):
     pair = spark.createDataFrame([(1, [1.0, 0.0], None), (2, [1.0, 0.0], 4)], "qid long, v array<double>, positive_id long")
     found = {r.qid: (r.hard, r.easy) for r in mining.similarity_bands(pair, corpus, 2).collect()}
     assert found == {1: (3.5, -3.5), 2: (2.0, -3.5)}
+
+
+def nearest(ids, v, k):
+    """Ids of the k nearest other rows of each row, in order."""
+    scores = v @ v.T
+    np.fill_diagonal(scores, -np.inf)
+    return {int(own): ids[np.lexsort((ids, -row))[:k]].tolist() for own, row in zip(ids, scores, strict=True)}
+
+
+def unit(v):
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def judged(ids, labels):
+    return {int(q): {int(c): 1 + int(q + c) % 2 for c in ids[labels == label] if c != q} for q, label in zip(ids, labels, strict=True)}
+
+
+def rows_of(spark, name):
+    return catalogue.QUERIES[name](spark, DATA).collect()
+
+
+def test_relevance_is_of_every_query(spark):
+    ids, labels, _ = table()
+    expected = {(q, c, s) for q, found in judged(ids, labels).items() for c, s in found.items()}
+    assert {tuple(r) for r in rows_of(spark, "qrels_max")} == expected
+
+
+def test_metrics_are_of_every_query(spark):
+    ids, labels, v = table()
+    rel = {q: x for q, x in judged(ids, labels).items() if x}
+    near = nearest(ids, v, 10)
+    gain = lambda values: sum(x / np.log2(i + 2) for i, x in enumerate(values))
+    hits = {q: [x.get(c, 0) for c in near[q]] for q, x in rel.items()}
+    mean = lambda f: np.mean([f(q) for q in rel])
+    share = lambda k: mean(lambda q: sum(x > 0 for x in hits[q][:k]) / len(rel[q]))
+    hit = lambda k: mean(lambda q: any(hits[q][:k]))
+    ndcg = mean(lambda q: gain(hits[q][:5]) / gain(sorted(rel[q].values(), reverse=True)[:5]))
+    assert tuple(rows_of(spark, "beir_eval")[0]) == pytest.approx((len(ids), hit(1), ndcg, share(5)), abs=2e-6)
+    assert tuple(rows_of(spark, "recall_at_k")[0]) == pytest.approx((len(ids), hit(1), hit(5), hit(10), share(1), share(5), share(10)), abs=2e-6)
+    first = {q: next((1 / (i + 1) for i, x in enumerate(found) if x), 0) for q, found in hits.items()}
+    assert {r.qid: r.mrr_at_10 for r in rows_of(spark, "mrr_at_10")} == pytest.approx(first, abs=2e-6)
+
+
+def test_recall_of_shorter_vectors_is_of_every_query(spark):
+    ids, _, v = table()
+    full = nearest(ids, v, 10)
+    shared = lambda other: {q: len(set(full[q]) & set(other[q])) / 10 for q in full}
+    expected = {(q, k): x for k in (32, 16) for q, x in shared(nearest(ids, unit(v[:, :k]), 10)).items()}
+    assert {(r.qid, r.dims): r.overlap for r in rows_of(spark, "mrl_recall")} == pytest.approx(expected)
+    coarse = np.sign(v) * np.floor(np.abs(v) * 127 + 0.5)
+    assert {r.qid: r.overlap for r in rows_of(spark, "quantized_recall")} == pytest.approx(shared(nearest(ids, coarse, 10)))
+
+
+def test_reranking_is_of_every_query(spark):
+    ids, _, v = table()
+    place = {x: i for i, x in enumerate(ids.tolist())}
+    expected = {}
+    for q, near in nearest(ids, unit(v[:, :16]), 20).items():
+        scored = sorted((-float(v[place[q]] @ v[place[c]]), c) for c in near)[:5]
+        expected |= {(q, i + 1, c): 1 / (1 + np.exp(10 * s)) for i, (s, c) in enumerate(scored)}
+    assert {(r.qid, r.rank, r.cid): r.score for r in rows_of(spark, "rerank_two_stage")} == pytest.approx(expected, abs=2e-6)

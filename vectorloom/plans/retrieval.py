@@ -107,7 +107,7 @@ register(
 
 def similarity_bands(spark: SparkSession, d: str) -> DataFrame:
     e = vectors(spark, d)
-    own = materialise(pairs(e).where("qid % 10 = 0"), "pairs")
+    own = materialise(pairs(e), "pairs")
     return rounded(mining.similarity_bands(own, as_corpus(e)), "hard", "easy")
 
 
@@ -138,7 +138,7 @@ register("qrels_max", qrels_max, f"WITH {E}, {REL} SELECT qid, cid, rel FROM rel
 
 def _measured(spark: SparkSession, d: str, ks: tuple[int, ...]) -> DataFrame:
     e = vectors(spark, d)
-    ranked = topk(as_queries(e.where("id % 10 = 0")), as_corpus(e), max(ks), exclude_self=True)
+    ranked = topk(as_queries(e), as_corpus(e), max(ks), exclude_self=True)
     return metrics.at_k(ranked, metrics.max_relevance(relevance(e)), ks)
 
 
@@ -219,9 +219,8 @@ def _cut(rows: DataFrame, dims: int) -> DataFrame:
 
 def mrl_recall(spark: SparkSession, d: str) -> DataFrame:
     e = vectors(spark, d)
-    asked = e.where("id % 10 = 0")
-    full = topk(as_queries(asked), as_corpus(e), 10, exclude_self=True)
-    parts = [metrics.overlap(full, topk(as_queries(_cut(asked, k)), as_corpus(_cut(e, k)), 10, exclude_self=True), 10).select("qid", F.lit(k).alias("dims"), "overlap") for k in (32, 16)]
+    full = topk(as_queries(e), as_corpus(e), 10, exclude_self=True)
+    parts = [metrics.overlap(full, topk(as_queries(_cut(e, k)), as_corpus(_cut(e, k)), 10, exclude_self=True), 10).select("qid", F.lit(k).alias("dims"), "overlap") for k in (32, 16)]
     return rounded(parts[0].unionByName(parts[1]), "overlap")
 
 
@@ -271,9 +270,8 @@ def quantized_recall(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of the 10 nearest with those by vectors of eight-bit integers."""
     e = vectors(spark, d)
     coarse = e.withColumn("v", int8(F.col("v")).cast("array<double>"))
-    asked = "id % 10 = 0"
-    full = topk(as_queries(e.where(asked)), as_corpus(e), 10, exclude_self=True)
-    near = topk(as_queries(coarse.where(asked)), as_corpus(coarse), 10, exclude_self=True)
+    full = topk(as_queries(e), as_corpus(e), 10, exclude_self=True)
+    near = topk(as_queries(coarse), as_corpus(coarse), 10, exclude_self=True)
     return rounded(metrics.overlap(full, near, 10), "overlap")
 
 
@@ -388,9 +386,8 @@ def rerank_two_stage(spark: SparkSession, d: str) -> DataFrame:
     from vectorloom.functions.vectors import rerank_score
 
     e = vectors(spark, d)
-    asked = e.where("id % 10 = 0")
-    near = topk(as_queries(_cut(asked, 16)), as_corpus(_cut(e, 16)), 20, exclude_self=True).select("qid", "cid")
-    scored = near.join(as_queries(asked).withColumnRenamed("v", "q"), "qid").join(as_corpus(e), "cid").select("qid", "cid", rerank_score(10 * dot(F.col("q"), F.col("v")), F.lit(0.0)).alias("score"))
+    near = topk(as_queries(_cut(e, 16)), as_corpus(_cut(e, 16)), 20, exclude_self=True).select("qid", "cid")
+    scored = near.join(as_queries(e).withColumnRenamed("v", "q"), "qid").join(as_corpus(e), "cid").select("qid", "cid", rerank_score(10 * dot(F.col("q"), F.col("v")), F.lit(0.0)).alias("score"))
     by = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     return rounded(scored.withColumn("rank", F.row_number().over(by)).where("rank <= 5"), "score")
 
