@@ -1,5 +1,7 @@
 """Queries against brute force over whole tables, where their SQL sees less."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 import pytest
@@ -107,3 +109,29 @@ def test_reranking_is_of_every_query(spark):
         scored = sorted((-float(v[place[q]] @ v[place[c]]), c) for c in near)[:5]
         expected |= {(q, i + 1, c): 1 / (1 + np.exp(10 * s)) for i, (s, c) in enumerate(scored)}
     assert {(r.qid, r.rank, r.cid): r.score for r in rows_of(spark, "rerank_two_stage")} == pytest.approx(expected, abs=2e-6)
+
+
+OPENING = "The first forty characters and some more are one and the same in all of these texts"
+
+
+def test_items_and_instructions_of_whole_texts(spark, tmp_path):
+    ends = [" one", " two?", ": three ", " four!\n", " five", " six."]
+    texts = {i: OPENING + end for i, end in zip((2, 4, 6, 8, 11, 14), ends, strict=True)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = {r.doc_id: r for r in catalogue.QUERIES["build_item"](spark, str(tmp_path)).collect()}
+    assert {i: items[i].text for i in texts} == {i: x if i % 2 == 0 else "NULL" for i, x in texts.items()}
+    assert {i: items[i].key for i in texts if i != 6} == {i: "TXT::" + (x.strip() if i % 2 == 0 else "") for i, x in texts.items() if i != 6}
+    assert len({items[i].key for i in texts}) == len(texts)
+    found = {r.doc_id: (r.instruction, r.stopped) for r in catalogue.QUERIES["instruction_punct"](spark, str(tmp_path)).collect()}
+    assert found == {i: (x.strip() if x.strip()[-1] in "?!." else x.strip() + ".", x + ".") for i, x in texts.items()}
+
+
+def test_options_of_whole_turns(spark, tmp_path):
+    turns = [OPENING + ". Yes. ", OPENING + ", no", "A. " + OPENING]
+    rows = [(1, i, x) for i, x in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    cleaned = {r.i: r.cleaned for r in catalogue.QUERIES["option_clean"](spark, str(tmp_path)).collect()}
+    assert cleaned == {0: "Yes", 1: OPENING + ", no", 2: OPENING}
+    options = [f"({chr(65 + i)}) {x}" for i, x in enumerate([*turns, turns[0]])]
+    expected = hashlib.md5("\n".join(["Which?", *options]).encode()).hexdigest()
+    assert [tuple(r) for r in catalogue.QUERIES["qa_template"](spark, str(tmp_path)).collect()] == [(1, expected, 3, options[3])]

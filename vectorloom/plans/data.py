@@ -58,7 +58,7 @@ register(
 
 
 def instruction_punct(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.lit("  ")).otherwise(F.substring("text", F.lit(1), (F.col("doc_id") % 40 + 1).cast("int"))).alias("i"))
+    docs = load(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.lit("  ")).otherwise(F.col("text")).alias("i"))
     return docs.select("doc_id", text.punctuate(F.col("i")).alias("instruction"), text.colon_to_stop(F.concat("i", F.lit(":"))).alias("stopped"))
 
 
@@ -114,7 +114,7 @@ register(
 
 
 def _options(spark: SparkSession, d: str) -> DataFrame:
-    turns = load(spark, d, "conversations").select("conv_id", "turn", F.substring(F.col("text"), 1, 20).alias("o"))
+    turns = load(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("o"))
     return turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "o"))), lambda x: x["o"]).alias("options"))
 
 
@@ -149,7 +149,7 @@ register(
 
 def build_item(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select(
-        "doc_id", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 30)).otherwise("").alias("t"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit(".jpg"))).alias("i")
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("").alias("t"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit(".jpg"))).alias("i")
     )
     side = text.item(F.col("t"), text.image_path("/data", F.col("i")))
     return docs.select("doc_id", side["text"].alias("text"), side["image_path"].alias("image_path"), text.positive_key(F.col("t"), F.col("i")).alias("key"), F.size(media.content(F.lit(None).cast("string"), side["image_path"], side["text"])).alias("parts"))
