@@ -135,3 +135,15 @@ def test_options_of_whole_turns(spark, tmp_path):
     options = [f"({chr(65 + i)}) {x}" for i, x in enumerate([*turns, turns[0]])]
     expected = hashlib.md5("\n".join(["Which?", *options]).encode()).hexdigest()
     assert [tuple(r) for r in catalogue.QUERIES["qa_template"](spark, str(tmp_path)).collect()] == [(1, expected, 3, options[3])]
+
+
+def test_long_conversations_are_kept(spark, tmp_path):
+    sizes = {1: 26, 2: 27, 3: 300}
+    rows = [(c, i, f"turn {i}") for c, n in sizes.items() for i in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.conv_id: (r.prompt_md5, r.answer_index, r.answer) for r in catalogue.QUERIES["qa_template"](spark, str(tmp_path)).collect()}
+    expected = {}
+    for c, n in sizes.items():
+        options = [f"({chr(65 + i)}) {x}" for i, x in enumerate([*(f"turn {i}" for i in range(n)), "turn 0"])]
+        expected[c] = (hashlib.md5("\n".join(["Which?", *options]).encode()).hexdigest(), n, options[n])
+    assert found == expected

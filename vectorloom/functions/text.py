@@ -69,8 +69,9 @@ def safe_id(name: Column) -> Column:
 
 
 def lettered(options: Column) -> Column:
-    """``(A) first``, ``(B) second``, ..."""
-    return F.transform(options, lambda x, i: F.concat(F.lit("("), F.char(i + 65), F.lit(") "), x))
+    """``(A) first``, ``(B) second``, ...; after Z the characters that follow it in Unicode."""
+    letter = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 65), 8, "0")), "UTF-32")  # noqa: E731 (char() starts again after 255)
+    return F.transform(options, lambda x, i: F.concat(F.lit("("), letter(i), F.lit(") "), x))
 
 
 def last_match(options: Column, answer: Column) -> Column:

@@ -119,7 +119,7 @@ def _options(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qa_template(spark: SparkSession, d: str) -> DataFrame:
-    o = _options(spark, d).where(F.size("options") <= 26).withColumn("options", F.concat("options", F.array(F.get("options", F.lit(0)))))
+    o = _options(spark, d).withColumn("options", F.concat("options", F.array(F.get("options", F.lit(0)))))
     answer = F.get("options", F.lit(0))
     index = text.last_match(F.col("options"), answer)
     return o.select("conv_id", F.md5(text.qa_prompt(F.lit("Which?"), F.col("options"))).alias("prompt_md5"), index.alias("answer_index"), F.get(text.lettered(F.col("options")), index).alias("answer"))
