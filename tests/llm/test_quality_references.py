@@ -1,0 +1,38 @@
+import random
+
+from vectorloom.llm import quality
+
+
+def text(seed, words, n=120):
+    r = random.Random(seed)
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+ENGLISH = "the of and to in is that for with was house river stone garden window letter morning paper".split()
+FRENCH = "le la les et des un une du pour dans maison rivière pierre jardin fenêtre lettre matin papier".split()
+
+
+def documents(spark, english, french):
+    rows = [(i, text(i, ENGLISH)) for i in range(english)] + [(1000 + i, text(i, FRENCH)) for i in range(french)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def groups(docs):
+    return [r["group"] for r in quality.references(quality.features(docs)).first()["refs"]]
+
+
+def test_a_short_language_has_the_reference_over_all(spark):
+    assert groups(documents(spark, 20, 20)) == [0, 1]
+    docs = documents(spark, 20, 5)
+    refs = quality.references(quality.features(docs)).first()["refs"]
+    assert [r["group"] for r in refs] == [0, -1]
+    assert sum(refs[1]["words"]) == 25 * 120
+
+
+def test_a_small_table_is_judged_by_divergence_too(spark):
+    docs = documents(spark, 15, 0)
+    assert groups(docs) == [-1]
+    odd = docs.union(spark.createDataFrame([(2000, " ".join(f"{i}|{i * 7}" for i in range(120)))], docs.schema))
+    found = {r.doc_id: r for r in quality.judge(odd).collect()}
+    assert not found[2000].kept and found[2000].char_distance > 0.3 and all(found[i].kept for i in range(15))
+    assert groups(docs.limit(0)) == []

@@ -158,7 +158,10 @@ def base_failed(rules: QualityRules) -> Column:
 
 
 def references(feats: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """One row: the histograms over all documents that pass the base rules, and those of the languages in an array.
+    """One row: an array of the histograms of each language, over its documents that pass the base rules.
+
+    If a language has fewer than ``min_reference_words``, or no document is of a known language, the histograms over
+    all documents that pass the base rules are added, as group -1.
 
     Documents are summed by the nearest of the four word lists and not by the column lang, so the number of
     references is fixed, a wrong or missing lang does no harm and the one row is small.
@@ -167,14 +170,21 @@ def references(feats: DataFrame, rules: QualityRules = QualityRules()) -> DataFr
     bins_c, bins_w = len(CLASSES) + 1, 3
     good = feats.where(~base_failed(rules))
     by = good.withColumn("group", _group(F.col("list_counts")))
-    sums = by.groupBy("group").agg(
-        F.sum("n_words").alias("n"),
-        F.array(*[F.sum(F.get("char_counts", F.lit(i))) for i in range(bins_c)]).alias("chars"),
-        F.array(*[F.sum(F.get("word_counts", F.lit(i))) for i in range(bins_w)]).alias("words"),
-    )
-    return sums.where((F.col("n") >= rules.min_reference_words) & F.col("group").between(0, n - 1)).agg(
-        F.sort_array(F.collect_list(F.struct("group", "chars", "words"))).alias("refs")
+
+    def total(column: str, bins: int) -> Column:
+        return F.array(*[F.sum(F.get(column, F.lit(i))) for i in range(bins)])
+
+    sums = by.groupBy("group").agg(F.sum("n_words").alias("n"), total("char_counts", bins_c).alias("chars"), total("word_counts", bins_w).alias("words"))
+    known, enough = F.col("group").between(0, n - 1), F.col("n") >= rules.min_reference_words
+    whole = F.struct(F.lit(-1).alias("group"), total("chars", bins_c).alias("chars"), total("words", bins_w).alias("words"))
+    both = sums.agg(
+        F.sort_array(F.collect_list(F.when(known & enough, F.struct("group", "chars", "words")))).alias("refs"),
+        (F.count_if(known & ~enough) > 0).alias("short"),
+        F.count(F.lit(1)).alias("groups"),
+        whole.alias("whole"),
     )
+    needs = (F.col("groups") > 0) & (F.col("short") | (F.size("refs") == 0))
+    return both.select(F.when(needs, F.concat("refs", F.array("whole"))).otherwise(F.col("refs")).alias("refs"))
 
 
 def _group(lists: Column) -> Column:
@@ -191,12 +201,12 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the base counts, base_failed, both distances, kept.
 
     A null or empty text has no words, so it fails the base rules. Rows are judged one by one: repeated rows
-    and null doc_ids get a row each. Without any reference (an empty table, or no good document) the base
+    and null doc_ids get a row each. Without any reference (no document that passes the base rules) the base
     rules alone decide. Extra columns are ignored. A text's distance is the least over all references, so
     a text in another of the known languages than its lang says is not rejected.
     """
     feats = materialise(features(docs), "quality")
-    refs = references(feats, rules).first()["refs"]  # one row of at most four languages
+    refs = references(feats, rules).first()["refs"]  # one row of at most four languages and their sum
 
     def least(counts: str, field: str) -> Column:
         shares = F.array(*[F.array(*[F.lit(x / sum(r[field])) for x in r[field]]) for r in refs if sum(r[field])])
