@@ -3,23 +3,61 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SCOPES = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a folder of our own where it is unset (tests)."""
+    """``spark.checkpoint.dir``, which driver and executors share; on a local master (tests) a folder of our own where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vectorloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vectorloom-"))
     return sc.getCheckpointDir()
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system; one that isn't there is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what ``materialise`` writes inside, but for tables with ``keep``, which pass to the scope around this one.
+
+    Only results that are written or collected inside may be used afterwards.
+    """
+    scopes = _SCOPES.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            delete(spark, path)
+
+
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path in the shared folder; it is deleted at the end of the scope, if there is one."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    scopes = _SCOPES.__dict__.setdefault("open", [])
+    if len(scopes) > keep:
+        scopes[-1 - keep].append(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """Writes ``df`` in the shared folder and reads it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -52,5 +90,5 @@ def ordinals(df: DataFrame, order: list[str | Column], by: str | None = None, na
 
 
 def prefix(df: DataFrame, order: list[str], cap: int | None) -> DataFrame:
-    """The first ``cap`` rows by ``order``; None or 0 is no cap."""
-    return df.orderBy(*order).limit(cap) if cap else df
+    """The first ``cap`` rows by ``order``; None or 0 is no cap. Rows are numbered by a range sort, so no task sees all of a large cap."""
+    return ordinals(df, list(order), name="__place").where(F.col("__place") < cap).drop("__place") if cap else df

@@ -65,7 +65,7 @@ def instruction_punct(spark: SparkSession, d: str) -> DataFrame:
 register(
     "instruction_punct",
     instruction_punct,
-    rf"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '  ' ELSE substring(text, 1, (doc_id % 40 + 1)::INT) END AS i FROM documents), s AS (SELECT doc_id, i, {_strip('i')} AS b FROM r)
+    rf"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '  ' ELSE text END AS i FROM documents), s AS (SELECT doc_id, i, {_strip('i')} AS b FROM r)
         SELECT doc_id, CASE WHEN b = '' THEN '{text.DEFAULT_INSTRUCTION.replace("'", "''")}' WHEN regexp_matches(b, '\p{{P}}$') THEN b ELSE b || '.' END AS instruction, i || '.' AS stopped FROM s""",
 )
 
@@ -125,11 +125,11 @@ def qa_template(spark: SparkSession, d: str) -> DataFrame:
     return o.select("conv_id", F.md5(text.qa_prompt(F.lit("Which?"), F.col("options"))).alias("prompt_md5"), index.alias("answer_index"), F.get(text.lettered(F.col("options")), index).alias("answer"))
 
 
-SQL_OPTIONS = "o AS (SELECT conv_id, list(substring(text, 1, 20) ORDER BY turn) AS a FROM conversations GROUP BY conv_id)"
+SQL_OPTIONS = "o AS (SELECT conv_id, list(text ORDER BY turn) AS a FROM conversations GROUP BY conv_id)"
 register(
     "qa_template",
     qa_template,
-    f"""WITH {SQL_OPTIONS}, p AS (SELECT conv_id, a || [a[1]] AS a FROM o WHERE len(a) <= 26), l AS (SELECT conv_id, a, list_transform(a, lambda x, i: '(' || chr((64 + i)::INT) || ') ' || x) AS l FROM p)
+    f"""WITH {SQL_OPTIONS}, p AS (SELECT conv_id, a || [a[1]] AS a FROM o), l AS (SELECT conv_id, a, list_transform(a, lambda x, i: '(' || chr((64 + i)::INT) || ') ' || x) AS l FROM p)
         SELECT conv_id, md5('Which?' || chr(10) || array_to_string(l, chr(10))) AS prompt_md5, (len(a) - 1)::INT AS answer_index, l[len(a)] AS answer FROM l""",
 )
 
@@ -158,7 +158,7 @@ def build_item(spark: SparkSession, d: str) -> DataFrame:
 register(
     "build_item",
     build_item,
-    f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substring(text, 1, 30) ELSE '' END AS t, CASE WHEN doc_id % 3 = 0 THEN doc_id || '.jpg' END AS i FROM documents)
+    f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS t, CASE WHEN doc_id % 3 = 0 THEN doc_id || '.jpg' END AS i FROM documents)
         SELECT doc_id, CASE WHEN t <> '' THEN t WHEN i IS NULL THEN 'NULL' END AS text, '/data/' || i AS image_path, CASE WHEN i IS NOT NULL THEN 'IMG::images/' || i ELSE 'TXT::' || {_strip('t')} END AS key,
                ((t <> '' OR i IS NULL)::INT + (i IS NOT NULL)::INT)::INT AS parts FROM x""",
 )

@@ -114,8 +114,10 @@ def similarity_bands(spark: SparkSession, d: str) -> DataFrame:
 register(
     "similarity_bands",
     similarity_bands,
-    f"""WITH {E}, {S}, {TOP}, t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, cid) AS low FROM top WHERE rk <= 50 AND qid % 10 = 0)
-        SELECT qid, round(avg(score) FILTER (WHERE rk <= 5), 6) AS hard, round(avg(score) FILTER (WHERE low <= 5), 6) AS easy FROM t GROUP BY qid""",
+    f"""WITH {E}, {S}, {P}, t AS (
+            SELECT s.qid, score, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, cid) AS high, row_number() OVER (PARTITION BY s.qid ORDER BY score, cid) AS low
+            FROM s JOIN pairs ON pairs.qid = s.qid WHERE cid <> pid)
+        SELECT qid, round(avg(score) FILTER (WHERE high <= 5), 6) AS hard, round(avg(score) FILTER (WHERE low <= 5), 6) AS easy FROM t GROUP BY qid""",
 )
 
 
@@ -229,7 +231,7 @@ def _sql_prefix(k: int) -> str:
 
 
 def _sql_top(name: str, source: str, k: int = 10) -> str:
-    return f"""{name} AS (SELECT a.id AS qid, b.id AS cid FROM {source} a JOIN {source} b ON a.id <> b.id WHERE a.id % 10 = 0
+    return f"""{name} AS (SELECT a.id AS qid, b.id AS cid FROM {source} a JOIN {source} b ON a.id <> b.id
         QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.v, b.v) DESC, b.id) <= {k})"""
 
 
