@@ -17,7 +17,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from vectorloom.llm.common import own_columns, ship
+from vectorloom.llm.common import hide_nulls, own_columns, ship, show_nulls
 
 WIDE = 64
 #: Characters of text encoded together, and pre-tokens that a worker keeps; both only bound memory.
@@ -242,7 +242,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             texts = frame["text"].fillna("").tolist()
             for part in chunks(texts, CHUNK):
                 ids = list(c.encode_batch([texts[i] for i in part]))
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[part], "ids": ids, "decoded": [c.decode(x) for x in ids]})
-
-    return own_columns(docs, "doc_id", "text").mapInPandas(run, "doc_id long, ids binary, decoded string")
+                yield frame[["doc_id", "_null_doc_id"]].iloc[part].assign(ids=ids, decoded=[c.decode(x) for x in ids])
 
+    rows = hide_nulls(own_columns(docs, "doc_id", "text"), "doc_id")
+    return show_nulls(rows.mapInPandas(run, "doc_id long, _null_doc_id boolean, ids binary, decoded string"), "doc_id")

@@ -1,11 +1,10 @@
-"""Shared helpers: tables that cut lineage, code for the executors, let-bindings in column expressions."""
+"""Shared helpers: code for the executors, let-bindings in column expressions, ids that pass through pandas unharmed."""
 
 from __future__ import annotations
 
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -13,27 +12,16 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectorloom.functions.tables import delete, materialise, new_path, scratch, shared_dir
+
+__all__ = ["BLANKS", "WORD", "delete", "hide_nulls", "let", "materialise", "new_path", "own_columns", "parts_of", "scratch", "shared_dir", "ship", "show_nulls", "table"]
+
 #: The white space of the contracts: space and the controls 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\f\r"
 #: A word is a maximal run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where unset (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vectorloom-"))
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it again, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once for each row, also where ``body`` uses it in a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -64,5 +52,18 @@ def own_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def hide_nulls(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with 0 for null in the named columns of longs, and a flag for each.
+
+    pandas holds a column of integers with one null as doubles, which rounds ids over 2**53.
+    """
+    return df.select("*", *[F.col(n).isNull().alias(f"_null_{n}") for n in names]).withColumns({n: F.coalesce(F.col(n).cast("long"), F.lit(0).cast("long")) for n in names})
+
+
+def show_nulls(df: DataFrame, *names: str) -> DataFrame:
+    """The reverse of ``hide_nulls``."""
+    return df.withColumns({n: F.when(~F.col(f"_null_{n}"), F.col(n)) for n in names}).drop(*[f"_null_{n}" for n in names])
+
+
 def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

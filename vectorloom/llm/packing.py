@@ -9,22 +9,23 @@ weighted norm of what is left or by the weighted dot product of residual and dem
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.bpe import CHUNK, chunks
-from vectorloom.llm.common import materialise, own_columns, ship
+from vectorloom.llm.common import hide_nulls, materialise, own_columns, ship, show_nulls
+from vectorloom.llm.words import split, spread, text_slices
 
 #: Words and stems that a worker keeps the ids of, about 200 bytes each; bounds memory, not results.
-KEPT = 1_200_000
+KEPT = 1_500_000
 
 
 @dataclass(frozen=True)
@@ -77,55 +78,103 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> np.ndarray:
     return out
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class WordTokens:
-    """Ids of texts from a tokenizer that drops white space, so that each run between blanks stands alone."""
+    """Ids of words from a tokenizer that drops white space, so that each run between blanks stands alone."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.ends = {"": b""} | self.fresh([".", ","])
-
-    def learn(self, words: set[str]) -> None:
-        """Ids of new words; letters of Latin-1 before a full stop or comma are a token run of their own, whatever their case."""
-        if len(self.stems) > KEPT:
-            self.stems.clear()
-        plain, rest = [], []
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        def opened() -> Tokenizer:
+            found = Tokenizer.from_file(path)
+            found.no_padding()
+            found.no_truncation()
+            return found
+
+        # the second is the model alone, for runs of letters that normaliser and pre-tokeniser would leave whole
+        self.tokenizer, self.plain = opened(), opened()
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocab = self.tokenizer.get_vocab()
+        #: Ids that end a word.
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        #: Run of ids of each word; the runs' first places in ``flat`` and sizes.
+        self.known: dict[str, int] = {}
+        self.first, self.size, self.runs = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.flat, self.used = np.zeros(4096, "<u4"), 0
+
+    def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n, at = len(words), self.runs
+        while at + n > len(self.first):
+            self.first, self.size = np.concatenate([self.first, self.first]), np.concatenate([self.size, self.size])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[at : at + n], self.size[at : at + n] = self.used + np.cumsum(size) - size, size
+        self.used, self.runs = self.used + len(ids), at + n
+        self.known |= zip(words, range(at, at + n), strict=True)
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """The run of each word.
+
+        Letters of Latin-1 are a token run of their own whatever their case, and what ends them, a full stop or
+        comma, is another.
+        """
+        if len(self.known) > KEPT:
+            self.clear()
+        if not self.known:
+            self.add_others([".", ","])
+        known = self.known
+        whole, ended, rest = [], [], []
         for x in words:
-            body, end = (x[:-1], x[-1]) if x[-1:] in (".", ",") else (x, "")
-            if body.isalpha() and max(body) < "\u0100":
-                plain.append((x, body.lower(), end))
+            if x in known:
+                continue
+            body = x[:-1] if x[-1] in ".," else x
+            if body.isalpha() and (body.isascii() or max(body) < "\u0100"):
+                (whole if body is x else ended).append((x, body.lower()))
             else:
                 rest.append(x)
-        self.known |= self.fresh(rest)
-        self.stems |= self.fresh(list({s for _, s, _ in plain} - self.stems.keys()))
-        self.known |= {x: self.stems[s] + self.ends[end] for x, s, end in plain}
-
-    def fresh(self, words: list[str]) -> dict[str, bytes]:
-        found = {}
-        for k in range(0, len(words), 1 << 15):
-            part = words[k : k + (1 << 15)]
-            ids = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            found |= {x: pack_ids(e.ids) for x, e in zip(part, ids, strict=True)}
-        return found
-
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        self.learn(set().union(*split) - self.known.keys())
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        self.add_plain([s for s in dict.fromkeys(s for _, s in whole + ended) if s not in known])
+        known |= {x: known[s] for x, s in whole}
+        if ended:
+            both = np.array([(known[s], known[x[-1]]) for x, s in ended]).reshape(-1)
+            size = self.size[both].reshape(-1, 2).sum(1)
+            self.add([x for x, _ in ended], self.flat[spread(both, self.first, self.size)], size)
+        self.add_others(rest)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def add_others(self, words: list[str]) -> None:
+        for k in range(0, len(words), 1 << 14):
+            part = words[k : k + (1 << 14)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.add(part, np.fromiter(chain.from_iterable(found), "<u4", int(size.sum())), size)
+
+    def add_plain(self, words: list[str]) -> None:
+        for k in range(0, len(words), 1 << 16):
+            groups = [words[a : a + 256] for a in range(k, min(len(words), k + (1 << 16)), 256)]
+            for group, e in zip(groups, self.plain.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                self.add(group, ids, np.diff(ends, prepend=0))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end_id``, and the number of ids of each text."""
+        words, place, n_words = split(texts)
+        run = self.learn(words.to_pylist())
+        # the runs of this batch side by side, as most words come again
+        own, size = self.flat[spread(run, self.first, self.size)], self.size[run]
+        ids = own[spread(place, np.cumsum(size) - size, size)]
+        before = np.concatenate([[0], np.cumsum(size[place])])
+        ends = before[np.cumsum(n_words)]
+        total = np.diff(ends, prepend=0) + 1
+        out = np.full(len(ids) + len(total), end_id, "<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(total)), total - 1)] = ids
+        return out, total
 
 
 @lru_cache(maxsize=2)
@@ -142,58 +191,58 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, wi
     their own; other columns are ignored.
     """
     ship(docs.sparkSession)
-    width = 4 * capacity
-    end = np.array([end_id], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
+    out_schema = pa.schema(list(zip(names, types, strict=True)))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path)
         for frame in frames:
-            texts, names = frame["text"].fillna("").tolist(), frame["doc_id"]
-            for part in chunks(texts, CHUNK):
-                rows = []
-                for i, ids in zip(part, tokens.encode_batch([texts[i] for i in part]), strict=True):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), width)):
-                        x = ids[at : at + width]
-                        rows.append((i, k, at // 4, len(x) // 4, zlib.crc32(x), x))
-                i, k, at, n, crc, x = zip(*rows, strict=True)
-                out = pd.DataFrame({"doc_id": names.iloc[list(i)].to_numpy(), "piece": np.array(k, np.int32), "start": at, "length": n, "ids_crc32": crc})
-                yield out.assign(ids=list(x)) if with_ids else out
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return own_columns(docs, "doc_id", "text").mapInPandas(run, schema)
+            for at, texts in text_slices(frame.column("text")):
+                ids, total = tokens.encode(texts, end_id)
+                cuts = -(-total // capacity)
+                row = np.repeat(np.arange(len(total)), cuts)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = number * capacity
+                length = np.minimum(capacity, total[row] - start)
+                first = np.repeat(np.cumsum(total) - total, cuts) + start
+                view = memoryview(ids).cast("B")
+                parts = [view[4 * a : 4 * b] for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                columns = [frame.column("doc_id").take(pa.array(row + at)), number, start, length, list(map(zlib.crc32, parts))] + [parts] * with_ids
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema=out_schema)
+
+    rows = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(parts: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
     """``parts`` (one row for each piece, with its ``length``) with sequence_id and offset added.
 
-    Pieces that fill a sequence alone have one each. The others are dealt evenly to groups of about
-    ``group_pieces``, whatever their documents, and each group is packed by ``best_fit``. Ids of sequences
-    are unique, and the offsets in each are gapless from 0. An empty table gives an empty table.
+    Pieces that fill a sequence alone have one each, with a negative number, without a shuffle. The others are
+    dealt evenly to groups of about ``group_pieces``, whatever their documents and also if rows repeat, and each
+    group is packed by ``best_fit``. Ids of sequences are unique, and the offsets in each are gapless from 0. An
+    empty table gives an empty table. ``parts`` is written first, as rows are dealt by their place in it.
     """
     ship(parts.sparkSession)
-    n = parts.where(F.col("length") < cap.tokens).count()
-    groups = max(1, -(-n // cap.group_pieces))
-    keys = [c for c in ("doc_id", "piece", "start", "length", "ids_crc32") if c in parts.columns]
-    dealt = parts.withColumn(
-        "_group",
-        F.when(F.col("length") >= cap.tokens, -1 - F.pmod(F.xxhash64(*keys), F.lit(max(1, groups)))).otherwise(F.pmod(F.xxhash64(*keys), F.lit(groups))),
-    )
+    placed = materialise(parts, "pieces").withColumn("_row", F.monotonically_increasing_id())
+    full = F.col("length") >= cap.tokens
+    alone = placed.where(full).select(*parts.columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = placed.where(~full)
+    groups = max(1, -(-rest.count() // cap.group_pieces))
+    longs = [f.name for f in parts.schema if f.dataType.simpleString() == "bigint"]
+    dealt = hide_nulls(rest.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))), *longs)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", *[k for k in keys if k != "length"]], ascending=[False] + [True] * (len(keys) - 1), kind="stable").reset_index(drop=True)
-        group, lengths = int(frame["_group"].iloc[0]), frame["length"].to_numpy()
-        local = np.arange(len(frame)) if group < 0 else best_fit(lengths, cap)
-        # groups interleave: 2 * g for packed ones, 2 * g + 1 for full pieces
-        code = 2 * group if group >= 0 else 2 * (-1 - group) + 1
-        out = frame.assign(sequence_id=code * (1 << 32) + local)
+        frame = frame.sort_values(["length", "_row"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        out = frame.assign(sequence_id=int(frame["_group"].iloc[0]) * (1 << 32) + best_fit(frame["length"].to_numpy(), cap))
         out["offset"] = out.groupby("sequence_id")["length"].cumsum() - out["length"]
-        return out.drop(columns="_group")
+        return out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("_group").applyInPandas(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence_id long, offset long"
+    packed = show_nulls(dealt.groupBy("_group").applyInPandas(run, schema), *longs)
+    return packed.select(*alone.columns).unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, path: str, cap: Capacity = Capacity(), end_id: int = 1) -> DataFrame:
     """The pieces of all documents, packed; ids stay out of the shuffle, ``pieces`` gives them by (doc_id, piece)."""
-    return pack(materialise(pieces(docs, path, cap.tokens, end_id, with_ids=False), "pieces"), cap)
+    return pack(pieces(docs, path, cap.tokens, end_id, with_ids=False), cap)
