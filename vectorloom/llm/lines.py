@@ -44,34 +44,20 @@ def _places(docs: DataFrame, min_chars: int) -> DataFrame:
 def frequent_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """h1, h2, owner of each key of at least ``min_chars`` that at least ``min_docs`` documents hold; owner is the largest doc_id.
 
-    Hashes are taken once for each document before they are counted, and counted partly before they are
-    shuffled, so a line that a third of all documents hold is one row for each task.
+    A hash is counted once for each document, however many rows and lines the document has. (hash, document) is
+    the key of the first shuffle, so a line that a third of all documents hold is dealt to all tasks, and the
+    counts are summed partly before the second.
     """
-    own = docs.select(
-        "doc_id",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.filter(F.transform(_split(F.col("text")), line_key), lambda k: F.length(k) >= min_chars),
-                    lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2")),
-                )
-            )
-        ).alias("x"),
-    )
-    return (
-        own.groupBy("x.h1", "x.h2")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("owner"))
-        .where(F.col("n") >= min_docs)
-        .select("h1", "h2", "owner")
-    )
+    once = _places(docs, min_chars).select("h1", "h2", "doc_id").distinct()
+    return once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("owner")).where(F.col("n") >= min_docs).select("h1", "h2", "owner")
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
     """``docs`` with n_lines, n_dropped (long) and kept_text added.
 
-    A null or empty text is one empty line. Rows are documents: each row of a repeated doc_id is counted, and
-    every row of the largest doc_id keeps the line. A null doc_id counts as a document and is less than any
-    other. A text of which all lines go becomes empty. Other columns stay as they are, but for
+    A null or empty text is one empty line. Rows of the same doc_id are one document: they count once, and
+    every row of the largest doc_id keeps the line. All rows without a doc_id count as one document, which is
+    less than any other. A text of which all lines go becomes empty. Other columns stay as they are, but for
     such as are named like the three that are added, which these replace.
 
     Frequent lines are broadcast if there are at most ``broadcast_rows`` of them (24 bytes each); beyond that
