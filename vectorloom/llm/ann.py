@@ -4,20 +4,24 @@ A vector is split into subspaces with 16 centroids each (four bits). Centroids a
 loss: the part of the residual parallel to the vector, which shifts its inner products with the queries that
 matter, weighs more than the part at right angles. A scan adds up table entries, two codes a byte; what it finds
 best in a block of rows is ranked again by exact inner products in double precision.
+
+The index stays where it is: a bounded block of queries is broadcast to the tasks that hold it, each task keeps its
+``k`` best rows a query, and only those are shuffled. No vector of the index is copied or sent.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from collections.abc import Iterator
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vectorloom.llm.common import materialise, ship
+from vectorloom.llm.common import materialise, new_path, ship
 
 
 @dataclass(frozen=True)
@@ -29,12 +33,19 @@ class Plan:
     #: Cosine of the queries that matter; sets the weight of the parallel residual.
     threshold: float = 0.2
     rounds: int = 6
-    #: Different vectors of each block that are ranked exactly for each query.
-    rerank: int = 400
+    #: Share of the rows of a block that are ranked exactly for each query, and how many times ``k`` at least.
+    rerank: float = 0.02
+    least: int = 4
     #: Beyond those, all within so many standard deviations of the scan's error are ranked too.
-    margin: float = 4.0
-    rows_per_block: int = 16_384
-    queries_per_block: int = 4_096
+    margin: float = 2.0
+    #: Rows that are scanned together, rows of a task at most, and at least where there are idle cores.
+    block: int = 8_192
+    task: int = 65_536
+    small_task: int = 2_048
+    #: Bytes of the vectors of a block of queries, which is broadcast.
+    query_bytes: int = 16 << 20
+    #: Rows up to which a table of crowded vectors is broadcast.
+    broadcast_rows: int = 200_000
 
 
 class Quantiser:
@@ -135,88 +146,155 @@ def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
+def uncrowded(vectors: DataFrame, k: int, most: int) -> DataFrame:
+    """``vectors`` without rows that can't be among the ``k`` nearest of any query, as k + 1 smaller ids have the same vector.
+
+    Vectors are told apart by 128 bits of hash. Only hashes and ids are shuffled; the few vectors that more than
+    k + 1 rows have come back with the largest id that counts.
+    """
+    marked = vectors.withColumns({"_h1": F.xxhash64("v"), "_h2": F.xxhash64(F.lit(1), "v")})
+    names = marked.select("_h1", "_h2", "vec_id").distinct()
+    crowded = names.groupBy("_h1", "_h2").count().where(F.col("count") > k + 1).select("_h1", "_h2")
+    crowded = materialise(crowded, "crowded")
+    few = crowded.limit(most + 1).count() <= most
+    by = Window.partitionBy("_h1", "_h2").orderBy("vec_id")
+    own = names.join(F.broadcast(crowded) if few else crowded, ["_h1", "_h2"]).withColumn("_at", F.row_number().over(by)).where(F.col("_at") <= k + 1)
+    last = materialise(own.groupBy("_h1", "_h2").agg(F.max("vec_id").alias("_last")), "last")
+    both = marked.join(F.broadcast(last) if few else last, ["_h1", "_h2"], "left")
+    return both.where(F.col("_last").isNull() | (F.col("vec_id") <= F.col("_last"))).select("vec_id", "v")
+
+
+def matrix(column: pa.Array, d: int) -> np.ndarray:
+    """The rows of a column of lists of ``d`` doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+class Scan:
+    """The ``k`` nearest rows so far of each query of a block."""
+
+    def __init__(self, quantiser: Quantiser, names: np.ndarray, q: np.ndarray, k: int, plan: Plan) -> None:
+        self.quantiser, self.names, self.q, self.k, self.plan = quantiser, names, q, k, plan
+        self.ids = [np.empty(0, np.int64)] * len(q)
+        self.scores = [np.empty(0)] * len(q)
+        #: Pairs of a query and a row, and how many of them were ranked exactly.
+        self.pairs = self.ranked = 0
+
+    def rows(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray) -> None:
+        """Takes a block of rows; codes: two subspaces a byte."""
+        take, k = min(len(ids), max(self.plan.least * self.k, int(self.plan.rerank * len(ids)))), self.k
+        columns = np.ascontiguousarray(codes.T)
+        for a in range(0, len(self.q), 64):
+            tables = self.quantiser.tables(self.q[a : a + 64])
+            scores = np.zeros((tables.shape[0], len(ids)), np.float32)
+            for b, column in enumerate(columns):
+                scores += tables[:, b].take(column, axis=1)
+            for i, row in enumerate(scores, a):
+                best = np.argpartition(-row, take - 1)[:take]
+                exact = (x[best] * self.q[i]).sum(1)
+                if take < len(ids):
+                    # as errors go, all that may still be among the k best: many for a group of near copies
+                    off = exact - row[best]
+                    known = np.concatenate([exact, self.scores[i]])
+                    kth = -np.partition(-known, k)[k] if len(known) > k else -np.inf  # the query itself may be one of them
+                    more = np.flatnonzero(row >= kth - off.mean() - self.plan.margin * off.std())
+                    more = more[~np.isin(more, best)]
+                    best = np.concatenate([best, more])
+                    exact = np.concatenate([exact, (x[more] * self.q[i]).sum(1)])
+                self.pairs, self.ranked = self.pairs + len(ids), self.ranked + len(best)
+                self.keep(i, ids[best], exact)
+
+    def keep(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        other = ids != self.names[i]
+        ids, scores = np.concatenate([self.ids[i], ids[other]]), np.concatenate([self.scores[i], scores[other]])
+        if len(scores) > 2 * self.k:  # nothing below the kth best of all, if no id comes twice
+            least = -np.partition(-scores, 2 * self.k)[2 * self.k]
+            near = scores >= least
+            if len(np.unique(ids[near])) >= self.k:
+                ids, scores = ids[near], scores[near]
+        order = np.lexsort((ids, -scores))
+        first = np.sort(np.unique(ids[order], return_index=True)[1])[: self.k]
+        self.ids[i], self.scores[i] = ids[order][first], scores[order][first]
+
+    def table(self) -> pa.RecordBatch:
+        size = list(map(len, self.ids))
+        columns = [np.repeat(self.names, size), np.concatenate(self.ids), np.concatenate(self.scores)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["query_id", "vec_id", "score"])
+
+
+def fitted(vectors: DataFrame, plan: Plan) -> tuple[Quantiser | None, int]:
+    """Codebooks fitted on the sample, and the length of most of its vectors."""
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(plan.sample).select("v").toArrow()["v"].combine_chunks()
+    size = sample.value_lengths().to_numpy(zero_copy_only=False)
+    if not len(size):
+        return None, 0
+    d = int(np.bincount(size.astype(np.int64)).argmax())
+    return fit(matrix(sample.filter(pa.array(size == d)), d), plan), d
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan = Plan()) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product of each query, except its own id.
 
     Both tables have vec_id and v (see ``valid``). Vectors of another length than most of the sample take no
-    part. Of rows with the same id the one with the least vector counts. Ties go to the smaller id. Equal
-    vectors are scanned as one and stand for their smallest ids, so copies crowd nothing out.
-
-    Rows and queries are dealt to blocks by the hash of their ids; each pair of blocks is one task's group,
-    whose size is fixed, and gives ``k`` rows for each query.
+    part; a warning tells their number. An id counts once for a query, by its largest score, and of query
+    rows with the same id the one with the least vector counts. Ties go to the smaller id. An empty table has no
+    results.
     """
     spark = vectors.sparkSession
     ship(spark)
-    sample = [r["v"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(plan.sample).select("v").collect()]
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], schema)
-    lengths = pd.Series([len(v) for v in sample])
-    d = int(lengths.mode().iloc[0])
-    quantiser = fit(np.array([v for v in sample if len(v) == d], float), plan)
-
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    quantiser, d = fitted(vectors, plan)
+    schema = "query_id long, vec_id long, score double"
+    if quantiser is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    others = vectors.where(F.size("v") != d).count()
+    if others:
+        warnings.warn(f"{others} vectors of another length than {d} take no part", stacklevel=2)
+
+    def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            if len(frame):
-                codes = packed(quantiser.assign(np.stack(frame["v"].to_numpy()).astype(float)))
-                yield frame.assign(code=[c.tobytes() for c in codes])
-
-    index = materialise(vectors.where(F.size("v") == d).mapInPandas(encode, "vec_id long, v array<double>, code binary"), "index")
-    asked = queries.where(F.size("v") == d)
-    blocks = max(1, -(-index.count() // plan.rows_per_block))
-    groups = max(1, -(-asked.count() // plan.queries_per_block))
-
-    def dealt(name: str, n: int):
-        return F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(n)).alias(name)
-
-    rows = index.select("*", dealt("block", blocks)).select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    asks = asked.select("vec_id", "v", dealt("group", groups)).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def first_of_each(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
-        frame = frame.assign(_v=frame["v"].map(tuple)).sort_values(["vec_id", "_v"]).drop_duplicates("vec_id") if frame["vec_id"].duplicated().any() else frame.sort_values("vec_id")
-        return frame["vec_id"].to_numpy(), np.stack(frame["v"].to_numpy()).astype(float), frame
-
-    def scan(key: tuple, own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(wanted):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        ids, x, own = first_of_each(own)
-        names, q, _ = first_of_each(wanted)
-        codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(ids), -1)
-        # ids are sorted, so the copies of each vector are too; more than k of them and the query's own never count
-        kind = pd.factorize(pd.Series([v.tobytes() for v in x]))[0]
-        nth = pd.Series(kind).groupby(kind).cumcount().to_numpy()
-        heads, members = np.flatnonzero(nth == 0), np.flatnonzero(nth <= k)
-        members = members[np.argsort(kind[members], kind="stable")]
-        start = np.searchsorted(kind[members], np.arange(len(heads) + 1))
-        codes = codes[heads]
-        take = min(len(heads), plan.rerank)
-        out: list[tuple[np.ndarray, ...]] = []
-        for a in range(0, len(q), 64):
-            tables = quantiser.tables(q[a : a + 64])
-            scores = np.zeros((tables.shape[0], len(heads)), np.float32)
-            for b in range(codes.shape[1]):
-                scores += tables[:, b].take(codes[:, b], axis=1)
-            for i, row in enumerate(scores):
-                best = np.argpartition(-row, take - 1)[:take]
-                exact = (x[heads[best]] * q[a + i]).sum(1)
-                if take < len(heads) and take > k:
-                    # as errors go, all that may still be among the k best: many for a group of near copies
-                    off = exact - row[best]
-                    bound = -np.partition(-exact, k - 1)[k - 1] - off.mean() - plan.margin * off.std()
-                    best = np.union1d(best, np.flatnonzero(row >= bound))
-                    exact = (x[heads[best]] * q[a + i]).sum(1)
-                best = best[np.argsort(-exact, kind="stable")]
-                exact = np.sort(exact)[::-1]
-                # all kinds that tie with the k + 1st, as their ids decide
-                cut = len(best) if len(best) <= k else np.searchsorted(-exact, -exact[k], side="right")
-                at = np.concatenate([members[start[h] : start[h + 1]] for h in best[:cut]])
-                value = np.repeat(exact[:cut], start[best[:cut] + 1] - start[best[:cut]])
-                other = ids[at] != names[a + i]
-                at, value = at[other], value[other]
-                order = np.lexsort((ids[at], -value))[:k]
-                out.append((np.full(len(order), names[a + i]), ids[at][order], value[order]))
-        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
-
-    found = asks.groupBy("group", "block").cogroup(rows.groupBy("group", "block")).applyInPandas(lambda key, w, o: scan(key, o, w), "query_id long, vec_id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            if frame.num_rows:
+                codes = packed(quantiser.assign(matrix(frame.column("v"), d)))
+                yield pa.RecordBatch.from_arrays([frame.column("vec_id"), frame.column("v"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "code"])
+
+    rows = materialise(uncrowded(vectors.where(F.size("v") == d), k, plan.broadcast_rows), "vectors")
+    n = rows.count()
+    tasks = max(-(-n // plan.task), min(spark.sparkContext.defaultParallelism, -(-n // plan.small_task)), 1)
+    index = materialise(rows.repartition(tasks).mapInArrow(encode, "vec_id long, v array<double>, code binary"), "index")
+
+    asked = queries.where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = materialise(asked, "queries")
+    blocks = max(1, -(-asked.count() * d * 8 // plan.query_bytes))
+    path = new_path(spark, "blocks")
+    asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).write.partitionBy("block").parquet(path)
+    dealt = spark.read.schema("vec_id long, v array<double>, block long").parquet(path)
+    found = None
+    for b in range(blocks):
+        own = dealt.where(F.col("block") == b).select("vec_id", "v").toArrow()  # at most about query_bytes
+        if not own.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), matrix(own["v"].combine_chunks(), d)))
+
+        def scan(frames: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            state, held = Scan(quantiser, *sent.value, k, plan), []
+
+            def flush() -> None:
+                if held:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    codes = np.frombuffer(b"".join(whole["code"].to_pylist()), np.uint8).reshape(whole.num_rows, -1)
+                    state.rows(whole["vec_id"].to_numpy(), matrix(whole["v"].combine_chunks(), d), codes)
+                    held.clear()
+
+            for frame in frames:
+                for at in range(0, frame.num_rows, plan.block):
+                    held.append(frame.slice(at, plan.block))
+                    if sum(x.num_rows for x in held) >= plan.block:
+                        flush()
+            flush()
+            yield state.table()
+
+        near = index.mapInArrow(scan, schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        part = materialise(best, "found")
+        sent.unpersist()
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

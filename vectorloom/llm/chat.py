@@ -37,23 +37,27 @@ def unescape(text: Column) -> Column:
 def ancestors(nodes: DataFrame) -> DataFrame:
     """tree, leaf, node, up: every message on the path of every leaf, ``up`` steps above it.
 
-    ``nodes``: tree, node, parent. A parent that isn't a message of the tree counts as none, so its children
-    are roots. Messages in a cycle have no leaf below or above them that is a root, and are left out.
-    Rounds end when no jump is left; each is cut by a written table, so a lost executor costs one round.
+    ``nodes``: tree, node, parent. Rows of the same message count once, with the least parent. A parent that isn't
+    a message of the tree counts as none, so its children are roots. Messages of a cycle, and such as hang below
+    one, have no root; no path leads through them. Rounds end when no jump is left, or when a jump is longer
+    than the largest tree, which only cycles give; each is cut by a written table, so a lost executor costs one
+    round.
     """
-    known = nodes.select("tree", F.col("node").alias("parent")).distinct()
-    jump = materialise(nodes.where(F.col("parent").isNotNull()).select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to")), "jump")
-    inner = jump.select("tree", F.col("to").alias("node")).distinct()
-    found = materialise(nodes.select("tree", "node").join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up")), "paths")
-    step = 1
-    while step == 1 or not jump.isEmpty():
-        higher = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
-        found = materialise(found.unionByName(higher), "paths")
+    nodes = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"))
+    known = nodes.select("tree", F.col("node").alias("parent"))
+    jump = materialise(nodes.where(F.col("parent").isNotNull()).join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to")), "jump")
+    most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps = []
+    while (1 << len(jumps)) <= most and not jump.isEmpty():
+        jumps.append(jump)
         on = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("_next"))
         jump = materialise(jump.join(on, ["tree", "to"]).select("tree", "node", F.col("_next").alias("to")), "jump")
-        step *= 2
-        if step > 1 << 30:
-            raise ValueError("the parents form a cycle above a leaf")
+    inner = jumps[0].select("tree", F.col("to").alias("node")).distinct() if jumps else known.limit(0).withColumnRenamed("parent", "node")
+    leaves = nodes.select("tree", "node").join(inner, ["tree", "node"], "left_anti").join(jump.select("tree", "node"), ["tree", "node"], "left_anti")
+    found = materialise(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up")), "paths")
+    for k, jump in enumerate(jumps):
+        higher = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        found = materialise(found.unionByName(higher), "paths")
     return found
 
 
@@ -61,14 +65,17 @@ def format_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """One row for each chosen path: tree, leaf, rank, score, n_turns, formatted, loss_spans.
 
     ``messages``: tree, node, parent, role, text, score. The ``best`` branches of each tree are chosen by the
-    mean score of their messages (null: 0), ties by the smaller leaf. Null roles and texts are empty.
+    mean score of their messages (null: 0) to twelve places, ties by the smaller leaf. Null roles and texts are
+    empty. Rows of the same message count once, with the least of each of their columns. Branches are ranked before any
+    text is joined, so only the texts of chosen branches move.
     loss_spans: start and length, in code points from 0, of each assistant text in ``formatted``.
     """
     paths = ancestors(messages.select("tree", "node", "parent"))
-    full = paths.join(messages.select("tree", "node", "role", "text", "score"), ["tree", "node"])
+    once = messages.groupBy("tree", "node").agg(*[F.min(c).alias(c) for c in ("role", "text", "score")])
+    scored = paths.join(messages.groupBy("tree", "node").agg(F.min("score").alias("score")), ["tree", "node"])
     ranked = (
-        full.groupBy("tree", "leaf")
-        .agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("path_score"))
+        scored.groupBy("tree", "leaf")
+        .agg(F.round(F.avg(F.coalesce("score", F.lit(0.0))), 12).alias("path_score"))
         .withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
         .where(F.col("rank") <= best)
     )
@@ -78,7 +85,8 @@ def format_paths(messages: DataFrame, best: int = 1) -> DataFrame:
         F.concat(F.lit(START), escape(F.coalesce("role", F.lit(""))), F.lit(BETWEEN)).alias("head"),
         escape(F.coalesce("text", F.lit(""))).alias("body"),
     )
-    joined = full.join(ranked, ["tree", "leaf"]).groupBy("tree", "leaf", "rank", "path_score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    chosen = materialise(paths.join(ranked, ["tree", "leaf"]), "chosen")
+    joined = chosen.join(once, ["tree", "node"]).groupBy("tree", "leaf", "rank", "path_score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
     def add(state: Column, x: Column) -> Column:

@@ -14,6 +14,7 @@ import math
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,10 +77,11 @@ class Store:
         return version, [Run(**r) for r in json.loads(text)["runs"]]
 
     def commit(self, version: int, runs: list[Run]) -> int:
-        """Makes ``runs`` version ``version + 1``.
+        """Makes ``runs`` version ``version + 1``; of several writers that try, one succeeds.
 
-        The manifest is written under another name and renamed, which is atomic and does not replace a file;
-        stores without atomic rename need an output committer of their own.
+        The manifest is written whole under another name and then given its own in one step that fails if the
+        name is taken: a hard link on a local file system (where rename replaces), else a rename without overwrite,
+        which HDFS does atomically. Object stores without such a rename need a committer of their own.
         """
         new = version + 1
         to = self._file(f"{self.path}/manifest/{new:010d}.json")
@@ -89,9 +91,22 @@ class Store:
             out.write(bytearray(json.dumps({"version": new, "runs": [asdict(r) for r in runs]}).encode()))
         finally:
             out.close()
-        if self._fs.exists(to) or not self._fs.rename(draft, to):
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                place = lambda p: self._jvm.java.nio.file.Paths.get(self._fs.makeQualified(p).toUri())
+                self._jvm.java.nio.file.Files.createLink(place(to), place(draft))
+            else:
+                none = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                options[0] = none
+                whole = self._fs.makeQualified(to)
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(draft), whole, options)
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in str(error.java_exception):
+                raise
+            raise CommitConflict(f"version {new} exists") from None
+        finally:
             self._fs.delete(draft, False)
-            raise CommitConflict(f"version {new} exists")
         return new
 
     def _written(self, df: DataFrame) -> list[Run]:
@@ -151,16 +166,19 @@ class Store:
         return version
 
     def vacuum(self, keep_versions: int = 1) -> int:
-        """Deletes runs that none of the last versions names, and gives how many; no writer may be at work."""
+        """Deletes runs that none of the last versions names, and gives how many; no writer may be at work.
+
+        Old manifests go first, so a crash in between leaves files without a version and no version without files.
+        """
         known = self.versions()
         used = {r.name for v in known[-keep_versions:] for r in self.manifest(v)[1]}
+        for v in known[:-keep_versions]:
+            self._fs.delete(self._file(f"{self.path}/manifest/{v:010d}.json"), False)
         top, gone = self._file(f"{self.path}/data"), 0
         for s in self._fs.listStatus(top) if self._fs.exists(top) else []:
             if s.getPath().getName() not in used:
                 self._fs.delete(s.getPath(), True)
                 gone += 1
-        for v in known[:-keep_versions]:
-            self._fs.delete(self._file(f"{self.path}/manifest/{v:010d}.json"), False)
         return gone
 
 

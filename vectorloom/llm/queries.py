@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm import ann, bpe, chat, compaction, langid, lines, minhash, packing, quality, quality_sql, suffix
-from vectorloom.llm.common import materialise, shared_dir, table
+from vectorloom.llm.common import materialise, new_path, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -52,6 +50,20 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_paths(messages))
 
 
+def reply_tree_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best branches of trees that branch: message n of a conversation answers message n / 2, and has a score by its length."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tree = chat.messages_of(turns).withColumns(
+        {
+            "parent": F.when(F.col("node") > 1, F.floor(F.col("node") / 2)),
+            "score": (F.length(F.coalesce("text", F.lit(""))) % 7).cast("double"),
+        }
+    )
+    found = chat.format_paths(materialise(tree, "messages"), best=2)
+    read = F.transform(chat.parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return found.select(F.col("tree").cast("long").alias("conv_id"), "leaf", "rank", F.round("score", 9).alias("score"), "n_turns", F.sha2(F.array_join(read, ""), 256).alias("turns_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -64,11 +76,22 @@ def op7_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader of the last version finds after four arrivals and the merges that they cause."""
-    store = compaction.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store = compaction.Store(spark, new_path(spark, "store"))
     found = compaction.ingest(table(spark, sf_dir, "documents"), store, "doc_id", arrivals=4, tiers=compaction.Tiers())
     return found.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def compaction_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifests say after four arrivals of a table that is small enough for one tier: each version's runs, files and rows."""
+    store = compaction.Store(spark, new_path(spark, "store"))
+    docs = table(spark, sf_dir, "documents")
+    for k in range(4):
+        store.append(docs.where(F.col("doc_id") % 4 == k))
+    store.compact(compaction.Tiers(least_bytes=1 << 40, target_bytes=1 << 40))
+    rows = [(v, len(runs), sum(len(r.files) for r in runs), sum(r.rows for r in runs)) for v, runs in map(store.manifest, store.versions())]
+    return spark.createDataFrame([(v, n, f if v == 5 else None, r) for v, n, f, r in rows], "version long, n_runs long, n_files long, n_rows long")
+
+
 def op9_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return found.select(
@@ -90,9 +113,11 @@ QUERIES = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_super_minhash": op4_super_minhash,
     "op5_reply_trees": op5_reply_trees,
+    "reply_tree_branches": reply_tree_branches,
     "op6_line_dedup": op6_line_dedup,
     "op7_anisotropic_search": op7_anisotropic_search,
     "op8_size_tiered_compaction": op8_size_tiered_compaction,
+    "compaction_manifest": compaction_manifest,
     "op9_bpe_segment_tree": op9_bpe_segment_tree,
     "op10_language_id": op10_language_id,
 }
@@ -133,6 +158,23 @@ ORACLES = {
         FROM l LEFT JOIN f ON l.k = f.k
         GROUP BY doc_id
     """,
+    "reply_tree_branches": """
+        WITH m AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS node, count(*) OVER (PARTITION BY conv_id) AS n
+            FROM conversations),
+        leaves AS (SELECT conv_id, node AS leaf FROM m WHERE 2 * node > n),
+        p AS (SELECT conv_id, leaf, unnest(list_transform(range(0, floor(log2(leaf))::BIGINT + 1), lambda k: leaf >> k)) AS node FROM leaves),
+        b AS (
+            SELECT conv_id, leaf, round(avg(length(text) % 7), 9) AS score, round(avg(length(text) % 7), 12) AS s, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY node)) AS turns_sha256
+            FROM p JOIN m USING (conv_id, node) GROUP BY conv_id, leaf)
+        SELECT conv_id, leaf, row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, leaf)::INT AS rank, score, n_turns, turns_sha256
+        FROM b QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, leaf) <= 2
+    """,
+    "compaction_manifest": """
+        SELECT v AS version, CASE WHEN v = 5 THEN 1 ELSE v END AS n_runs, CASE WHEN v = 5 THEN 1 END AS n_files,
+               (SELECT count(*) FROM documents WHERE v = 5 OR doc_id % 4 < v) AS n_rows FROM range(1, 6) r(v)
+    """,
     "op8_size_tiered_compaction": """
         SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents
     """,
