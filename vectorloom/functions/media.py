@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values.
-IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
+#: Files of a folder that are frames, and paths that are images.
+FRAME_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
+IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".webp", ".tiff", ".svg")
 
 
 def sample_frames(frames: Column, k: int, pad: bool = True) -> Column:
@@ -26,8 +27,22 @@ def stride_frames(total: Column, most: int) -> Column:
 
 def is_image_path(path: Column) -> Column:
     """The extension of a path, or of a URL's path, is an image's."""
-    bare = F.when(path.rlike("^[a-z]+://"), F.parse_url(path, F.lit("PATH"))).otherwise(path)
-    return F.coalesce(F.lower(F.regexp_extract(bare, r"(\.[^./]*)$", 1)).isin(*IMAGE_EXTENSIONS), F.lit(False))
+    bare = F.when(path.rlike("^https?://"), F.parse_url(path, F.lit("PATH"))).otherwise(path)
+    return _extension(bare).isin(*IMAGE_EXTENSIONS)
+
+
+def is_frame(path: Column) -> Column:
+    """A file of a folder of frames."""
+    return _extension(path).isin(*FRAME_EXTENSIONS)
+
+
+def _extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"[^/](\.[^./]*)$", 1))
+
+
+def is_video_input(frames: Column) -> Column:
+    """A list of frames is a video if its first is an image; a single path always is one."""
+    return F.coalesce(is_image_path(F.get(frames, F.lit(0))), F.lit(False))
 
 
 def content(video: Column, image: Column, text: Column) -> Column:

@@ -55,10 +55,10 @@ def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", keep: bool = False, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` in the shared folder and reads it again."""
     path = new_path(df.sparkSession, name, keep)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +64,21 @@ def last_token(mask: Column) -> Column:
 def rerank_score(yes: Column, no: Column) -> Column:
     """Probability of yes from two logits."""
     return 1 / (1 + F.exp(no - yes))
+
+
+def to_half(v: Column | str) -> Column:
+    """Components in half precision, two bytes each, little end first; no built-in type holds them."""
+
+    def pack(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else np.asarray(x, "<f2").tobytes())
+
+    return F.pandas_udf(pack, "binary")(v)
+
+
+def from_half(raw: Column | str) -> Column:
+    """The reverse of ``to_half``, in single precision."""
+
+    def unpack(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else np.frombuffer(x, "<f2").astype(np.float32))
+
+    return F.pandas_udf(unpack, "array<float>")(raw)

@@ -61,3 +61,28 @@ def steps(rows: int, batch_size: int, accumulate: int, epochs: int, warmup_ratio
     """Optimiser steps and how many of them warm up."""
     total = rows // batch_size // accumulate * epochs
     return total, int(total * warmup_ratio)
+
+
+def plain_shuffle(rows: DataFrame, key: str, batch_size: int, ranks: int = 1, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """``key``, rank, batch, slot: all rows shuffled by the md5 of the key and the seed, dealt to the ranks in turn, in full batches.
+
+    Every rank has the same number of rows and batches; what is left over goes.
+    """
+    shuffled = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"_{seed + epoch}")))
+    placed = ordinals(rows.select(key).withColumn("_by", shuffled), ["_by", key], name="_at")
+    full = placed.count() // (ranks * batch_size) * batch_size
+    place = F.floor(F.col("_at") / ranks)
+    return placed.where(F.col("_at") < full * ranks).select(
+        key, (F.col("_at") % ranks).cast("int").alias("rank"), F.floor(place / batch_size).cast("int").alias("batch"), (place % batch_size).cast("int").alias("slot")
+    )
+
+
+def gather(rows: DataFrame, batch: str = "batch", rank: str = "rank", slot: str = "slot") -> DataFrame:
+    """``rows`` with global_slot: their place in the batch that all ranks make together, rank by rank.
+
+    A loss over global batches joins within ``batch`` alone, which is what an exchange of vectors between workers gives.
+    """
+    sizes = rows.groupBy(batch, rank).agg(F.count(F.lit(1)).alias("_n"))
+    later = sizes.select(batch, F.col(rank).alias("_other"), F.col("_n").alias("_before"))
+    first = sizes.join(later, batch).groupBy(batch, rank).agg(F.coalesce(F.sum(F.when(F.col("_other") < F.col(rank), F.col("_before"))), F.lit(0)).alias("_first"))
+    return rows.join(first, [batch, rank]).withColumn("global_slot", (F.col("_first") + F.col(slot)).cast("long")).drop("_first")

@@ -1,11 +1,11 @@
-"""Instructions of queries and documents, by rule."""
+"""Instructions of queries and documents, from tables of names."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.functions.text import DEFAULT_INSTRUCTION, clean_placeholder, strip
+from vectorloom.functions.text import DEFAULT_INSTRUCTION, strip
 
 #: Tasks of the benchmark's subsets, and the texts of the instructions.
 TASKS = {
@@ -25,14 +25,36 @@ TEXT_RETRIEVAL = "Given a query, retrieve a relevant passage."
 SEMANTIC_TEXT = "Retrieve semantically similar text."
 DOCUMENT_PAGE = "Retrieve a document page relevant to the query."
 VIDEO = "Represent the video with the following text for retrieval."
+MOMENT_VIDEO = "Find the clip that corresponds to the given sentence and video segment."
+MOMENT_IMAGE = "Select the video clip that aligns with the given text and image."
+
+#: Subsets whose name alone settles the instruction; classification has two, by turns.
+OF_SUBSET = {
+    **dict.fromkeys(TASKS["vqa"], VQA),
+    **{f"{s}_t2i": TEXT_TO_IMAGE for s in ("MSCOCO", "VisualNews")},
+    **{f"{s}_i2t": IMAGE_TO_TEXT for s in ("MSCOCO", "VisualNews")},
+    "MSCOCO": GROUNDING,
+}
+#: Other sources, as rows without an instruction name them.
+OF_SOURCE = {
+    "MegaPairs": IMAGE_PAIR,
+    "ColPali": DOCUMENT_PAGE,
+    **dict.fromkeys(("llava_hound", "msrvtt", "video_retrieval"), VIDEO),
+    **dict.fromkeys(("msmarco", "gooaq"), TEXT_RETRIEVAL),
+    **dict.fromkeys(("allnli", "quora"), SEMANTIC_TEXT),
+}
+#: Kinds of document tasks: what the name starts with, and whether it holds ``v2``.
+DOCUMENT_KINDS = {("ViDoRe", False): "vidore_v1", ("ViDoRe", True): "vidore_v2", ("VisRAG", False): "visrag", ("VisRAG", True): "visrag"}
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """The value of a key of a small table; null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
 def task_type(subset: Column) -> Column:
     """The task of a subset; retrieval for unknown ones."""
-    out = F.lit("retrieval")
-    for name, subsets in TASKS.items():
-        out = F.when(subset.isin(*subsets), name).otherwise(out)
-    return out
+    return F.coalesce(lookup({s: task for task, subsets in TASKS.items() for s in subsets}, subset), F.lit("retrieval"))
 
 
 def bare_subset(name: Column) -> Column:
@@ -40,35 +62,28 @@ def bare_subset(name: Column) -> Column:
 
 
 def alternate(index: Column) -> Column:
-    return F.when(F.pmod(index, F.lit(2)) == 0, CLASSIFICATION[0]).otherwise(CLASSIFICATION[1])
-
-
-def _filled(text: Column) -> Column:
-    return F.coalesce(strip(text) != "", F.lit(False))
-
-
-def benchmark_instruction(subset: Column, index: Column, query: Column, query_image: Column, positive: Column, positive_image: Column) -> Column:
-    """The query's instruction for a benchmark row: by its task, then by its subset, then by what both sides hold."""
-    has = lambda text: F.coalesce(clean_placeholder(text) != "", F.lit(False))
-    q, p = _filled(query_image), _filled(positive_image)
-    kind = task_type(subset)
-    return (
-        F.when(kind == "classification", alternate(index))
-        .when(kind == "vqa", VQA)
-        .when(subset.isin("MSCOCO_t2i", "VisualNews_t2i"), TEXT_TO_IMAGE)
-        .when(subset.isin("MSCOCO_i2t", "VisualNews_i2t"), IMAGE_TO_TEXT)
-        .when(subset == "MSCOCO", GROUNDING)
-        .when(q & p, IMAGE_PAIR)
-        .when(q & has(positive), IMAGE_TO_TEXT)
-        .when(p & has(query), TEXT_TO_IMAGE)
-        .when(q, IMAGE_TO_TEXT)
-        .otherwise(TEXT_TO_IMAGE)
-    )
+    return F.get(F.array(*map(F.lit, CLASSIFICATION)), F.pmod(index, F.lit(2)).cast("int"))
+
+
+def of_subset(subset: Column, index: Column) -> Column:
+    """What the name of a subset settles, else null."""
+    return F.coalesce(lookup(OF_SUBSET, subset), F.when(subset.isin(*TASKS["classification"]), alternate(index)))
+
+
+def has_media(path: Column) -> Column:
+    """A path is given."""
+    return F.coalesce(strip(path) != "", F.lit(False))
+
+
+def benchmark_instruction(subset: Column, index: Column, query_image: Column, positive_image: Column) -> Column:
+    """The query's instruction for a benchmark row: by its subset, else by which sides have an image."""
+    sides = F.when(~has_media(query_image), TEXT_TO_IMAGE).when(has_media(positive_image), IMAGE_PAIR).otherwise(IMAGE_TO_TEXT)
+    return F.coalesce(of_subset(subset, index), sides)
 
 
-def _of_name(subset: Column, index: Column) -> Column:
-    none = F.lit(None).cast("string")
-    return benchmark_instruction(subset, index, none, none, none, none)
+def _named(subset: Column, index: Column) -> Column:
+    """For any of the benchmark's subsets without a look at its images; null for other names."""
+    return F.when(subset.isin(*SUBSETS), F.coalesce(of_subset(subset, index), F.lit(TEXT_TO_IMAGE)))
 
 
 def text_instruction(subset: Column) -> Column:
@@ -76,28 +91,20 @@ def text_instruction(subset: Column) -> Column:
 
 
 def mined_instruction(kind: Column, subset: Column, index: Column) -> Column:
-    """The query's instruction for a mined row: known subsets first, then the task, then the source's name."""
-    kind, name = F.coalesce(F.nullif(kind, F.lit("")), F.lit("retrieval")), bare_subset(subset)
-    known = F.when(kind == "classification", alternate(index)).when((kind == "vqa") | name.isin(*TASKS["vqa"]), VQA).otherwise(_of_name(name, index))
-    return (
-        F.when(name.isin(*SUBSETS), known)
-        .when(kind == "classification", alternate(index))
-        .when(F.lower(name) == "colpali", DOCUMENT_PAGE)
-        .otherwise(text_instruction(name))
-    )
+    """The query's instruction for a mined row, by its task and the name of its source."""
+    name = bare_subset(subset)
+    by_task = F.when(kind == "classification", alternate(index)).when((kind == "vqa") & name.isin(*SUBSETS), VQA)
+    return F.coalesce(by_task, _named(name, index), F.when(F.lower(name) == "colpali", DOCUMENT_PAGE), text_instruction(name))
 
 
 def fallback_instruction(kind: Column, subset: Column, index: Column) -> Column:
     """For rows that came without an instruction."""
-    return (
-        F.when(kind == "sts", SEMANTIC_TEXT)
-        .when(subset == "MegaPairs", IMAGE_PAIR)
-        .when(subset == "ColPali", DOCUMENT_PAGE)
-        .when(subset.isin("llava_hound", "msrvtt", "video_retrieval"), VIDEO)
-        .when(subset.isin("msmarco", "gooaq", "allnli", "quora"), text_instruction(subset))
-        .when(subset.isin(*SUBSETS), _of_name(subset, index))
-        .otherwise(DEFAULT_INSTRUCTION)
-    )
+    return F.coalesce(F.when(kind == "sts", SEMANTIC_TEXT), lookup(OF_SOURCE, subset), _named(subset, index), F.lit(DEFAULT_INSTRUCTION))
+
+
+def moment_instruction(query_media: Column, default: Column) -> Column:
+    """For moment search, by the kind of the query's own media."""
+    return F.coalesce(lookup({".mp4": MOMENT_VIDEO, ".jpg": MOMENT_IMAGE}, F.regexp_extract(F.coalesce(query_media, F.lit("")), r"(\.mp4|\.jpg)$", 1)), default)
 
 
 def side_instruction(side: Column, query_rule: Column) -> Column:
@@ -129,9 +136,19 @@ def resolve_prompts(tasks: DataFrame, prompts: DataFrame) -> DataFrame:
 
 def document_category(task: Column) -> Column:
     """Category of a document task by its name."""
-    return (
-        F.when(task.startswith("ViDoRe_") & ~task.contains("v2"), "vidore_v1")
-        .when(task.startswith("ViDoRe_"), "vidore_v2")
-        .when(task.startswith("VisRAG_"), "visrag")
-        .otherwise("vidoseek")
-    )
+    key = F.concat(F.regexp_extract(task, "^([^_]*)_", 1), F.when(task.contains("v2"), "|v2").otherwise("|"))
+    return F.coalesce(lookup({f"{start}|{'v2' if second else ''}": kind for (start, second), kind in DOCUMENT_KINDS.items()}, key), F.lit("vidoseek"))
+
+
+def task_code(kind: Column) -> Column:
+    """Number of a task in the vectors that workers exchange; unknown ones are retrieval."""
+    return F.when(kind == "sts", 0).when(kind == "classification", 2).otherwise(1)
+
+
+def task_of_code(code: Column) -> Column:
+    return F.get(F.array(F.lit("sts"), F.lit("retrieval"), F.lit("classification")), code)
+
+
+def encode_batch(task: Column, default: int) -> Column:
+    """Items that a model encodes at a time; a few tasks of long texts take less."""
+    return F.when(task.isin("STS22", "STS22.v2"), 16).otherwise(default)

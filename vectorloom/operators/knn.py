@@ -1,21 +1,52 @@
 """Exact search for the largest inner products.
 
-Queries and corpus are dealt to blocks, and each pair of blocks is one group that multiplies two matrices and
-gives ``k`` rows a query, so memory is bounded by the blocks and no pair of rows is ever a row of a table. Small
-inputs may take the expression kernel instead, which stays in the JVM. Both rank by (score descending, id).
+Blocks of queries of a bounded size are broadcast, one after the other, to the tasks that hold the corpus, which
+multiply two matrices and keep ``k`` rows a query. So no vector of the corpus is copied or shuffled, no pair of rows is
+ever a row of a table, and memory is bounded by the blocks. Small inputs may take the expression kernel
+instead, which stays in the JVM. Both rank by (score descending, id).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vectorloom.functions.cluster import ship
+from vectorloom.functions.tables import materialise, new_path
 from vectorloom.functions.vectors import dot
 
-QUERY_BLOCK, CORPUS_BLOCK = 4096, 16_384
+#: Bytes of the vectors of a block of queries, and rows of the corpus that are multiplied together.
+QUERY_BYTES, CORPUS_BLOCK = 16 << 20, 8_192
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The rows of a column of lists of as many doubles each."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def query_blocks(queries: DataFrame, key: str, most_bytes: int) -> Iterator[pa.Table]:
+    """The rows of ``queries`` (``key``, v, ...) in blocks of about ``most_bytes`` of vectors, each collected when it is asked for."""
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks = max(1, -(-size["n"] * (size["d"] or 0) * 8 // most_bytes))
+    if blocks == 1:
+        own = queries.toArrow()
+        if own.num_rows:
+            yield own
+        return
+    path = new_path(queries.sparkSession, "blocks")
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    dealt.write.partitionBy("_block").parquet(path)
+    stored = queries.sparkSession.read.schema(dealt.schema).parquet(path)
+    for b in range(blocks):
+        own = stored.where(F.col("_block") == b).drop("_block").toArrow()
+        if own.num_rows:
+            yield own
 
 
 def _best(frame: DataFrame, k: int) -> DataFrame:
@@ -33,38 +64,68 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = Fal
     own = [within] if within else []
     queries = queries.select(F.col("qid").cast("long"), F.col("v").cast("array<double>").alias("v"), *own).where(ok)
     corpus = corpus.select(F.col("cid").cast("long"), F.col("v").cast("array<double>").alias("v"), *own).where(ok)
-    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
-    n_c = max(1, -(-corpus.count() // CORPUS_BLOCK))
-
-    def deal(df: DataFrame, key: str, mine: str, n: int, other: str, m: int) -> DataFrame:
-        spread = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
-        return df.select("*", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(mine)).select("*", spread)
-
-    keys = ["qb", "cb", *own]
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "cid": [], "score": []}).astype({"qid": "int64", "cid": "int64", "score": "float64"})
-        right = right.sort_values("cid")
-        ids, x = right["cid"].to_numpy(), np.stack(right["v"].to_numpy())
-        names, q = left["qid"].to_numpy(), np.stack(left["v"].to_numpy())
-        out = []
-        for a in range(0, len(q), 256):
-            scores = q[a : a + 256] @ x.T
-            for name, vector, row in zip(names[a : a + 256], q[a : a + 256], scores, strict=True):
-                if exclude_self:
-                    row = np.where(ids == name, -np.inf, row)
-                take = min(k, len(row))
-                least = np.partition(row, len(row) - take)[len(row) - take]
-                near = np.flatnonzero((row >= least - 1e-9) & (row > -np.inf))
-                exact = (x[near] * vector).sum(1)  # summed alike for equal vectors, whatever their place
-                order = np.lexsort((ids[near], -exact))[:take]
-                out.append((np.full(len(order), name), ids[near][order], exact[order]))
-        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("qid", "cid", "score"), zip(*out, strict=True), strict=True)})
-
-    left = deal(queries, "qid", "qb", n_q, "cb", n_c).groupBy(*keys)
-    right = deal(corpus, "cid", "cb", n_c, "qb", n_q).groupBy(*keys)
-    return _best(left.cogroup(right).applyInPandas(search, "qid long, cid long, score double"), k)
+    spark = queries.sparkSession
+    ship(spark)
+    cores = spark.sparkContext.defaultParallelism
+    parts = corpus.rdd.getNumPartitions()
+    if parts < cores:  # one shuffle of each vector, so that all cores have some
+        corpus = corpus.repartition(cores)
+    found: list[DataFrame] = []
+    blocks = query_blocks(queries, "qid", QUERY_BYTES)
+    block = next(blocks, None)
+    if block is None:
+        return spark.createDataFrame([], "qid long, rank int, cid long, score double")
+    while block is not None:
+        later = next(blocks, None)
+        near = _near(corpus, block, k, exclude_self, within)
+        # with several blocks each is done before the next is sent, so that one is held at a time
+        found.append(near if later is None and not found else materialise(near, "near"))
+        block = later
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _near(corpus: DataFrame, block: pa.Table, k: int, exclude_self: bool, within: str | None) -> DataFrame:
+    names, q = block["qid"].to_numpy(), matrix(block["v"])
+    groups = np.array(block[within].to_pylist(), object) if within else None
+    sent = corpus.sparkSession.sparkContext.broadcast((names, q, groups))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q, groups = sent.value
+        ids = [np.empty(0, np.int64)] * len(q)
+        scores = [np.empty(0)] * len(q)
+
+        def take(rows: pa.Table) -> None:
+            cid, x = rows["cid"].to_numpy(), matrix(rows["v"])
+            own = np.array(rows[within].to_pylist(), object) if within else None
+            for a in range(0, len(q), 256):
+                for i, row in enumerate(q[a : a + 256] @ x.T, a):
+                    if exclude_self:
+                        row = np.where(cid == names[i], -np.inf, row)
+                    if groups is not None:
+                        row = np.where(own == groups[i], row, -np.inf)
+                    n = min(k, len(row))
+                    near = np.flatnonzero((row >= np.partition(row, len(row) - n)[len(row) - n] - 1e-9) & (row > -np.inf))
+                    exact = (x[near] * q[i]).sum(1)  # summed alike for equal vectors, whatever their place
+                    c, s = np.concatenate([ids[i], cid[near]]), np.concatenate([scores[i], exact])
+                    order = np.lexsort((c, -s))[:k]
+                    ids[i], scores[i] = c[order], s[order]
+
+        held: list[pa.RecordBatch] = []
+        for frame in frames:
+            held.append(frame)
+            if sum(x.num_rows for x in held) >= CORPUS_BLOCK:
+                take(pa.Table.from_batches(held))
+                held = []
+        if sum(x.num_rows for x in held):
+            take(pa.Table.from_batches([x for x in held if x.num_rows]))
+        size = list(map(len, ids))
+        if sum(size):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], names=["qid", "cid", "score"])
+
+    return _best(corpus.mapInArrow(run, "qid long, cid long, score double"), k)
 
 
 def topk_small(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, most: int = 10_000) -> DataFrame:

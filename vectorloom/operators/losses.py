@@ -144,3 +144,26 @@ def symmetric_infonce(rows: DataFrame, temperature: float = TEMPERATURE) -> Data
     turned = rows.select("batch", "slot", F.col("d").alias("q"), F.col("q").alias("d"))
     parts = [infonce_rows(x, 2, temperature=temperature, margin=float("inf")) for x in (rows.select("batch", "slot", "q", "d"), turned)]
     return parts[0].unionByName(parts[1]).groupBy("batch").agg(F.avg("loss").alias("loss"))
+
+
+def weighted_sum(contrastive: DataFrame, language: DataFrame, weight: float) -> DataFrame:
+    """batch, loss: a contrastive loss and ``weight`` times a language model's."""
+    return contrastive.join(language.select("batch", F.col("loss").alias("_l")), "batch").select("batch", (F.col("loss") + weight * F.col("_l")).alias("loss"))
+
+
+def _log_yes(yes: Column, no: Column) -> Column:
+    """Logarithm of the probability of yes of two logits, without overflow."""
+    z = yes - no
+    return F.when(z < 0, z - F.log1p(F.exp(z))).otherwise(-F.log1p(F.exp(-z)))
+
+
+def reranker_ce(rows: DataFrame) -> DataFrame:
+    """batch, loss: mean cross entropy of the logits yes and no against label (1 or 0)."""
+    yes, no = _log_yes(F.col("yes"), F.col("no")), _log_yes(F.col("no"), F.col("yes"))
+    return rows.groupBy("batch").agg(F.avg(-F.when(F.col("label") == 1, yes).otherwise(no)).alias("loss"))
+
+
+def reranker_distill(rows: DataFrame) -> DataFrame:
+    """batch, loss: mean cross entropy of the logits yes and no against a teacher's probability of yes."""
+    yes, no = _log_yes(F.col("yes"), F.col("no")), _log_yes(F.col("no"), F.col("yes"))
+    return rows.groupBy("batch").agg(F.avg(-(F.col("teacher") * yes + (1 - F.col("teacher")) * no)).alias("loss"))

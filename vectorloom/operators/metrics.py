@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vectorloom.functions.tables import materialise, ordinals
+
 
 def max_relevance(qrels: DataFrame) -> DataFrame:
     """qid, cid, rel: the largest positive score of each pair."""
@@ -81,15 +83,14 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row: the rank correlation of two columns, with mean ranks at ties.
 
-    Ranks come from the counts of each value, which are summed by a window over different values only; each
-    column's values are counted first, so a common value is one row.
+    Values are numbered by a range sort, so no task sees them all; a value's mean rank follows from the first and
+    last of its numbers.
     """
 
     def ranks(c: str) -> DataFrame:
-        n = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        before = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return n.select(F.col(c).alias(f"_v_{c}"), (F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2).alias(f"_r_{c}"))
+        placed = ordinals(both.select(F.col(c).alias(f"_v_{c}")), [f"_v_{c}"], name="_at")
+        return placed.groupBy(f"_v_{c}").agg(((F.min("_at") + F.max("_at")) / 2 + 1).alias(f"_r_{c}"))
 
-    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    both = both.join(ranks(a), F.col(a) == F.col(f"_v_{a}")).join(ranks(b), F.col(b) == F.col(f"_v_{b}"))
-    return both.agg(F.round(F.corr(f"_r_{a}", f"_r_{b}"), 6).alias("spearman"), F.count(F.lit(1)).alias("n"))
+    both = materialise(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b), "pairs")
+    ranked = both.join(ranks(a), F.col(a) == F.col(f"_v_{a}")).join(ranks(b), F.col(b) == F.col(f"_v_{b}"))
+    return ranked.agg(F.round(F.corr(f"_r_{a}", f"_r_{b}"), 6).alias("spearman"), F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,11 +18,71 @@ TOP_K, NEGATIVES, MARGIN = 50, 15, 0.1
 
 def dedup_corpus(rows: DataFrame, text: str, image: str | None, order: str) -> DataFrame:
     """corpus_id, key, first: different items, numbered from 0 as they are first seen by ``order``."""
-    key = positive_key(F.col(text), F.col(image) if image else F.lit(None).cast("string"))
-    first = rows.groupBy(key.alias("key")).agg(F.min(order).alias("first"))
+    named = rows.select(order, item_key(text, image).alias("key")).withColumn("_h", key_hash(F.col("key")))
+    first = named.groupBy("_h").agg(F.min(order).alias("first"), F.min("key").alias("key"))
     return ordinals(first, ["first"], name="corpus_id").select("corpus_id", "key", "first")
 
 
+def item_key(text: str, image: str | None) -> Column:
+    return positive_key(F.col(text), F.col(image) if image else F.lit(None).cast("string"))
+
+
+def key_hash(key: Column) -> Column:
+    """128 bits that stand for a key, so that no whole text is a key of a shuffle."""
+    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
+
+
+def link_corpus(rows: DataFrame, corpus: DataFrame, text: str, image: str | None) -> DataFrame:
+    """``rows`` with the corpus_id of their item in ``corpus`` (see ``dedup_corpus``)."""
+    hashed = corpus.select(key_hash(F.col("key")).alias("_h"), "corpus_id")
+    return rows.withColumn("_h", key_hash(item_key(text, image))).join(hashed, "_h").drop("_h")
+
+
+def mine_sources(
+    spark: SparkSession,
+    sources: dict[str, Callable[[], tuple[DataFrame, DataFrame]]],
+    wanted: Iterable[str],
+    folder: str,
+    done: Callable[[str], bool],
+    write: Callable[[DataFrame, str], None],
+    count: int = 15,
+) -> DataFrame:
+    """source, status, n_rows, avg_negatives, error: mines every wanted source into a table of its own in ``folder``.
+
+    A source gives pairs (qid, v, positive_id) and a corpus (cid, v). One whose table is there is skipped, one without rows is
+    empty, and one that fails doesn't stop the others. ``avg_negatives`` counts those under the margin.
+    """
+    out = []
+    for name in dict.fromkeys(wanted):
+        path = f"{folder}/{name}"
+        if name not in sources:
+            out.append((name, "unknown", None, None, None))
+            continue
+        if done(path):
+            out.append((name, "exists", None, None, None))
+            continue
+        try:
+            pairs, corpus = sources[name]()
+            if pairs.isEmpty():
+                out.append((name, "empty", 0, None, None))
+                continue
+            write(mine(pairs, corpus, count=count), path)
+            one = statistics(spark.read.parquet(path), pairs, count).first()
+            own = spark.read.parquet(path).where(~F.col("was_padded")).count()
+            out.append((name, "mined", one["n_queries"], round(own / one["n_queries"], 6), None))
+        except Exception as error:  # any source's error
+            out.append((name, "failed", None, None, str(error).splitlines()[0][:200]))
+    return spark.createDataFrame(out, "source string, status string, n_rows long, avg_negatives double, error string")
+
+
+def mining_totals(summary: DataFrame) -> DataFrame:
+    """One row: sources that were mined, their rows, and the mean length of their lists."""
+    mined = F.col("status") == "mined"
+    return summary.agg(
+        F.count_if(mined).alias("n_sources"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.round(F.sum(F.col("avg_negatives") * F.col("n_rows")) / F.sum(F.when(mined, F.col("n_rows"))), 6).alias("avg_negatives")
+    )
+
+
 def select_negatives(ranked: DataFrame, count: int = NEGATIVES, margin: float = MARGIN, pad: bool = True) -> DataFrame:
     """qid, pos_in_list, cid, score, was_padded from qid, rank, cid, score, positive_score.
 

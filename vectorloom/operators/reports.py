@@ -54,3 +54,42 @@ def manifest(rows: DataFrame, source: str) -> DataFrame:
 def next_run(runs: DataFrame) -> DataFrame:
     """One row: the next number after the largest (``run``), 1 without any."""
     return runs.agg((F.coalesce(F.max("run"), F.lit(0)) + 1).cast("long").alias("run"))
+
+
+def summary(results: DataFrame, metrics: tuple[str, ...] = ("hit_at_1",), category_metrics: tuple[str, ...] | None = None, digits: int = 2) -> DataFrame:
+    """One row that sums up task results (task, category, the metrics, error): a summary document.
+
+    num_tasks_completed counts all, num_tasks those with a score, by the first metric; means are of these. per_category is a
+    map from each category to the means of ``category_metrics`` (all by default) and its number of tasks.
+    """
+    valid = F.col(metrics[0]).isNotNull()
+    mean = lambda m: F.round(F.avg(F.when(valid, F.col(m))), digits)
+    own = category_metrics or metrics
+    each = results.where(valid).groupBy("category").agg(*[mean(m).alias(f"mean_{m}") for m in own], F.count(F.lit(1)).alias("num_tasks"))
+    entry = F.struct("category", F.struct(*[f"mean_{m}" for m in own], "num_tasks"))
+    by = each.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("per_category"))  # a row for each category
+    tasks = F.array_sort(F.collect_list(F.struct("task", "category", *metrics, "error"))).alias("tasks")  # a row for each task
+    whole = results.agg(F.count(F.lit(1)).alias("num_tasks_completed"), F.count_if(valid).alias("num_tasks"), *[mean(m).alias(f"mean_{m}") for m in metrics], tasks)
+    return whole.crossJoin(F.broadcast(by))  # one row each
+
+
+def text_summary(subsets: DataFrame) -> DataFrame:
+    """One row: num_tasks, mean_task, mean_type, per_type, per_task of subset scores (type, task, subset, score) from 0 to 1, in percent.
+
+    mean_task is over all subsets' scores, as in the harness, and mean_type over the means of the types.
+    """
+    known = subsets.where(F.col("score").isNotNull())
+    task = known.groupBy("task").agg(F.min("type").alias("type"), (100 * F.avg("score")).alias("score"), F.count(F.lit(1)).alias("num_subsets"))
+    kind = known.groupBy("type").agg((100 * F.avg("score")).alias("score"))
+    per_task = task.agg(F.count(F.lit(1)).alias("num_tasks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", F.struct("type", F.round("score", 6).alias("score"), "num_subsets"))))).alias("per_task"))
+    per_type = kind.agg(F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("mean_type"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", F.round("score", 6).alias("score"))))).alias("per_type"))
+    whole = known.agg(F.round(F.coalesce(100 * F.avg("score"), F.lit(0.0)), 6).alias("mean_task"))
+    return per_task.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(per_type)).select("num_tasks", "mean_task", "mean_type", "per_type", "per_task")  # one row each
+
+
+def table_text(df: DataFrame, title: str, most: int = 200) -> str:
+    """A small report as lines of text, with a title; at most ``most`` rows, which is a report's length."""
+    rows = [df.columns] + [["" if x is None else f"{x:.2f}" if isinstance(x, float) else str(x) for x in r] for r in df.limit(most).collect()]
+    width = [max(map(len, column)) for column in zip(*rows, strict=True)]
+    line = lambda r: "  ".join(x.ljust(w) for x, w in zip(r, width, strict=True)).rstrip()
+    return "\n".join([title, "=" * len(title), *map(line, rows)])

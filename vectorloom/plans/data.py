@@ -78,7 +78,7 @@ def short_name(spark: SparkSession, d: str) -> DataFrame:
 register(
     "short_name",
     short_name,
-    "SELECT page_id, substring(url, 1, 50) || '_' || substring(md5(url || '.png'), 1, 8) || '.png' AS short, replace(url, '/', '_') AS safe, NOT contains(url, '?') AND NOT contains(url, '#') AS is_image FROM pages",
+    "SELECT page_id, substring(url, 1, 50) || '_' || substring(md5(url || '.png'), 1, 8) || '.png' AS short, replace(url, '/', '_') AS safe, NOT contains(url, '?') AND NOT contains(url, '#') AND NOT suffix(url, '/') AS is_image FROM pages",
 )
 
 
@@ -203,7 +203,7 @@ def instruction_rules(spark: SparkSession, d: str) -> DataFrame:
     x = ordinals(_event_subsets(spark, d), ["event_id"], by="subset", name="row_index")
     q = F.when(F.col("event_id") % 2 == 0, F.lit("q.jpg"))
     p = F.when(F.col("event_id") % 3 == 0, F.lit("p.jpg"))
-    rule = instructions.benchmark_instruction(F.col("subset"), F.col("row_index"), F.lit("text"), q, F.when(F.col("event_id") % 5 > 0, F.lit("text")).otherwise(F.lit(HOLE)), p)
+    rule = instructions.benchmark_instruction(F.col("subset"), F.col("row_index"), q, p)
     mined = instructions.mined_instruction(F.lit("retrieval"), F.concat(F.lit("mmeb_"), "subset"), F.col("row_index"))
     fallback = instructions.fallback_instruction(F.col("event_type"), F.col("subset"), F.col("row_index"))
     return x.select("event_id", rule.alias("rule"), mined.alias("mined"), fallback.alias("fallback"), instructions.side_instruction(F.lit("document"), rule).alias("document"))

@@ -6,13 +6,17 @@ Each reader works lazily on a DataFrame or a path; caps are prefixes by an expli
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectorloom.functions.media import is_frame
 from vectorloom.functions.tables import prefix
 from vectorloom.functions.text import clean_placeholder, filled, image_path, item, strip
 from vectorloom.operators.instructions import task_type
+from vectorloom.operators.mixing import mix
 
 SIDE = T.StructType([T.StructField("text", T.StringType()), T.StructField("image_path", T.StringType())])
 MINED = T.StructType(
@@ -115,8 +119,62 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
 
 
 def frame_lists(files: DataFrame) -> DataFrame:
-    """folder, frames: the paths of each folder in order (path as the ``binaryFile`` reader gives it)."""
-    return files.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.array_sort(F.collect_list("path")).alias("frames"))
+    """folder, frames: the paths of the images of each folder in order (path as the ``binaryFile`` reader gives it)."""
+    images = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path")).where(is_frame(F.col("path")))
+    return images.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.array_sort(F.collect_list("path")).alias("frames"))
+
+
+def video_triplets(rows: DataFrame, files: DataFrame, video_root: str, subset: str) -> DataFrame:
+    """query_text, positive_text, video_path: a path that is a folder of ``files`` is its list of frames, another one is a file."""
+    path = F.when(strip(F.col("video_path")) != "", F.concat(F.lit(video_root.rstrip("/") + "/"), F.col("video_path")))
+    none = F.lit(None).cast("string")
+    found = rows.withColumn("_path", path).join(frame_lists(files), F.col("_path") == F.col("folder"), "left")
+    return found.select(
+        item(F.col("query_text"), none).alias("query"), item(F.col("positive_text"), none).alias("positive"), "frames",
+        F.when(F.col("frames").isNull(), F.col("_path")).alias("file"), F.lit("retrieval").alias("task_type"), F.lit(subset).alias("subset_name"),
+    )
+
+
+def mined_files(files: DataFrame) -> DataFrame:
+    """name, path, is_classes of the files (path, length) of mined rows that aren't empty; the one of class labels is told apart."""
+    name = F.regexp_extract("path", r"([^/]*)\.jsonl$", 1)
+    return files.where((name != "") & (F.col("length") > 0)).select(F.regexp_replace(name, "^mmeb_", "").alias("name"), "path", (name == "classification_hn").alias("is_classes"))
+
+
+def concat_subsets(parts: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The parts of a benchmark as one table with the column subset; parts that can't be read are left out."""
+    return mix(parts.items()).withColumnRenamed("source_name", "subset").drop("source_idx")
+
+
+def bounded(rows: DataFrame, order: str, transform: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """The first ``most`` rows by ``order`` that are left after ``transform``, which must keep that column."""
+    return prefix(transform(rows), [order], most)
+
+
+def raw_lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """The lines of text files as they are, in the order of files and places, at most ``most``."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return prefix(lines, ["file", "at"], most).select("value")
+
+
+def by_registry(spark: SparkSession, registry: DataFrame, name: str) -> DataFrame:
+    """The table of a source that ``registry`` (name, format, path, filter) lists; a filter is a condition in SQL."""
+    own = registry.where(F.col("name") == name).collect()
+    if len(own) != 1:
+        raise ValueError(f"{len(own)} sources are called {name}")
+    found = spark.read.format(own[0]["format"]).load(own[0]["path"])
+    return found.where(own[0]["filter"]) if own[0]["filter"] else found
+
+
+def corpus_ids(spark: SparkSession, path: str, column: str = "corpus-id") -> DataFrame:
+    """cid: the ids of a corpus as texts; only their column is read."""
+    return spark.read.parquet(path).select(F.col(f"`{column}`").cast("string").alias("cid"))
+
+
+def with_label_names(rows: DataFrame, names: DataFrame, most: int = 100_000) -> DataFrame:
+    """``rows`` (label) with name, from ``names`` (label, name); a label that it lacks is its own name. Small tables are broadcast."""
+    side = F.broadcast(names) if names.limit(most + 1).count() <= most else names
+    return rows.join(side, "label", "left").withColumn("name", F.coalesce("name", "label"))
 
 
 def retrieval_triple(spark: SparkSession, queries: str, corpus: str | None, qrels: str, language: str | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
