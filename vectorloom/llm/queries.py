@@ -21,7 +21,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judge(table(spark, sf_dir, "documents")).drop("text_hash")
+    found = quality.judge(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
 
 
