@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vectorloom.llm.common import materialise, new_path, ship
+from vectorloom.llm.common import materialise, ship
+from vectorloom.operators.knn import matrix, query_blocks
 
 
 @dataclass(frozen=True)
@@ -164,11 +165,6 @@ def uncrowded(vectors: DataFrame, k: int, most: int) -> DataFrame:
     return both.where(F.col("_last").isNull() | (F.col("vec_id") <= F.col("_last"))).select("vec_id", "v")
 
 
-def matrix(column: pa.Array, d: int) -> np.ndarray:
-    """The rows of a column of lists of ``d`` doubles."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-
-
 class Scan:
     """The ``k`` nearest rows so far of each query of a block."""
 
@@ -228,7 +224,7 @@ def fitted(vectors: DataFrame, plan: Plan) -> tuple[Quantiser | None, int]:
     if not len(size):
         return None, 0
     d = int(np.bincount(size.astype(np.int64)).argmax())
-    return fit(matrix(sample.filter(pa.array(size == d)), d), plan), d
+    return fit(matrix(sample.filter(pa.array(size == d))), plan), d
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan = Plan()) -> DataFrame:
@@ -252,7 +248,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan = Pla
     def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             if frame.num_rows:
-                codes = packed(quantiser.assign(matrix(frame.column("v"), d)))
+                codes = packed(quantiser.assign(matrix(frame.column("v"))))
                 yield pa.RecordBatch.from_arrays([frame.column("vec_id"), frame.column("v"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "code"])
 
     rows = materialise(uncrowded(vectors.where(F.size("v") == d), k, plan.broadcast_rows), "vectors")
@@ -261,17 +257,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan = Pla
     index = materialise(rows.repartition(tasks).mapInArrow(encode, "vec_id long, v array<double>, code binary"), "index")
 
     asked = queries.where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = materialise(asked, "queries")
-    blocks = max(1, -(-asked.count() * d * 8 // plan.query_bytes))
-    path = new_path(spark, "blocks")
-    asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).write.partitionBy("block").parquet(path)
-    dealt = spark.read.schema("vec_id long, v array<double>, block long").parquet(path)
     found = None
-    for b in range(blocks):
-        own = dealt.where(F.col("block") == b).select("vec_id", "v").toArrow()  # at most about query_bytes
-        if not own.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), matrix(own["v"].combine_chunks(), d)))
+    for own in query_blocks(materialise(asked, "queries"), "vec_id", plan.query_bytes):
+        sent = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), matrix(own["v"])))
 
         def scan(frames: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             state, held = Scan(quantiser, *sent.value, k, plan), []
@@ -280,7 +268,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, plan: Plan = Pla
                 if held:
                     whole = pa.Table.from_batches(held).combine_chunks()
                     codes = np.frombuffer(b"".join(whole["code"].to_pylist()), np.uint8).reshape(whole.num_rows, -1)
-                    state.rows(whole["vec_id"].to_numpy(), matrix(whole["v"].combine_chunks(), d), codes)
+                    state.rows(whole["vec_id"].to_numpy(), matrix(whole["v"]), codes)
                     held.clear()
 
             for frame in frames:

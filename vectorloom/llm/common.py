@@ -1,17 +1,13 @@
-"""Shared helpers: code for the executors, let-bindings in column expressions, ids that pass through pandas unharmed."""
+"""Shared helpers: let-bindings in column expressions, ids that pass through pandas unharmed."""
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectorloom.functions.cluster import ship
 from vectorloom.functions.tables import delete, materialise, new_path, scratch, shared_dir
 
 __all__ = ["BLANKS", "WORD", "delete", "hide_nulls", "let", "materialise", "new_path", "own_columns", "parts_of", "scratch", "shared_dir", "ship", "show_nulls", "table"]
@@ -27,22 +23,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_vectorloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for path in sorted(top.rglob("*.py")):
-            z.write(path, path.relative_to(top.parent).as_posix())
-    to = os.path.join(tempfile.mkdtemp(prefix="vectorloom-"), f"{top.name}.zip")
-    Path(to).write_bytes(packed.getvalue())
-    sc.addPyFile(to)
-    sc._vectorloom_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
