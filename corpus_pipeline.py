@@ -6,17 +6,15 @@ the next one's docs. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from vectorloom.llm import lines, minhash, packing, quality, suffix
-from vectorloom.llm.common import shared_dir
+from vectorloom.llm.common import delete, new_path, scratch
 from vectorloom.llm.queries import tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or are unlike every language's reference, go."""
+    """Documents that fail the base rules go, and those of a known language that are unlike every language's reference."""
     return quality.keep_good(docs)
 
 
@@ -48,14 +46,18 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Suffix arrays, near copies and packing can't be put in SQL; tests hold them against brute force.
+#: Suffix arrays, near copies and packing can't be put in SQL; a test holds ``run`` against the brute-force versions of all stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; a stage's own tables, and its predecessor's result, are deleted when it is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
