@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from vectorloom.functions.tables import ordinals
 from vectorloom.operators.knn import topk
 
 BATCH = 32
@@ -47,10 +47,13 @@ def as_corpus(rows: DataFrame, *more: str) -> DataFrame:
 
 def pairs(rows: DataFrame) -> DataFrame:
     """qid, v, positive_id: even ids have the nearest other row of their label, odd ones the next id of it, the last the first."""
-    by = Window.partitionBy("label").orderBy("id")
-    following = F.coalesce(F.lead("id").over(by), F.first("id").over(by))
     near = topk(as_queries(rows.where("id % 2 = 0"), "label"), as_corpus(rows, "label"), 1, exclude_self=True, within="label")
-    chosen = rows.withColumn("_next", following).join(near.select(F.col("qid").alias("id"), F.col("cid").alias("_near")), "id", "left")
+    # rows of a label are numbered by a range sort, so that a common label isn't one task's
+    placed = ordinals(rows.select("id", "label"), ["id"], by="label", name="at")
+    later = placed.select("label", (F.col("at") - 1).alias("at"), F.col("id").alias("_next"))
+    first = placed.where("at = 0").select("label", F.col("id").alias("_first"))  # a row for each label
+    following = placed.join(later, ["label", "at"], "left").join(first, "label").select("id", F.coalesce("_next", "_first").alias("_next"))
+    chosen = rows.join(following, "id").join(near.select(F.col("qid").alias("id"), F.col("cid").alias("_near")), "id", "left")
     return chosen.select(F.col("id").alias("qid"), "v", F.when(F.col("id") % 2 == 0, F.col("_near")).otherwise(F.col("_next")).alias("positive_id"))
 
 

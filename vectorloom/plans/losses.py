@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectorloom.functions.tables import materialise
 from vectorloom.operators import losses as L
 from vectorloom.plans.catalogue import register
 from vectorloom.plans.fixtures import SQL_BATCHES, SQL_PAIRS, SQL_SCORES, SQL_VECTORS, batches, vectors
@@ -14,7 +15,7 @@ T = 0.02
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    return batches(vectors(spark, d)).cache()
+    return materialise(batches(vectors(spark, d)), "batches")
 
 
 def own_negatives(b: DataFrame, k: int = 3) -> DataFrame:
