@@ -287,13 +287,14 @@ class Model:
 def sample_words(docs: DataFrame, fit: Fit) -> pd.DataFrame:
     """lang, word, count of the sampled documents' whole texts."""
     rows = own_columns(docs, "doc_id", "lang", "text").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    picked = (
-        rows.select("doc_id", "lang")
-        .withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-        .where(F.col("_at") <= fit.docs_per_language)
-        .select("doc_id", "lang")
-        .distinct()
-    )
+
+    def least(df: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+        return df.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= fit.docs_per_language).drop("_at")
+
+    # in 64 parts of each language first, so that no task sees more than 64 times the sample's rows of it
+    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("_part")).distinct()
+    picked = least(least(ids, "lang", "_part"), "lang").select("doc_id", "lang")
     return (
         rows.join(F.broadcast(picked), ["doc_id", "lang"])  # at most docs_per_language rows for each language
         .select("lang", F.explode(F.split(F.lower("text"), r"[\s]+")).alias("word"))
