@@ -132,6 +132,18 @@ def cap_rows(rows: DataFrame, source: str, order: str, caps: DataFrame) -> DataF
     return placed.where((F.coalesce("cap", F.lit(0)) == 0) | (F.col("_at") < F.col("cap"))).drop("_at", "cap")
 
 
+def seed_pool(rows: DataFrame, order: str, per_category: int, least_side: int = 256, most_ratio: float = 4.0, least_motion: float = 0.0, least_similarity: float = 0.2) -> DataFrame:
+    """Media rows fit to be seeds, at most ``per_category`` of each category by ``order``.
+
+    ``rows``: category, width, height, motion, broken, similarity. Small and very long pictures go, and so do broken files, segments
+    that don't move, and pairs that aren't alike; a null motion or similarity isn't judged.
+    """
+    shape = (F.least("width", "height") >= least_side) & (F.greatest("width", "height") <= most_ratio * F.least("width", "height"))
+    alive = ~F.coalesce("broken", F.lit(False)) & (F.coalesce(F.col("motion"), F.lit(least_motion + 1)) > least_motion)
+    fit = rows.where(F.coalesce(shape, F.lit(False)) & alive & (F.coalesce("similarity", F.lit(least_similarity)) >= least_similarity))
+    return ordinals(fit, [order], by="category", name="_at").where(F.col("_at") < per_category).drop("_at")
+
+
 def with_teacher(rows: DataFrame, teacher: DataFrame, shares: Iterable[Share], source: str = "subset", order: str = "row_idx") -> DataFrame:
     """The distillation mixture: rows (subset, row_idx, ...) up to their caps with the teacher's vectors, without which a row raises."""
     from vectorloom.sources.readers import teacher_vectors

@@ -23,4 +23,4 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 def load_all() -> None:
     """Imports the modules that register queries."""
-    from vectorloom.plans import data, evaluation, losses, mixes, retrieval  # noqa: F401
+    from vectorloom.plans import data, evaluation, losses, mixes, retrieval, sources  # noqa: F401

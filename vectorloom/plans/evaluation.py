@@ -595,3 +595,17 @@ def half_precision(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("half_precision", half_precision, "SELECT vec_id, (2 * len(embedding))::INT AS bytes, true AS close FROM embeddings")
+
+
+def model_input(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of every candidate as a model takes them: videos, then images, then texts."""
+    c = _candidates(spark, d)
+    parts = media.content(F.when(F.size("video") > 0, F.array_join("video", ",")), F.col("image"), text.filled(F.col("text")))
+    return c.select("qid", "pos", F.array_join(F.transform(parts, lambda x: F.concat_ws("=", x["type"], x["value"])), ";").alias("content"))
+
+
+register(
+    "model_input",
+    model_input,
+    f"WITH {SQL_CANDIDATES} SELECT qid, pos, concat_ws(';', 'video=' || video, 'image=' || image, 'text=' || nullif(text, '')) AS content FROM k",
+)

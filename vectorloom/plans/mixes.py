@@ -75,3 +75,19 @@ register(
         SELECT subset, row_idx, source_idx::INT AS source_idx, round(v[1], 6) AS q0, round(v[len(v)], 6) AS p0
         FROM e QUALIFY row_number() OVER (PARTITION BY subset ORDER BY row_idx) <= 60""",
 )
+
+
+def seed_pool(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "events")
+    k = F.col("event_id")
+    rows = e.select("event_id", F.col("event_type").alias("category"), (k * 37 % 900 + 100).alias("width"), (k * 53 % 700 + 100).alias("height"), F.when(k % 4 > 0, (k % 5).cast("double")).alias("motion"), (k % 13 == 0).alias("broken"), F.when(k % 3 > 0, (k % 10) / 10.0).alias("similarity"))
+    return mixing.seed_pool(rows, "event_id", 100).select("event_id", "category")
+
+
+register(
+    "seed_pool",
+    seed_pool,
+    """WITH r AS (SELECT event_id, event_type AS category, event_id * 37 % 900 + 100 AS w, event_id * 53 % 700 + 100 AS h FROM events)
+        SELECT event_id, category FROM r WHERE least(w, h) >= 256 AND greatest(w, h) <= 4 * least(w, h) AND event_id % 13 <> 0 AND (event_id % 4 = 0 OR event_id % 5 > 0) AND (event_id % 3 = 0 OR event_id % 10 >= 2)
+        QUALIFY row_number() OVER (PARTITION BY category ORDER BY event_id) <= 100""",
+)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import logging
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +30,32 @@ def jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def replace_json(spark: SparkSession, path: str, value: dict) -> None:
+    """One small JSON document in place of the last one: written whole under another name, then renamed over it."""
+    jvm = spark.sparkContext._jvm
+    to, draft = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    whole = fs.makeQualified(to)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(draft), whole, options)
+
+
+def log_to(spark: SparkSession, path: str, name: str = "vectorloom") -> logging.Handler:
+    """Adds a file to the log of a run; ``path`` is the driver's own. The caller removes the handler."""
+    handler = logging.FileHandler(path)
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    logger = logging.getLogger(name)
+    logger.setLevel(logging.INFO)
+    logger.addHandler(handler)
+    return handler
+
+
 def manifest(rows: DataFrame, path: str, name: str, task_type: str, kind: str, **extra: str) -> None:
     """One row that describes a table: its name, count, task, format and what else is known."""
     more = F.create_map(*[F.lit(x) for pair in extra.items() for x in pair]) if extra else F.lit(None).cast("map<string,string>")
