@@ -1,8 +1,11 @@
+import random
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import documents, empty
@@ -64,3 +67,69 @@ def test_fewest_bins_by_brute_force():
     lengths = np.array([60, 50, 40, 30, 20, 50, 30, 20])
     where = packing.best_fit(lengths, packing.Capacity(tokens=100, attention=10**9))
     assert len(set(where.tolist())) == 3
+
+
+def optimum(lengths, limit):
+    """Fewest bins, by trying all places of every piece."""
+    best = len(lengths)
+
+    def put(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= limit and bins[i] not in bins[:i]:
+                put(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        put(k + 1, [*bins, lengths[k]])
+
+    put(0, [])
+    return best
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_near_the_fewest_bins(rule):
+    """Best-fit decreasing needs at most 11/9 of the optimum and one bin; mostly it needs no more than the optimum."""
+    r, same = np.random.default_rng(2), 0
+    for _ in range(60):
+        lengths = np.sort(r.integers(5, 90, 9))[::-1]
+        best = optimum(lengths.tolist(), 100)
+        used = len(set(packing.best_fit(lengths, packing.Capacity(tokens=100, attention=10**9, rule=rule)).tolist()))
+        assert best <= used <= 11 / 9 * best + 1
+        same += used == best
+    assert same >= 45
+
+
+def test_ids_beside_nulls_and_full_pieces(spark):
+    big = 1 << 60
+    text = "word " * 20_000
+    rows = [(big + 1, "a"), (big + 2, "a"), (None, "a"), (None, "a"), (None, None), (big + 3, text), (big + 3, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("x")).coalesce(1)
+    found = packing.pack_documents(docs, PATH).collect()
+    assert sorted({r.doc_id for r in found if r.doc_id}) == [big + 1, big + 2, big + 3] and sum(r.doc_id is None for r in found) == 3
+    full = [r for r in found if r.length == 4096]
+    assert len(full) == 8 and len({r.sequence_id for r in full}) == 8 and all(r.sequence_id < 0 and r.offset == 0 for r in full)
+    assert len({(r.sequence_id, r.offset) for r in found}) == len(found)
+    plan = packing.pack(packing.pieces(docs, PATH))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("FlatMapGroupsInPandas") == 1
+
+
+def test_repeated_rows_are_dealt_evenly(spark):
+    """Rows that are all alike go to as many groups as others."""
+    parts = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).cast("long").alias("length"))
+    found = packing.pack(parts, packing.Capacity(tokens=100, group_pieces=100)).collect()
+    groups = {r.sequence_id >> 32 for r in found}
+    assert len(groups) == 10 and len(found) == 1000
+
+
+def test_fuzz():
+    r = random.Random(5)
+    letters = list("abcABC éÉßñ'.,.,\n\t\x0b\x0c\x1c\x1f\x85\xa0　𝔘漢字🙂0123٣²½_-|$sİıſªºµŸﬁ́̈ŉ ") + ["<|endoftext|>", "  ", "'s", "'RE ", "The ", "end,", "x.,", " don't "]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    tokens, library = packing.WordTokens(PATH), Tokenizer.from_file(PATH)
+    for half in (texts[:700], texts[700:]):
+        ids, total = tokens.encode(pa.array(half), 1)
+        expected = [[*e.ids, 1] for e in library.encode_batch(half, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(total)[:-1])] == expected

@@ -58,3 +58,11 @@ def test_forward_sums_all_segmentations():
     # ▁ab: ▁a b, or an unknown mark with a b, or with ab
     expected = 0.4 * 0.2 + fit.unknown * (0.1 * 0.2 + 0.3)
     assert np.isclose(np.exp(model.word_scores(["▁ab"])[0, 0]), expected)
+
+
+def test_ids_beside_a_null(spark):
+    big = 1 << 60
+    rows = [(big + 1, "one"), (big + 2, "two"), (None, "three"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = bpe.encode_decode(docs, tokenizer_file("byte_bpe_50k.json")).collect()
+    assert sorted(((r.doc_id, r.decoded) for r in found), key=repr) == sorted(((i, t or "") for i, t in rows), key=repr)
