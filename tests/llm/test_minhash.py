@@ -57,11 +57,55 @@ def test_groups_of_near_copies(spark):
             rows.append((at, " ".join(copy)))
             at += 1
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for hubs in ((1, 32), (1,)):
+    for hubs in ((1, 8), (1, 32), (1,)):
         found = minhash.near_duplicates(df, minhash.Rules(words=3, percent=85, bands=30, rows=5, hubs=hubs, broadcast_rows=0 if hubs == (1,) else 200_000))
         assert got(found) == sorted(brute(rows, 3, 85), key=repr)
 
 
+def template_pages(n, seed=0, pool=20, slots=14):
+    """Pages that share a template and fill its slots from a small pool of values, pairwise under the threshold but for a few."""
+    r = np.random.default_rng(seed)
+    words = [f"fixed{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        page = list(words)
+        for k in range(slots):
+            page[7 * k] = f"value{k}x{r.integers(pool)}"
+        rows.append((i, " ".join(page)))
+        if i % 25 == 24:  # a near copy of another page
+            page[7 * (i % slots)] = "another"
+            rows.append((1000 + i, " ".join(page)))
+    return rows
+
+
+def test_template_pages_are_not_compared_with_all_others(spark, monkeypatch):
+    """Far fewer comparisons than pairs, fewer for each pair as the pages grow, and components are those of brute force."""
+    counts, compare = [], minhash.compare
+
+    def counted(pairs, *more, **names):
+        counts[-1] += pairs.count()
+        return compare(pairs, *more, **names)
+
+    monkeypatch.setattr(minhash, "compare", counted)
+    for n in (100, 200, 400):
+        rows = template_pages(n)
+        counts.append(0)
+        found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), minhash.Rules(words=3, percent=85, bands=30, rows=5))
+        got_rows = got(found)
+        if n < 400:
+            assert got_rows == sorted(brute(rows, 3, 85), key=repr)
+    pairs = [n * (n - 1) / 2 for n in (104, 208, 416)]
+    share = [c / p for c, p in zip(counts, pairs, strict=True)]
+    assert share[2] < 0.25 and share[2] < share[1], counts
+
+
+def test_ids_beside_a_null(spark):
+    big = 1 << 60
+    rows = [(big + 1, "a b c d e f"), (big + 2, "a b c d e f"), (None, "x y z"), (None, None), (big + 3, "")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), minhash.Rules(words=3, percent=85))
+    assert got(found) == sorted(brute(rows, 3, 85), key=repr)
+
+
 def test_empty_tables(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     assert minhash.keep_first(empty(spark)).count() == 0

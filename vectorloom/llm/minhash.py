@@ -6,26 +6,31 @@ drawn: once every slot is filled, higher levels can't change anything. Documents
 classes that share a band are candidates, candidates are confirmed on their full sets, and components of the
 links are found by union-find in each partition and star contraction across partitions.
 
-No bucket is expanded into all of its pairs. In each round a few hubs of a bucket are compared with its members
-in other components; a bucket is done when all its members are in one component, or have all been hubs. So
-groups of thousands of copies take about one comparison a member, and still no pair that shares a band and isn't
-already connected goes without a comparison.
+No bucket is expanded into all of its pairs. A few hubs of a bucket are compared with its members in other
+components; a bucket is done when all its members are in one component, or have all been hubs. So groups of
+thousands of copies take about one comparison a member. Large buckets that are still mixed hold texts of one
+template that differ in what they fill in. Their members are told apart by what the bucket's first hub does not
+hold: two of them can only be linked if these rests are alike too, by a similarity that follows from the
+threshold, so the rests are banded in their turn. Only members that are nearly linked with the hub, whose rests
+are too small for that, are compared with the other members directly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vectorloom.llm.bpe import CACHED, CHUNK, chunks
-from vectorloom.llm.common import materialise, own_columns, ship
+from vectorloom.llm.common import materialise, own_columns, scratch, ship
+from vectorloom.llm.words import split, text_slices
 
 U = np.uint64
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -38,14 +43,31 @@ class Rules:
     percent: int = 80
     bands: int = 40
     rows: int = 4
-    #: Hubs of a bucket by the end of each round; the last stands for all.
-    hubs: tuple[int, ...] = (1, 32)
+    #: Hubs of a bucket by the end of each round.
+    hubs: tuple[int, ...] = (1, 8)
+    #: Bands of the rests of members of large buckets, and the similarity of rests that they are made to find: a
+    #: pair at it is missed with probability (1 - 0.45 ** 3) ** 184, 2.3e-8.
+    rest_bands: int = 184
+    rest_rows: int = 3
+    rest_similarity: float = 0.45
     broadcast_rows: int = 200_000
 
     @property
     def slots(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def far(self) -> float:
+        """Members whose rest is so many times what they share with the hub have rests that must be alike to be linked.
+
+        Let a pair share q, the less of both, with the hub at most, and have rests of r and s shingles. A link needs
+        an intersection of t (n + m), t = percent / (100 + percent), of which q are in the hub at most; so the rests
+        share t (r + s) - (1 - 2 t) q at least. With r and s at least ``far`` q, that is a similarity of
+        ``rest_similarity`` or more.
+        """
+        t, f = self.percent / (100 + self.percent), self.rest_similarity / (1 + self.rest_similarity)
+        return (1 - 2 * t) / (2 * (t - f))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
@@ -54,33 +76,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Words(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-WORDS = Words()
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of ``n`` words of each text; fewer words are one shingle, none give none."""
+    words, place, size = split(pc.ascii_lower(texts))
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), U, len(words))
+    h = known[place]
 
+    def hashed(h: np.ndarray, n: int) -> np.ndarray:
+        total = np.full(max(0, len(h) - n + 1), U(n))
+        for i in range(n):
+            total = mix(total * ODD[i % len(ODD)] + h[i : len(total) + i])
+        return total
 
-def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of ``n`` words; fewer words are one shingle, none give none.
-
-    A-Z are lowered and words split at ASCII blanks, which is what the methods of bytes do.
-    """
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, U)
-    if len(WORDS) > CACHED:
-        WORDS.clear()
-    h = np.fromiter(map(WORDS.__getitem__, words), U, len(words))
-    size = min(n, len(words))
-    total = np.full(len(h) - size + 1, U(size))
-    for i in range(size):
-        total = mix(total * ODD[i % len(ODD)] + h[i : len(h) - size + 1 + i])
-    return np.unique(total)
+    whole, first = hashed(h, n), (np.cumsum(size) - size).tolist()
+    return [np.unique(whole[a : a + k - n + 1] if k >= n else hashed(h[a : a + k], k) if k else h[:0]) for a, k in zip(first, size.tolist(), strict=True)]
 
 
 def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -133,47 +142,56 @@ def _level(out: np.ndarray, doc: np.ndarray, h: np.ndarray, level: int, m: int,
     np.minimum.at(out.reshape(-1), doc * m + slot, level + _draw(h, level, 0))
 
 
-def band_keys(signature: np.ndarray, rules: Rules) -> np.ndarray:
+def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key of each band (documents, bands); equal keys of different bands don't meet."""
-    raw = signature.view(U).reshape(len(signature), rules.bands, rules.rows)
-    key = np.tile(mix(np.arange(1, rules.bands + 1, dtype=U) * ODD[1]), (len(signature), 1))
-    for i in range(rules.rows):
+    raw = signature.view(U).reshape(len(signature), bands, rows)
+    key = np.tile(mix(np.arange(1, bands + 1, dtype=U) * ODD[1]), (len(signature), 1))
+    for i in range(rows):
         key = mix(key * ODD[2] + raw[:, :, i])
     return key.view(np.int64)
 
 
-def sketch(docs: DataFrame, rules: Rules) -> DataFrame:
-    """doc_id, n_shingles, set_id (128 bits), bands (null for an empty set) of each row."""
+def _sets_of(docs: DataFrame, rules: Rules, describe: Callable[[pa.RecordBatch, list[np.ndarray]], dict], schema: str) -> DataFrame:
+    """A row for each row of ``docs`` by its doc_id and set."""
     ship(docs.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            texts = frame["text"].fillna("").tolist()
-            for part in chunks(texts, CHUNK):
-                sets = [shingles(texts[i], rules.words) for i in part]
-                full = [i for i, s in enumerate(sets) if len(s)]
-                keys = band_keys(signatures([sets[i] for i in full], rules.slots), rules) if full else []
-                bands: list = [None] * len(sets)
-                for i, k in zip(full, keys, strict=True):
-                    bands[i] = k
-                yield pd.DataFrame(
-                    {"doc_id": frame["doc_id"].iloc[part], "n_shingles": [len(s) for s in sets], "set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": bands}
-                )
+            for at, texts in text_slices(frame.column("text")):
+                yield pa.RecordBatch.from_pydict(describe(frame.column("doc_id").slice(at, len(texts)), shingle_sets(texts, rules.words)))
 
-    return own_columns(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, rules: Rules) -> DataFrame:
-    """set_id, shingles of each row."""
+def _set_ids(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame["text"].fillna("").tolist()
-            for part in chunks(texts, CHUNK):
-                sets = [shingles(texts[i], rules.words) for i in part]
-                yield pd.DataFrame({"set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    return own_columns(docs, "doc_id", "text").mapInPandas(run, "set_id binary, shingles array<long>")
+def lists(rows: list[np.ndarray | None]) -> pa.Array:
+    """A column of lists of 64-bit numbers."""
+    size = [0 if r is None else len(r) for r in rows]
+    flat = np.concatenate([r for r in rows if r is not None] or [np.empty(0, np.int64)]).view(np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([r is None for r in rows]))
+
+
+def sketch(docs: DataFrame, rules: Rules) -> DataFrame:
+    """doc_id, n_shingles, set_id (128 bits), bands (null for an empty set) of each row."""
+
+    def describe(ids: pa.Array, sets: list[np.ndarray]) -> dict:
+        full = [i for i, s in enumerate(sets) if len(s)]
+        keys = band_keys(signatures([sets[i] for i in full], rules.slots), rules.bands, rules.rows) if full else []
+        bands: list = [None] * len(sets)
+        for i, k in zip(full, keys, strict=True):
+            bands[i] = k
+        return {"doc_id": ids, "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "set_id": _set_ids(sets), "bands": lists(bands)}
+
+    return _sets_of(docs, rules, describe, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+
+
+def full_sets(docs: DataFrame, rules: Rules) -> DataFrame:
+    """set_id, shingles of each row."""
+    return _sets_of(docs, rules, lambda ids, sets: {"set_id": _set_ids(sets), "shingles": lists(sets)}, "set_id binary, shingles array<long>")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -203,7 +221,7 @@ def local_unions(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInPandas(run, "u long, v long")
 
 
-def components(edges: DataFrame, one_task_rows: int = 200_000) -> DataFrame:
+def components(edges: DataFrame, one_task_rows: int = 20_000) -> DataFrame:
     """node, component (its least node) of every node of the links u, v.
 
     If the partitions' forests have at most ``one_task_rows`` links together (16 bytes each), one more task of
@@ -253,6 +271,113 @@ def own_shingles(sets: DataFrame) -> DataFrame:
     )
 
 
+class Linker:
+    """The links found so far between classes, and their components."""
+
+    def __init__(self, sets: DataFrame, rules: Rules) -> None:
+        self.sets, self.rules, self.spark = sets, rules, sets.sparkSession
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+        self.hubs_of: DataFrame | None = None
+
+    def mixed(self, active: DataFrame) -> DataFrame:
+        """The rows of ``active`` (key, node, ...) in buckets of more than one component, with component and what the hubs told of each class."""
+        if self.labels is None:
+            return active.select("*", F.col("node").alias("component"), *[F.lit(None).cast(t).alias(c) for c, t in HUB_COLUMNS])
+        named = active.join(small(self.labels, self.rules.broadcast_rows), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        keys = named.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
+        return materialise(named.join(keys, "key", "left_semi").join(small(self.hubs_of, self.rules.broadcast_rows), "node", "left"), "mixed")
+
+    def heads(self, named: DataFrame, most: int, before: int = 0) -> DataFrame:
+        """The hubs of each bucket from number ``before`` + 1 to ``most``: the members that share most bands with most classes."""
+        order = Window.partitionBy("key").orderBy(F.desc("w"), F.xxhash64("node"), "node")
+        ranked = named.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= most)  # cut before the shuffle too
+        return ranked.where(F.col("_at") > before).select("key", *[F.col(c).alias(f"h_{c}") for c in ("node", "component", "n", "m", "w", *[c for c, _ in HUB_COLUMNS])])
+
+    def possible(self) -> Column:
+        """What must hold for a class and a head of another component to be linked."""
+        percent = self.rules.percent
+        most = F.least("m", "h_m")
+        lacking = F.bit_count(F.col("lacks0").bitwiseOR(F.col("h_lacks0"))) + F.bit_count(F.col("lacks1").bitwiseOR(F.col("h_lacks1")))
+        alike = F.col("hub_n") - lacking + F.least(F.col("others") - (F.col("n") - F.col("m")), F.col("h_others") - (F.col("h_n") - F.col("h_m")))
+        most = F.when(F.col("hub") == F.col("h_hub"), F.least(most, alike)).otherwise(most)
+        return (
+            (F.col("component") != F.col("h_component"))
+            & ((100 + percent) * most >= percent * (F.col("n") + F.col("h_n")))
+            & (100 * F.least("n", "h_n") >= percent * F.greatest("n", "h_n"))
+        )
+
+    def compare(self, named: DataFrame, heads: DataFrame, once: Column | None = None) -> None:
+        """Compares the members of each bucket with its heads, each pair once, and adds the links; ``once`` is a further condition."""
+        met = (named["key"] == heads["key"]) & self.possible()
+        pairs = named.join(heads, met if once is None else met & once)
+        if self.hubs_of is None:
+            pairs = pairs.select(F.col("node").alias("a"), "n", F.col("h_node").alias("b"), "h_n", F.col("h_w").alias("rate"))
+        else:
+            swap = F.col("node") > F.col("h_node")
+            pairs = pairs.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("node", "h_node", "a"), ("n", "h_n", "n"), ("h_node", "node", "b"), ("h_n", "n", "h_n"))])
+        pairs = materialise(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            if self.hubs_of is None:
+                self.labels, self.hubs_of = (self.spark.createDataFrame([], x) for x in ("node long, component long", "node long, " + ", ".join(f"{c} {t}" for c, t in HUB_COLUMNS)))
+            return
+        compared = materialise(compare(pairs, self.sets, self.rules, tell=self.hubs_of is None), "compared")
+        if self.hubs_of is None:
+            self.hubs_of = materialise(_nearest_hubs(pairs, compared), "hubs")
+        found = compared.where(linked(F.col("shared"), F.col("n"), F.col("h_n"), self.rules.percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        self.links = found if self.links is None else self.links.unionByName(found)
+        self.labels = materialise(components(self.links), "labels")
+
+    def resolve(self, active: DataFrame) -> DataFrame:
+        """Compares hubs round by round; gives the rows of the large buckets that are still mixed."""
+        before = 0
+        for most in self.rules.hubs:
+            named = self.mixed(active.where(F.col("size") > before))
+            if not named.isEmpty():
+                self.compare(named, self.heads(named, most, before))
+            before = most
+        return self.mixed(active.where(F.col("size") > before))
+
+    def separate(self, rest: DataFrame) -> None:
+        """Links of the members of large mixed buckets: by their rests, or directly where these are small."""
+        rules = self.rules
+        tops = self.heads(rest, 1).select("key", F.col("h_node").alias("top"))
+        held = materialise(rest.join(tops, "key"), "held")
+        own = held.select("node", "top", "n", "m", "w").distinct()
+        one, other = (self.sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("node", "top"))
+        rests = own.join(one, "node").join(other, "top").select("node", "top", "n", "m", "w", F.array_except("_node", "_top").alias("others"))
+        rests = materialise(rests.withColumn("far", F.size("others") >= rules.far * (F.col("n") - F.size("others"))), "rests")
+        sized = materialise(rest_bands(rests.where("far"), rules), "rest_bands")
+        many = sized.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        second = materialise(sized.join(many, "key").select("key", "size", "node", "n", "m", "w"), "second")
+        left = self.resolve(second)
+        # members of buckets of rests that are still mixed, and members that are near the hub: pair by pair, each pair once
+        self.directly(left, F.col("node") < F.col("h_node"))
+        near = held.join(rests.select("node", "top", "far"), ["node", "top"]).select(*[c for c in rest.columns if c not in ("component", *[c for c, _ in HUB_COLUMNS])], "far")
+        near = self.mixed(near)
+        self.directly(near, F.col("far") | (F.col("node") < F.col("h_node")), ~F.col("far"))
+
+    def directly(self, named: DataFrame, once: Column, heads: Column | None = None) -> None:
+        if not named.isEmpty():
+            chosen = named if heads is None else named.where(heads)
+            chosen = chosen.select("key", *[F.col(c).alias(f"h_{c}") for c in ("node", "component", "n", "m", "w", *[c for c, _ in HUB_COLUMNS])])
+            self.compare(named, chosen, once)
+
+
+def rest_bands(rests: DataFrame, rules: Rules) -> DataFrame:
+    """node, n, m, w, key: the bands of the rests, which meet only under the same hub."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            sets = [np.asarray(x, np.int64).view(U) for x in frame.column("others").to_pylist()]
+            keys = band_keys(signatures(sets, rules.rest_bands * rules.rest_rows), rules.rest_bands, rules.rest_rows)
+            top = frame.column("top").to_numpy().astype(U)
+            yield pa.RecordBatch.from_arrays([*(frame.column(c) for c in ("node", "n", "m", "w")), lists(list(mix(keys.view(U) ^ mix(top * ODD[3])[:, None])))], names=["node", "n", "m", "w", "keys"])
+
+    full = rests.where(F.size("others") > 0).select("node", "top", "n", "m", "w", "others")
+    return full.mapInArrow(run, "node long, n long, m long, w long, keys array<long>").select("node", "n", "m", "w", F.explode("keys").alias("key"))
+
+
 def find_links(classes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
     """node, component of the classes that share a band with another one.
 
@@ -277,45 +402,11 @@ def find_links(classes: DataFrame, docs: DataFrame, rules: Rules) -> DataFrame:
     able = materialise(bounds.where(100 * F.col("m") >= rules.percent * F.col("n")), "able")
     weights = materialise(buckets.groupBy("node").agg(F.sum("size").alias("w")).join(able, "node"), "weights")
     active = materialise(buckets.join(small(weights, rules.broadcast_rows), "node").select("key", "size", "node", "n", "m", "w"), "active")
-    labels = links = hubs_of = None
-    before = 0
-    for hubs in [*rules.hubs, None]:
-        named = active.where(F.col("size") > before)
-        if labels is not None:
-            named = named.join(small(labels, rules.broadcast_rows), "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = named.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
-            named = named.join(mixed, "key", "left_semi").join(small(hubs_of, rules.broadcast_rows), "node", "left")
-            named = materialise(named, "named")
-            if named.isEmpty():
-                break
-        else:
-            named = named.select("*", F.col("node").alias("component"), *[F.lit(None).cast(t).alias(c) for c, t in HUB_COLUMNS])
-        order = Window.partitionBy("key").orderBy(F.desc("w"), F.xxhash64("node"), "node")
-        ranked = named.withColumn("_at", F.row_number().over(order))
-        heads = (ranked.where(F.col("_at") <= hubs) if hubs else ranked).where(F.col("_at") > before)
-        heads = heads.select("key", *[F.col(c).alias(f"h_{c}") for c in ("node", "component", "n", "m", "w", *[c for c, _ in HUB_COLUMNS])])
-        most = F.least("m", "h_m")
-        lacking = F.bit_count(F.col("lacks0").bitwiseOR(F.col("h_lacks0"))) + F.bit_count(F.col("lacks1").bitwiseOR(F.col("h_lacks1")))
-        most = F.when(F.col("hub") == F.col("h_hub"), F.least(most, F.col("hub_n") - lacking + F.least(F.col("others") - (F.col("n") - F.col("m")), F.col("h_others") - (F.col("h_n") - F.col("h_m"))))).otherwise(most)
-        possible = (
-            (named["key"] == heads["key"])
-            & (F.col("component") != F.col("h_component"))
-            & ((100 + rules.percent) * most >= rules.percent * (F.col("n") + F.col("h_n")))
-            & (100 * F.least("n", "h_n") >= rules.percent * F.greatest("n", "h_n"))
-        )
-        pairs = named.join(heads, possible).select(F.col("node").alias("a"), "n", F.col("h_node").alias("b"), "h_n", F.col("h_w").alias("rate"))
-        pairs = materialise(pairs.distinct(), "pairs")
-        if not pairs.isEmpty():
-            compared = materialise(compare(pairs, sets, rules), "compared")
-            if hubs_of is None:
-                hubs_of = materialise(_nearest_hubs(pairs, compared), "hubs")
-            found = compared.where(linked(F.col("shared"), F.col("n"), F.col("h_n"), rules.percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-            links = found if links is None else links.unionByName(found)
-            labels = materialise(components(links), "labels")
-        before = hubs or 0
-        if labels is None:
-            labels, hubs_of = (docs.sparkSession.createDataFrame([], x) for x in ("node long, component long", "node long, " + ", ".join(f"{c} {t}" for c, t in HUB_COLUMNS)))
-    return labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
+    linker = Linker(sets, rules)
+    rest = linker.resolve(active)
+    if not rest.isEmpty():
+        linker.separate(rest)
+    return linker.labels if linker.labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
 
 
 def _nearest_hubs(pairs: DataFrame, compared: DataFrame) -> DataFrame:
@@ -331,8 +422,8 @@ def _nearest_hubs(pairs: DataFrame, compared: DataFrame) -> DataFrame:
 HUB_COLUMNS = (("hub", "long"), ("hub_n", "long"), ("others", "long"), ("lacks0", "long"), ("lacks1", "long"))
 
 
-def compare(pairs: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
-    """``pairs`` (a, b, ...) with shared, and lacks0 and lacks1: a bit for each of 128 groups of which a lacks a shingle of b."""
+def compare(pairs: DataFrame, sets: DataFrame, rules: Rules, tell: bool = True) -> DataFrame:
+    """``pairs`` (a, b, ...) with shared and, to ``tell``, lacks0 and lacks1: a bit for each of 128 groups of which a lacks a shingle of b."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     whole = one.join(small(pairs, rules.broadcast_rows), "a").join(other, "b")
@@ -343,6 +434,8 @@ def compare(pairs: DataFrame, sets: DataFrame, rules: Rules) -> DataFrame:
         return F.aggregate("_lost", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(bit(x)))
 
     lost = whole.select(*pairs.columns, F.array_except("sb", "sa").alias("_lost"))
+    if not tell:
+        return lost.select(*pairs.columns, (F.col("h_n") - F.size("_lost")).alias("shared"))
     return lost.select(*pairs.columns, (F.col("h_n") - F.size("_lost")).alias("shared"), bits(0).alias("lacks0"), bits(1).alias("lacks1"))
 
 
@@ -353,14 +446,16 @@ def near_duplicates(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     of a repeated doc_id are told apart by their sets; null doc_ids are larger than any other, and a
     component of nothing else has a null id. component_id is the smallest doc_id of a component.
     """
-    sketches = materialise(sketch(docs, rules), "sketches")
-    full = sketches.where("n_shingles > 0")
-    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    labels = find_links(classes, docs, rules)
-    named = classes.select("set_id", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    owner = materialise(named.join(least, "component").select("set_id", "component_id"), "owners")
+    spark = docs.sparkSession
+    with scratch(spark):  # of the tables that this takes, two are left
+        sketches = materialise(sketch(docs, rules), "sketches", keep=True)
+        full = sketches.where("n_shingles > 0")
+        classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        labels = find_links(classes, docs, rules)
+        named = classes.select("set_id", "node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        owner = materialise(named.join(least, "component").select("set_id", "component_id"), "owners", keep=True)
     many = sketches.select("doc_id", "n_shingles", "set_id").join(owner, "set_id", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return many.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
