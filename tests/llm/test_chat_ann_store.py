@@ -150,3 +150,18 @@ def test_files_of_a_target_size(spark, tmp_path):
     assert len(runs) == 1 and 3 <= len(runs[0].files) <= 8 and got.count() == 4000
     nothing = compaction.ingest(rows.limit(0), compaction.Store(spark, f"file://{tmp_path}/e"), "id", 2, compaction.Tiers())
     assert nothing.count() == 0
+
+
+def test_odd_rows_of_a_store(spark, tmp_path):
+    """Null keys, repeated rows, columns in another order, and columns that the table doesn't have."""
+    rows = spark.createDataFrame([(None, "a" * 100_000), (None, None), (1, ""), (1, ""), (1 << 60, "b")], "doc_id long, text string").withColumn("name", F.lit("x"))
+    store = compaction.Store(spark, f"file://{tmp_path}/s")
+    got = compaction.ingest(rows, store, "doc_id", 3, compaction.Tiers(merge_runs=2))
+    key = lambda df: sorted((r.doc_id, r.text, r.name) for r in df.fillna(-1, ["doc_id"]).fillna("", ["text"]).collect())
+    assert key(got) == key(rows)
+    store.append(rows.select("name", "text", "doc_id"))
+    assert key(store.read()) == sorted(key(rows) * 2)
+    for other in (rows.drop("name"), rows.withColumn("more", F.lit(1)), rows.withColumn("doc_id", F.col("doc_id").cast("string"))):
+        with pytest.raises(ValueError):
+            store.append(other)
+    assert store.read().count() == 10

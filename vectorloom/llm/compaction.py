@@ -119,8 +119,12 @@ class Store:
         return [Run(name, sum(files.values()), rows, sorted(files))] if rows else []
 
     def append(self, df: DataFrame) -> int:
-        """Adds the rows of ``df`` as one small run; columns and types must be those of the table."""
+        """Adds the rows of ``df`` as one small run; other names or types of columns than the table's raise, their order doesn't matter."""
         version, runs = self.manifest()
+        if runs:
+            own, new = ({f.name: f.dataType for f in x.schema.fields} for x in (self.read(version), df))
+            if own != new:
+                raise ValueError(f"the table has the columns {own}, not {new}")
         return self.commit(version, runs + self._written(df))
 
     def read(self, version: int | None = None) -> DataFrame:
