@@ -100,8 +100,9 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
     h = np.concatenate(sets) if sets else np.empty(0, U)
     doc = np.repeat(np.arange(len(sets)), sizes)
     _level(out, doc, h, 0, m, None)
-    open_docs = np.flatnonzero(np.isinf(out).any(1))
-    limit, at = 60_000, 0
+    live_docs = np.isinf(out).any(1)
+    open_docs = np.flatnonzero(live_docs)
+    limit, at = max(1, 9_600_000 // m), 0  # places of permutations that are held at a time
     while at < len(open_docs):
         take, held = [], 0
         while at < len(open_docs) and (not take or held + sizes[open_docs[at]] <= limit):
@@ -113,14 +114,14 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
         order = np.tile(np.arange(m, dtype=np.int16), (len(h), 1))
         _swap(order, h, 0, m)
         for level in range(1, m):
-            live = np.isinf(out[doc]).any(1) if level == 1 else live_docs[doc]
+            live = live_docs[doc]
             if not live.any():
                 break
             if not live.all():
                 h, doc, order = h[live], doc[live], order[live]
             _swap(order, h, level, m)
             _level(out, doc, h, level, m, order[:, level])
-            live_docs = np.isinf(out).any(1)
+            live_docs[take] = np.isinf(out[take]).any(1)
     return out
 
 
@@ -368,11 +369,14 @@ def rest_bands(rests: DataFrame, rules: Rules) -> DataFrame:
     """node, n, m, w, key: the bands of the rests, which meet only under the same hub."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            sets = [np.asarray(x, np.int64).view(U) for x in frame.column("others").to_pylist()]
-            keys = band_keys(signatures(sets, rules.rest_bands * rules.rest_rows), rules.rest_bands, rules.rest_rows)
-            top = frame.column("top").to_numpy().astype(U)
-            yield pa.RecordBatch.from_arrays([*(frame.column(c) for c in ("node", "n", "m", "w")), lists(list(mix(keys.view(U) ^ mix(top * ODD[3])[:, None])))], names=["node", "n", "m", "w", "keys"])
+        for whole in frames:
+            for frame in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):  # signatures are wide
+                others = frame.column("others")
+                ends = np.cumsum(others.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+                sets = np.split(others.flatten().to_numpy(zero_copy_only=False).view(U), ends)
+                keys = band_keys(signatures(sets, rules.rest_bands * rules.rest_rows), rules.rest_bands, rules.rest_rows)
+                own = mix(keys.view(U) ^ mix(frame.column("top").to_numpy().astype(U) * ODD[3])[:, None])
+                yield pa.RecordBatch.from_arrays([*(frame.column(c) for c in ("node", "n", "m", "w")), lists(list(own))], names=["node", "n", "m", "w", "keys"])
 
     full = rests.where(F.size("others") > 0).select("node", "top", "n", "m", "w", "others")
     return full.mapInArrow(run, "node long, n long, m long, w long, keys array<long>").select("node", "n", "m", "w", F.explode("keys").alias("key"))
