@@ -99,6 +99,7 @@ class WordTokens:
         #: Ids that end a word.
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.kept = KEPT
         self.clear()
 
     def clear(self) -> None:
@@ -124,7 +125,7 @@ class WordTokens:
         Letters of Latin-1 are a token run of their own whatever their case, and what ends them, a full stop or
         comma, is another.
         """
-        if len(self.known) > KEPT:
+        if len(self.known) > self.kept:
             self.clear()
         if not self.known:
             self.add_others([".", ","])
@@ -183,12 +184,13 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = True, kept: int = KEPT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and (if wanted) ids of every piece of every row.
 
     A document is the ids of its whole text and ``end_id``; a null or empty text is ``end_id`` alone. Only
     documents of more than ``capacity`` tokens are cut. Repeated rows and null doc_ids are documents of
-    their own; other columns are ignored.
+    their own; other columns are ignored. A worker keeps the ids of about ``kept`` words: more are faster, fewer
+    take less memory.
     """
     ship(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -197,6 +199,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, wi
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path)
+        tokens.kept = kept
         for frame in frames:
             for at, texts in text_slices(frame.column("text")):
                 ids, total = tokens.encode(texts, end_id)
@@ -210,6 +213,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, wi
                 parts = [view[4 * a : 4 * b] for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
                 columns = [frame.column("doc_id").take(pa.array(row + at)), number, start, length, list(map(zlib.crc32, parts))] + [parts] * with_ids
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema=out_schema)
+            pa.default_memory_pool().release_unused()
 
     rows = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
@@ -243,6 +247,6 @@ def pack(parts: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
     return packed.select(*alone.columns).unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, path: str, cap: Capacity = Capacity(), end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, cap: Capacity = Capacity(), end_id: int = 1, kept: int = KEPT) -> DataFrame:
     """The pieces of all documents, packed; ids stay out of the shuffle, ``pieces`` gives them by (doc_id, piece)."""
-    return pack(pieces(docs, path, cap.tokens, end_id, with_ids=False), cap)
+    return pack(pieces(docs, path, cap.tokens, end_id, with_ids=False, kept=kept), cap)
