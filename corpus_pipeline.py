@@ -34,8 +34,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of sequences of 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+    """What is left, as pieces of sequences of 4096 tokens; workers keep few words, as the other stages need memory."""
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), kept=250_000)
 
 
 STAGES = [
