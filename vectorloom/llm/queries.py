@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import ann, bpe, chat, compaction, langid, lines, minhash, packing, quality, quality_sql, suffix
+from vectorloom.llm import ann, audit, bpe, chat, compaction, langid, lines, minhash, packing, quality, quality_sql, spelling, suffix, tokenfiles
 from vectorloom.llm.common import materialise, new_path, table
 
 
@@ -107,6 +107,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs, tokenizer_file("piece_bpe_32k.model")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op12_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads back what it has written; the files stay until a ``scratch`` around it ends."""
+    to = new_path(spark, "tokens")
+    tokenfiles.write(table(spark, sf_dir, "documents"), to, tokenizer_file("byte_bpe_50k.json"))
+    return tokenfiles.digests(tokenfiles.read(spark, to))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -120,6 +135,9 @@ QUERIES = {
     "compaction_manifest": compaction_manifest,
     "op9_bpe_segment_tree": op9_bpe_segment_tree,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_orc_token_files": op12_orc_token_files,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
@@ -178,4 +196,66 @@ ORACLES = {
     "op8_size_tiered_compaction": """
         SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents
     """,
+    # CRC by its definition, a bit at a time for the table of bytes; near words by shared rests of one place, no candidates
+    "op11_spelling_variants": """
+        WITH RECURSIVE t AS (
+            SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS crc_of
+            FROM range(256) r(b)),
+        occ AS (
+            SELECT doc_id, r, count(*) AS times
+            FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents)
+            GROUP BY ALL),
+        h AS (
+            SELECT r, times,
+                   xor(4294967295, list_reduce(
+                       list_transform(regexp_extract_all(hex(encode(concat(doc_id, ':', r))), '..'), lambda x: ('0x' || x)::BIGINT),
+                       lambda c, x: xor(c >> 8, crc_of[(xor(c, x) & 255) + 1]), 4294967295)) AS h
+            FROM occ, t),
+        w AS (
+            SELECT CASE WHEN h % 199 = 0 THEN r[:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, sum(times)::BIGINT AS n
+            FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(times) >= 5),
+        cut AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        pairs AS (
+            SELECT a.word, a.n, b.word AS near, b.n AS m FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+            UNION SELECT a.word, a.n, w.word, w.n FROM cut a JOIN w ON a.rest = w.word
+            UNION SELECT w.word, w.n, a.word, a.n FROM cut a JOIN w ON a.rest = w.word),
+        f AS (
+            SELECT word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * w.n THEN near END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n
+            FROM w LEFT JOIN (
+                SELECT word, near, m, count(*) OVER (PARTITION BY word) AS n_near FROM pairs
+                QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, near) = 1) USING (word)),
+        up AS (
+            SELECT word, word AS root, form AS next FROM f
+            UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.next)
+        SELECT f.*, root FROM f JOIN (SELECT word, root FROM up WHERE next IS NULL) USING (word)
+    """,
+    "op13_filter_audit": r"""
+        WITH d AS (
+            SELECT coalesce(source, '') AS part, quality, toxic, coalesce(text, '') AS t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+                   coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS again
+            FROM documents LEFT JOIN labels USING (doc_id)),
+        m AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+            FROM (SELECT *, list_filter([
+                      CASE WHEN len(words) < 50 THEN 'A' END,
+                      CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' END,
+                      CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' END,
+                      CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+                      CASE WHEN again THEN 'E' END], lambda k: k IS NOT NULL) AS fails FROM d)
+            GROUP BY part, fails),
+        letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        orders AS (
+            SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+            FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+        steps AS (SELECT filter_order, unnest(range(1, 6))::INT AS step, filter_order[step] AS own, filter_order[:step - 1] AS before FROM orders),
+        r AS (
+            SELECT part, filter_order, step, own,
+                   sum(n) FILTER (NOT hit AND NOT gone) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed, sum(n) FILTER (hit AND gone) AS redundant,
+                   sum(n) FILTER (hit AND len(fails) = 1) AS unique_fails, sum(good) FILTER (hit AND NOT gone) AS good_lost, sum(toxic) FILTER (hit AND NOT gone) AS toxic_lost
+            FROM (SELECT *, list_contains(fails, own) AS hit, len(list_filter(fails, lambda k: contains(before, k))) > 0 AS gone FROM m, steps)
+            GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+               coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+        FROM r
+    """,
 }
