@@ -25,8 +25,8 @@ from vectorloom.llm.words import spread, text_slices
 
 ROWS = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 MANIFEST = "part int, file string, docs long, tokens long, first_doc long, last_doc long, start long"
-#: Ids and pieces of text that a worker keeps; bounds memory, not results.
-KEPT_IDS, KEPT_PIECES = 8_000_000, 600_000
+#: Ids and pieces of text that a worker keeps, and bytes of text that are encoded together; bounds memory, not results.
+KEPT_IDS, KEPT_PIECES, SLICE = 8_000_000, 800_000, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,14 @@ class Layout:
 
 
 class ByteTokens(WordTokens):
-    """Ids of byte-level BPE. A space between two other characters starts a pre-token, so texts are cut there."""
+    """Ids of byte-level BPE. A space between two other characters starts a pre-token, so texts are cut there.
+
+    What ends a word, a full stop or comma after a letter, is a pre-token of its own. New pieces are encoded many
+    together, as the first token of each, and no other, starts with the letter that stands for a space.
+    """
+
+    #: Blanks of any alphabet, and the end of a text; next to these a space may belong to the pre-token before it.
+    BLANK = frozenset(["", *filter(str.isspace, map(chr, range(0x3001)))])
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,43 +59,80 @@ class ByteTokens(WordTokens):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        vocab = self.tokenizer.get_vocab()
+        #: Ids that start with a space.
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
         self.clear()
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def add_spaced(self, pieces: list[str]) -> None:
+        """Pieces of a space and characters that aren't blank."""
+        for k in range(0, len(pieces), 1 << 16):
+            groups = [pieces[a : a + 256] for a in range(k, min(len(pieces), k + (1 << 16)), 256)]
+            for group, ids in zip(groups, self.whole(["".join(g) for g in groups]), strict=True):
+                starts = np.flatnonzero(self.opens[ids])
+                if len(starts) == len(group):
+                    self.add(group, ids, np.diff(starts, append=len(ids)))
+                else:  # another vocabulary
+                    self.add_others(group)
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """The run of each piece; pieces that start with a space have no other blank at their ends."""
+        if len(self.known) > KEPT_PIECES or self.used > KEPT_IDS:
+            self.clear()
+        if not self.known:
+            self.add_others(["", ".", ","])
+        known = self.known
+        new = [x for x in words if x not in known]
+        self.add_spaced([x for x in new if x[0] == " " and x[-1] not in self.BLANK])
+        self.add_others([x for x in new if x[0] != " " or x[-1] in self.BLANK])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the number of ids of each text."""
         listed = pc.split_pattern(texts, " ")
         coded = listed.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
         place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         size = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+        # each different piece without its mark, 1 for a full stop and 2 for a comma
+        ended = pc.match_substring_regex(coded.dictionary, r"\p{L}[.,]$")
+        mark = ended.to_numpy(zero_copy_only=False) * (1 + pc.ends_with(coded.dictionary, ",").to_numpy(zero_copy_only=False))
+        bare = pc.if_else(ended, pc.utf8_slice_codeunits(coded.dictionary, 0, -1), coded.dictionary).dictionary_encode()
+        bare_of = bare.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = bare.dictionary.to_numpy(zero_copy_only=False).tolist()
         text = np.repeat(np.arange(len(size)), size)
         ends = np.cumsum(size)
         head, tail = np.zeros(len(place), bool), np.zeros(len(place), bool)
         head[ends - size], tail[ends - 1] = True, True
-        # next to other white space a space may belong to the pre-token before it: such texts are encoded whole
-        opens = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
-        closes = np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))
+        opens = np.array([w[:1] in self.BLANK for w in words], bool)[bare_of]
+        closes = np.array([w[-1:] in self.BLANK for w in words], bool)[bare_of] & (mark == 0)
+        # texts with other blanks beside a space are encoded whole
         odd = np.bincount(text[(opens[place] & ~head) | (closes[place] & ~tail)], minlength=len(size)) > 0
-        keep = ~odd[text]
-        code, runs = np.unique(2 * place[keep] + ~head[keep], return_inverse=True)
-        if len(self.known) > KEPT_PIECES or self.used > KEPT_IDS:
-            self.clear()
-        pieces = [" " + words[c >> 1] if c & 1 else words[c >> 1] for c in code.tolist()]
-        known = self.known
-        self.add_others([x for x in pieces if x not in known])
-        run = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))[runs]
-        per_text = np.bincount(text[keep], weights=self.size[run], minlength=len(size)).astype(np.int64)
+        if odd.any():
+            keep = ~odd[text]
+            text, place, head = text[keep], place[keep], head[keep]
+        code = bare_of[place] + len(words) * ~head
+        needed = np.zeros(2 * len(words), bool)
+        needed[code] = True
+        codes = np.flatnonzero(needed)
+        runs = np.zeros(2 * len(words), np.int64)
+        runs[codes] = self.learn([words[c] if c < len(words) else " " + words[c - len(words)] for c in codes.tolist()])
+        marks = np.array([self.known[x] for x in ("", ".", ",")] if self.known else [0] * 3)
+        run = np.stack([runs[code], marks[mark[place]]], 1).ravel()
+        # the runs of these texts side by side, as most pieces come again
+        n = self.size[run].reshape(-1, 2).sum(1)
         ids = self.flat[spread(run, self.first, self.size)]
+        per_text = np.bincount(text, weights=n, minlength=len(size)).astype(np.int64)
         rest = dict(zip(np.flatnonzero(odd).tolist(), self.whole(texts.filter(pa.array(odd)).to_pylist()), strict=True))
+        plain = per_text.copy()
         for k, own in rest.items():
             per_text[k] = len(own)
         total = per_text + 1
         out = np.full(int(total.sum()), end_id, "<u4")
         start = np.cumsum(total) - total
-        plain = per_text * ~odd
         out[np.arange(len(ids)) + np.repeat(start - (np.cumsum(plain) - plain), plain)] = ids
         for k, own in rest.items():
             out[start[k] : start[k] + len(own)] = own
@@ -122,7 +166,7 @@ def write(docs: DataFrame, to: str, path: str, end_id: int = 0, layout: Layout =
 
         part, tokens, before = TaskContext.get().partitionId(), byte_tokens(path), 0
         for frame in frames:
-            for at, texts in text_slices(frame.column("text")):
+            for at, texts in text_slices(frame.column("text"), SLICE):
                 ids, total = tokens.encode(texts, end_id)
                 ends = np.cumsum(total)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
