@@ -11,10 +11,10 @@ from vectorloom.operators import evaluation, instructions, knn, mixing, registry
 from vectorloom.sources import embedder, readers
 
 
-@pytest.mark.parametrize("most", [16 << 20, 600])
-def test_search_in_blocks_by_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(knn, "QUERY_BYTES", most)
-    monkeypatch.setattr(knn, "CORPUS_BLOCK", 7)
+@pytest.mark.parametrize(("query_bytes", "corpus_bytes", "parts"), [(16 << 20, 64 << 20, 20_000), (600, 400, 20_000), (600, 64 << 20, 3)])
+def test_search_in_tiles_by_brute_force(spark, monkeypatch, query_bytes, corpus_bytes, parts):
+    for name, value in (("QUERY_BYTES", query_bytes), ("CORPUS_BYTES", corpus_bytes), ("MOST_PARTS", parts), ("SCORES", 50)):
+        monkeypatch.setattr(knn, name, value)
     r = np.random.default_rng(1)
     x = r.integers(-3, 4, (60, 4)).astype(float)
     big = 1 << 60
@@ -33,6 +33,41 @@ def test_search_in_blocks_by_brute_force(spark, monkeypatch, most):
             assert sorted(found[i]) == [(k + 1, j, scores[i, j]) for k, j in enumerate(best)]
 
 
+def test_a_search_is_one_job_and_sends_no_row_to_the_driver(spark, monkeypatch):
+    """As many jobs for 1 cell as for many, and none of them collects vectors."""
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 1]) for i in range(200)], "cid long, v array<double>")
+    asked = rows.withColumnRenamed("cid", "qid")
+
+    def jobs(query_bytes, corpus_bytes):
+        monkeypatch.setattr(knn, "QUERY_BYTES", query_bytes)
+        monkeypatch.setattr(knn, "CORPUS_BYTES", corpus_bytes)
+        group = f"search-{query_bytes}-{corpus_bytes}"
+        spark.sparkContext.setJobGroup(group, "a search")
+        found = knn.topk(asked, rows, 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "FlatMapCoGroupsInArrow" in plan
+        out = sorted(tuple(r) for r in found.collect())
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, n
+
+    one, many = jobs(16 << 20, 64 << 20), jobs(500, 700)
+    assert one[0] == many[0] and len(one[0]) == 600
+    assert one[1] == many[1]
+
+
+def test_a_vector_that_most_rows_share(spark, monkeypatch):
+    """Ties go to the least ids, in a tile and between tiles; a query is left out where all competitors are of other groups."""
+    monkeypatch.setattr(knn, "CORPUS_BYTES", 4000)
+    rows = spark.createDataFrame([(i, [0.1, 0.2, 0.7] if i % 3 else [float(i), 1.0, 0.0], str(i) if i == 300 else None if i == 301 else "g") for i in range(900, 0, -1)], "cid long, v array<double>, g string")
+    asked = spark.createDataFrame([(1, [0.0, 0.0, 3.0], "g"), (2, [0.0, 0.0, 1.0], "none"), (301, [1.0, 0.0, 0.0], None), (5, None, "g"), (6, [0.0, 0.0, 0.0], "g")], "qid long, v array<double>, g string")
+    found = knn.topk(asked, rows, 5, exclude_self=True, within="g").orderBy("qid", "rank").collect()
+    assert [(r.qid, r["rank"], r.cid) for r in found] == [(1, k + 1, c) for k, c in enumerate([2, 4, 5, 7, 8])]
+    assert len({r.score for r in found}) == 1
+    nothing = rows.limit(0)
+    assert knn.topk(asked, nothing, 5).count() == 0 and knn.topk(asked.limit(0), rows, 5).count() == 0
+
+
 def test_scratch_tables_go_and_kept_ones_stay(spark):
     with tables.scratch(spark):
         with tables.scratch(spark):

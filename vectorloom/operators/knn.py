@@ -1,9 +1,9 @@
 """Exact search for the largest inner products.
 
-Blocks of queries of a bounded size are broadcast, one after the other, to the tasks that hold the corpus, which
-multiply two matrices and keep ``k`` rows a query. So no vector of the corpus is copied or shuffled, no pair of rows is
-ever a row of a table, and memory is bounded by the blocks. Small inputs may take the expression kernel
-instead, which stays in the JVM. Both rank by (score descending, id).
+Queries and corpus are cut into tiles of a bounded size, and the grid of their pairs is dealt out by one shuffle. A cell
+of the grid multiplies its two matrices and keeps ``k`` rows a query; the states of a query's cells merge by rank. So
+no row goes to the driver, it is one job however many tiles there are, no pair of rows is ever a row of a table, and
+memory is bounded by two tiles. Rows are ranked by (score descending, id).
 """
 
 from __future__ import annotations
@@ -12,16 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vectorloom.functions.cluster import ship
-from vectorloom.functions.tables import materialise, new_path
-from vectorloom.functions.vectors import dot
+from vectorloom.functions.tables import new_path
 
-#: Bytes of the vectors of a block of queries, and rows of the corpus that are multiplied together.
-QUERY_BYTES, CORPUS_BLOCK = 16 << 20, 8_192
+#: Bytes of the vectors of a tile of queries and of one of the corpus, and scores that are held at once.
+QUERY_BYTES, CORPUS_BYTES, SCORES = 16 << 20, 64 << 20, 1 << 22
+#: Most parts of the shuffle; beyond them a part has several cells, one after the other.
+MOST_PARTS = 20_000
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -57,80 +59,74 @@ def _best(frame: DataFrame, k: int) -> DataFrame:
 def topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, within: str | None = None) -> DataFrame:
     """qid, rank (from 1), cid, score: the ``k`` corpus rows of each query.
 
-    ``queries``: qid, v; ``corpus``: cid, v; ids are longs, null and zero vectors take no part. exclude_self
-    leaves out cid = qid. With ``within``, a column of both tables, only rows with an equal value compete.
+    ``queries``: qid, v; ``corpus``: cid, v; ids are longs and keys, null and zero vectors take no part. exclude_self
+    leaves out cid = qid. With ``within``, a column of both tables, only rows with an equal value compete. A query
+    with fewer rivals than ``k`` has fewer rows.
+
+    Each query tile is sent once for each corpus tile and the reverse, so a shuffle of ``q`` and ``c`` bytes in tiles of ``a``
+    and ``b`` bytes moves ``q * c * (1 / a + 1 / b)``, with no more than one copy of the corpus where the queries fit in one tile.
     """
     ok = F.exists("v", lambda x: x != 0)
     own = [within] if within else []
-    queries = queries.select(F.col("qid").cast("long"), F.col("v").cast("array<double>").alias("v"), *own).where(ok)
-    corpus = corpus.select(F.col("cid").cast("long"), F.col("v").cast("array<double>").alias("v"), *own).where(ok)
+    queries = queries.select(F.col("qid").cast("long"), F.col("v").cast("array<double>").alias("v"), *own)
+    corpus = corpus.select(F.col("cid").cast("long"), F.col("v").cast("array<double>").alias("v"), *own)
     spark = queries.sparkSession
     ship(spark)
-    cores = spark.sparkContext.defaultParallelism
-    parts = corpus.rdd.getNumPartitions()
-    if parts < cores:  # one shuffle of each vector, so that all cores have some
-        corpus = corpus.repartition(cores)
-    found: list[DataFrame] = []
-    blocks = query_blocks(queries, "qid", QUERY_BYTES)
-    block = next(blocks, None)
-    if block is None:
-        return spark.createDataFrame([], "qid long, rank int, cid long, score double")
-    while block is not None:
-        later = next(blocks, None)
-        near = _near(corpus, block, k, exclude_self, within)
-        # with several blocks each is done before the next is sent, so that one is held at a time
-        found.append(near if later is None and not found else materialise(near, "near"))
-        block = later
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
-def _near(corpus: DataFrame, block: pa.Table, k: int, exclude_self: bool, within: str | None) -> DataFrame:
-    names, q = block["qid"].to_numpy(), matrix(block["v"])
-    groups = np.array(block[within].to_pylist(), object) if within else None
-    sent = corpus.sparkSession.sparkContext.broadcast((names, q, groups))
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q, groups = sent.value
-        ids = [np.empty(0, np.int64)] * len(q)
-        scores = [np.empty(0)] * len(q)
-
-        def take(rows: pa.Table) -> None:
-            cid, x = rows["cid"].to_numpy(), matrix(rows["v"])
-            own = np.array(rows[within].to_pylist(), object) if within else None
-            for a in range(0, len(q), 256):
-                for i, row in enumerate(q[a : a + 256] @ x.T, a):
-                    if exclude_self:
-                        row = np.where(cid == names[i], -np.inf, row)
-                    if groups is not None:
-                        row = np.where(own == groups[i], row, -np.inf)
-                    n = min(k, len(row))
-                    near = np.flatnonzero((row >= np.partition(row, len(row) - n)[len(row) - n] - 1e-9) & (row > -np.inf))
-                    exact = (x[near] * q[i]).sum(1)  # summed alike for equal vectors, whatever their place
-                    c, s = np.concatenate([ids[i], cid[near]]), np.concatenate([scores[i], exact])
-                    order = np.lexsort((c, -s))[:k]
-                    ids[i], scores[i] = c[order], s[order]
-
-        held: list[pa.RecordBatch] = []
-        for frame in frames:
-            held.append(frame)
-            if sum(x.num_rows for x in held) >= CORPUS_BLOCK:
-                take(pa.Table.from_batches(held))
-                held = []
-        if sum(x.num_rows for x in held):
-            take(pa.Table.from_batches([x for x in held if x.num_rows]))
-        size = list(map(len, ids))
-        if sum(size):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], names=["qid", "cid", "score"])
-
-    return _best(corpus.mapInArrow(run, "qid long, cid long, score double"), k)
-
-
-def topk_small(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, most: int = 10_000) -> DataFrame:
-    """As ``topk`` for a corpus of at most ``most`` rows, which is checked: the corpus is broadcast and Python isn't used."""
-    if corpus.limit(most + 1).count() > most:
-        return topk(queries, corpus, k, exclude_self)
-    both = queries.select("qid", F.col("v").alias("_q")).join(F.broadcast(corpus.select("cid", "v")), F.lit(True) if not exclude_self else F.col("qid") != F.col("cid"))
-    return _best(both.select("qid", "cid", dot(F.col("_q"), F.col("v")).alias("score")), k)
+    # both sizes by one job: rows and length of vectors
+    sizes = [x.agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("n"), length.alias("d")) for side, x, length in (("q", queries, F.lit(0)), ("c", corpus, F.coalesce(F.max(F.size("v")), F.lit(0))))]
+    size = {r["side"]: r for r in sizes[0].unionByName(sizes[1]).collect()}
+    row_bytes = 8 * max(1, size["c"]["d"])
+    tiles = max(1, -(-size["q"]["n"] * row_bytes // QUERY_BYTES))
+    # where one tile holds all queries, the corpus is still cut so that all cores have some
+    parts = max(1, -(-size["c"]["n"] * row_bytes // CORPUS_BYTES), -(-spark.sparkContext.defaultParallelism // tiles))
+    cells = tiles * parts
+
+    def dealt(rows: DataFrame, key: str, mine: str, number: int, other: str, copies: int) -> DataFrame:
+        # by id and vector, so that the place is the same whenever a task runs again
+        placed = rows.where(ok).withColumn(mine, F.pmod(F.xxhash64(key, "v"), F.lit(number)).cast("int"))
+        cell = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other)).select(key, "v", *own, (F.col("_tile") * parts + F.col("_part")).alias("cell"))
+        return cell.repartitionById(min(cells, MOST_PARTS), (F.col("cell") % MOST_PARTS).cast("int"))
+
+    q = dealt(queries, "qid", "_tile", tiles, "_part", parts)
+    c = dealt(corpus, "cid", "_part", parts, "_tile", tiles)
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        return nearest(q, c, k, exclude_self, within)
+
+    return _best(q.groupBy("cell").cogroup(c.groupBy("cell")).applyInArrow(run, "qid long, cid long, score double"), k)
+
+
+def nearest(queries: pa.Table, corpus: pa.Table, k: int, exclude_self: bool = False, within: str | None = None) -> pa.Table:
+    """qid, cid, score of the ``k`` nearest rows of one tile for each query of another.
+
+    The product of the matrices tells candidates: those within its rounding of the k-th. They are scored anew, summed
+    alike for equal vectors whatever their place, so that ties are broken by id alone.
+    """
+    schema = pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("score", pa.float64())])
+    if not queries.num_rows or not corpus.num_rows:
+        return schema.empty_table()
+    qid, q = queries["qid"].to_numpy(), matrix(queries["v"])
+    cid, x = corpus["cid"].to_numpy(), matrix(corpus["v"])
+    if within:
+        both = pa.concat_arrays([t[within].combine_chunks() for t in (queries, corpus)]).dictionary_encode().indices
+        group = pc.fill_null(both, -1).to_numpy(zero_copy_only=False)
+        group, rival = group[: len(q)], group[len(q) :]
+    n, (rows, d) = min(k, len(x)), x.shape
+    slack = 8 * np.finfo(float).eps * d * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max())
+    step = max(1, SCORES // rows)
+    out = []
+    for a in range(0, len(q), step):
+        scores = q[a : a + step] @ x.T
+        if exclude_self:
+            scores[qid[a : a + step, None] == cid] = -np.inf
+        if within:
+            scores[(group[a : a + step, None] != rival) | (group[a : a + step, None] < 0)] = -np.inf
+        least = np.partition(scores, rows - n, 1)[:, rows - n]
+        at, near = np.nonzero((scores >= (least - slack[a : a + step])[:, None]) & (scores > -np.inf))
+        exact = np.concatenate([(x[near[b : b + (1 << 16)]] * q[a + at[b : b + (1 << 16)]]).sum(1) for b in range(0, len(at), 1 << 16)] or [np.empty(0)])
+        order = np.lexsort((cid[near], -exact, at))
+        at, near, exact = at[order], near[order], exact[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        kept = place < k
+        out.append(pa.table([qid[a + at[kept]], cid[near[kept]], exact[kept]], schema=schema))
+    return pa.concat_tables(out)

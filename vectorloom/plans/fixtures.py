@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.functions.tables import ordinals
+from vectorloom.functions.tables import materialise, ordinals
 from vectorloom.operators.knn import topk
 
 BATCH = 32
@@ -54,7 +54,8 @@ def pairs(rows: DataFrame) -> DataFrame:
     first = placed.where("at = 0").select("label", F.col("id").alias("_first"))  # a row for each label
     following = placed.join(later, ["label", "at"], "left").join(first, "label").select("id", F.coalesce("_next", "_first").alias("_next"))
     chosen = rows.join(following, "id").join(near.select(F.col("qid").alias("id"), F.col("cid").alias("_near")), "id", "left")
-    return chosen.select(F.col("id").alias("qid"), "v", F.when(F.col("id") % 2 == 0, F.col("_near")).otherwise(F.col("_next")).alias("positive_id"))
+    named = chosen.select(F.col("id").alias("qid"), "v", F.when(F.col("id") % 2 == 0, F.col("_near")).otherwise(F.col("_next")).alias("positive_id"))
+    return materialise(named, "pairs")  # read several times, and dear to make
 
 
 def batches(rows: DataFrame) -> DataFrame:
