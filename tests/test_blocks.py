@@ -104,9 +104,6 @@ def test_sources_by_registry(spark, tmp_path):
     assert readers.by_registry(spark, known, "a").count() == 3 and readers.by_registry(spark, known, "b").count() == 5
     with pytest.raises(ValueError):
         readers.by_registry(spark, known, "c")
-    (tmp_path / "x.txt").write_text("one\ntwo\n\nthree\n")
-    assert [r.value for r in readers.raw_lines(spark, str(tmp_path / "x.txt"), 3).collect()] == ["one", "two", ""]
-    assert readers.raw_lines(spark, str(tmp_path / "x.txt")).count() == 4
 
 
 def test_caps_of_mixtures():

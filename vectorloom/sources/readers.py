@@ -17,6 +17,7 @@ from vectorloom.functions.tables import prefix
 from vectorloom.functions.text import clean_placeholder, filled, image_path, item, strip
 from vectorloom.operators.instructions import task_type
 from vectorloom.operators.mixing import mix
+from vectorloom.sources.scan import first_rows, text_lines
 
 SIDE = T.StructType([T.StructField("text", T.StringType()), T.StructField("image_path", T.StringType())])
 MINED = T.StructType(
@@ -38,15 +39,20 @@ TEXT_SOURCES = {
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType, order: str | None = None, cap: int | None = None) -> DataFrame:
-    """Lines of JSON with a declared schema; a cap needs the key that orders the lines."""
+    """Lines of JSON with a declared schema; a cap takes the first by a key, or without one by files and places."""
     rows = spark.read.schema(schema).json(path)
     if not cap:
         return rows
     if order is None:
-        raise ValueError("a cap needs an order")
+        return first_rows(spark, path, lambda files: spark.read.schema(schema).json(files), cap).drop("place")
     return prefix(rows, [order], cap)
 
 
+def parquet_rows(spark: SparkSession, path: str, most: int, keep: Column | None = None) -> DataFrame:
+    """The first ``most`` rows of Parquet files that ``keep`` holds for, with their place; files behind the cap aren't read."""
+    return first_rows(spark, path, lambda files: spark.read.parquet(*files), most, keep)
+
+
 def text_list(raw: Column) -> Column:
     """A field that is a text or a JSON list of texts, as a list without blanks."""
     listed = F.when(raw.rlike(r"^\s*\["), F.from_json(raw, "array<string>"))
@@ -152,9 +158,15 @@ def bounded(rows: DataFrame, order: str, transform: Callable[[DataFrame], DataFr
 
 
 def raw_lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """The lines of text files as they are, in the order of files and places, at most ``most``."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    return prefix(lines, ["file", "at"], most).select("value")
+    """value, place: the lines of text files as they are, at most ``most``; place orders them by files and places.
+
+    With a cap it is their number from 0, and files behind it aren't read.
+    """
+    if most:
+        return text_lines(spark, path, most)
+    # the block where a file's rows stand orders them; lines of one block are numbered by its task
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return lines.select("value", F.struct("file", "block", "at").alias("place"))
 
 
 def by_registry(spark: SparkSession, registry: DataFrame, name: str) -> DataFrame:
