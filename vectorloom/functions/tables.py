@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +46,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def share_scopes() -> Callable[[], None]:
+    """A function that lets the thread which calls it write in the scopes that are open in this one."""
+    scopes = _SCOPES.__dict__.setdefault("open", [])
+
+    def inherit() -> None:
+        _SCOPES.open = list(scopes)  # the same scopes, and a stack of its own for new ones
+
+    return inherit
+
+
 def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A path in the shared folder; it is deleted at the end of the scope, if there is one."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from vectorloom.functions.tables import ordinals
+from vectorloom.functions.tables import new_path, ordinals
 from vectorloom.functions.text import filled, short_name
 from vectorloom.operators.instructions import has_media
 
@@ -51,20 +51,34 @@ def first_rows(rows: DataFrame, key: str, order: str, frames: str) -> DataFrame:
 
 
 def with_candidates(rows: DataFrame, candidates: str = "candidates", positives: str = "n_positive") -> tuple[DataFrame, DataFrame]:
-    """Rows that have candidates and a positive among them, and one row with how many don't."""
-    good = (F.coalesce(F.size(candidates), F.lit(0)) > 0) & (F.coalesce(F.col(positives), F.lit(0)) > 0)
-    return rows.where(good), skipped(rows, good)
+    """Rows that have candidates and a positive among them, and one row with how many don't and how many candidates are left."""
+    size = F.coalesce(F.size(candidates), F.lit(0))
+    return counted(rows, (size > 0) & (F.coalesce(F.col(positives), F.lit(0)) > 0), n_candidates=size)
 
 
 def with_frames(rows: DataFrame, frames: str = "frames") -> tuple[DataFrame, DataFrame]:
     """Rows with frames, and one row with how many have none."""
-    good = F.coalesce(F.size(frames), F.lit(0)) > 0
-    return rows.where(good), skipped(rows, good)
+    return counted(rows, F.coalesce(F.size(frames), F.lit(0)) > 0)
 
 
-def skipped(rows: DataFrame, good: Column) -> DataFrame:
-    """One row: n_kept, n_skipped."""
-    return rows.agg(F.count_if(good).alias("n_kept"), F.count_if(~good).alias("n_skipped"))
+def counted(rows: DataFrame, good: Column, **sums: Column) -> tuple[DataFrame, DataFrame]:
+    """The good rows, and one row: n_kept, n_skipped, and the sum of each of ``sums`` over the good rows.
+
+    ``rows`` are scanned once: the good ones are written, and the same pass observes the counters. Tasks that run again
+    when executors are lost may be observed twice, so the counters are held against the rows that were
+    written, and counted anew if they differ.
+    """
+    good = F.coalesce(good, F.lit(False))
+    each = {"n_kept": F.count_if(good), "n_skipped": F.count_if(~good)} | {n: F.coalesce(F.sum(F.when(good, c)), F.lit(0)).cast("long") for n, c in sums.items()}
+    named = [c.alias(n) for n, c in each.items()]
+    seen, path = Observation(), new_path(rows.sparkSession, "kept")
+    rows.observe(seen, *named).where(good).write.parquet(path)
+    kept = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    counts = seen.get
+    if kept.count() != counts["n_kept"]:
+        counts = rows.agg(*named).first().asDict()
+    schema = ", ".join(f"{n} long" for n in each)
+    return kept, rows.sparkSession.createDataFrame([tuple(counts[n] for n in each)], schema)
 
 
 def with_media(rows: DataFrame, path: str, listing: DataFrame) -> DataFrame:

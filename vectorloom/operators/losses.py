@@ -6,6 +6,7 @@ are taken as they are: normalise them first.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from vectorloom.functions.vectors import dot, prefix
 
 TEMPERATURE, MARGIN, ALPHA, TINY = 0.02, 0.1, 9.0, 1e-12
+#: Exponents that one state of ``log_sum_exp`` spans; far under 709, where doubles end.
+SPAN = 256.0
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -23,6 +26,28 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return left.join(right, "batch").where("i <> j")
 
 
+def log_add(*logs: Column) -> Column:
+    """Logarithm of the sum of numbers that are given by their logarithms; null stands for 0, and one must not be null."""
+    top = F.greatest(*logs)
+    return top + F.ln(reduce(lambda x, y: x + y, [F.coalesce(F.exp(x - top), F.lit(0.0)) for x in logs]))
+
+
+def log_sum_exp(rows: DataFrame, keys: list[str], terms: list[Column], name: str) -> DataFrame:
+    """``keys`` and the logarithm of the sum of exp(term) over a key's rows; null terms don't count, keys without any are left out.
+
+    A row's state is the multiple of ``SPAN`` under its largest term and the sum of exponentials scaled by it. States with the
+    same multiple are sums, so they merge before the shuffle and in any order; a key has as many as its terms span
+    multiples, and those are put together at the end. So no exponential overflows, whatever the temperature.
+    """
+    top = F.greatest(*terms) if len(terms) > 1 else terms[0]
+    floor = F.floor(top / SPAN).cast("double")
+    scaled = reduce(lambda x, y: x + y, [F.coalesce(F.exp(t - floor * SPAN), F.lit(0.0)) for t in terms])
+    states = rows.where(top.isNotNull()).groupBy(*keys, floor.alias("_f")).agg(F.sum(scaled).alias("_s"))
+    merged = states.groupBy(*keys).agg(F.max("_f").alias("_top"), F.collect_list(F.struct("_f", "_s")).alias("_x"))
+    total = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x["_s"] * F.exp((x["_f"] - F.col("_top")) * SPAN))
+    return merged.select(*keys, (F.col("_top") * SPAN + F.ln(total)).alias(name))
+
+
 def infonce_rows(rows: DataFrame, stage: int = 1, negatives: DataFrame | None = None, temperature: float = TEMPERATURE, margin: float = MARGIN, alpha: float | None = None) -> DataFrame:
     """batch, slot, loss of each row (batch, slot, q, d).
 
@@ -32,23 +57,36 @@ def infonce_rows(rows: DataFrame, stage: int = 1, negatives: DataFrame | None =
     a negative given twice counts twice.
     """
 
+    at_most = margin / temperature if alpha is None else float("inf")
+    pos = F.col("pos") / temperature
+
     def term(score: Column) -> Column:
+        """The exponent of a negative, null if it doesn't count."""
         if alpha is not None:
-            return F.exp(score / temperature + alpha * score)
-        return F.when(score <= F.col("pos") + margin, F.exp(score / temperature)).otherwise(0.0)
-
-    both = _pairs(rows)
-    cross = term(dot(F.col("qi"), F.col("dj")))
-    more = term(dot(F.col("qi"), F.col("qj"))) + term(dot(F.col("di"), F.col("dj"))) if stage == 1 else F.lit(0.0)
-    inside = both.groupBy("batch", F.col("i").alias("slot")).agg(F.sum(cross + more).alias("_in"))
+            return score / temperature + alpha * score
+        return F.when(score <= F.col("pos") + margin, score / temperature)
+
+    def summed(scored: DataFrame, terms: list[Column]) -> DataFrame:
+        """batch, slot, lse: the logarithm of the sum of the terms' exponentials."""
+        keys = ["batch", "slot"]
+        if at_most > SPAN:
+            return log_sum_exp(scored, keys, terms, "lse")
+        # no term is over the row's own score by more than that, so one sum shifted by it is enough
+        shifted = reduce(lambda x, y: x + y, [F.coalesce(F.exp(t - pos), F.lit(0.0)) for t in terms])
+        return scored.groupBy(*keys).agg(F.sum(shifted).alias("_s"), F.first("pos").alias("_p")).select(*keys, F.when(F.col("_s") > 0, F.ln("_s") + F.col("_p") / temperature).alias("lse"))
+
+    both = _pairs(rows).withColumn("slot", F.col("i"))
+    terms = [term(dot(F.col("qi"), F.col("dj")))]
+    if stage == 1:
+        terms += [term(dot(F.col("qi"), F.col("qj"))), term(dot(F.col("di"), F.col("dj")))]
     own = rows.select("batch", "slot", dot(F.col("q"), F.col("d")).alias("pos"), "q")
-    whole = own.join(inside, ["batch", "slot"], "left")
-    z = F.exp(F.col("pos") / temperature) + F.coalesce("_in", F.lit(0.0))
+    whole = own.join(summed(both, terms).withColumnRenamed("lse", "_in"), ["batch", "slot"], "left")
+    parts = [pos, F.col("_in"), F.lit(math.log(TINY))]
     if negatives is not None:
-        hard = own.join(negatives.select("batch", "slot", "n"), ["batch", "slot"]).groupBy("batch", "slot").agg(F.sum(term(dot(F.col("q"), F.col("n")))).alias("_hard"))
-        whole = whole.join(hard, ["batch", "slot"], "left")
-        z = z + F.coalesce("_hard", F.lit(0.0))
-    return whole.select("batch", "slot", (-F.ln(F.exp(F.col("pos") / temperature) / (z + TINY))).alias("loss"))
+        hard = own.join(negatives.select("batch", "slot", "n"), ["batch", "slot"])
+        whole = whole.join(summed(hard, [term(dot(F.col("q"), F.col("n")))]).withColumnRenamed("lse", "_hard"), ["batch", "slot"], "left")
+        parts.append(F.col("_hard"))
+    return whole.select("batch", "slot", (log_add(*parts) - pos).alias("loss"))
 
 
 def mean_by_batch(losses: DataFrame, digits: int = 6) -> DataFrame:
@@ -59,8 +97,8 @@ def cosent(rows: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
     """batch, loss of rows (batch, slot, a, b, score): 0 for a batch in which no two scores differ."""
     own = rows.select("batch", "slot", "score", (dot(F.col("a"), F.col("b")) / temperature).alias("c"))
     other = own.select("batch", F.col("score").alias("score2"), F.col("c").alias("c2"))
-    sums = own.join(other, "batch").where("score2 > score").groupBy("batch").agg(F.sum(F.exp(F.col("c") - F.col("c2"))).alias("_s"))
-    return rows.select("batch").distinct().join(sums, "batch", "left").select("batch", F.coalesce(F.ln(1 + F.col("_s")), F.lit(0.0)).alias("loss"))
+    sums = log_sum_exp(own.join(other, "batch").where("score2 > score"), ["batch"], [F.col("c") - F.col("c2")], "_s")
+    return rows.select("batch").distinct().join(sums, "batch", "left").select("batch", log_add(F.lit(0.0), F.col("_s")).alias("loss"))
 
 
 def classification_rows(rows: DataFrame, negatives: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:

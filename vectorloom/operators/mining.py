@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vectorloom.functions.jobs import side_by_side
 from vectorloom.functions.text import positive_key
 from vectorloom.functions.tables import ordinals
 from vectorloom.functions.vectors import dot
@@ -46,32 +48,31 @@ def mine_sources(
     done: Callable[[str], bool],
     write: Callable[[DataFrame, str], None],
     count: int = 15,
+    most: int = 4,
 ) -> DataFrame:
     """source, status, n_rows, avg_negatives, error: mines every wanted source into a table of its own in ``folder``.
 
     A source gives pairs (qid, v, positive_id) and a corpus (cid, v). One whose table is there is skipped, one without rows is
-    empty, and one that fails doesn't stop the others. ``avg_negatives`` counts those under the margin.
+    empty, and one that fails doesn't stop the others, of which ``most`` run side by side. ``avg_negatives`` counts those
+    under the margin.
     """
-    out = []
-    for name in dict.fromkeys(wanted):
+
+    def one(name: str) -> tuple:
         path = f"{folder}/{name}"
         if name not in sources:
-            out.append((name, "unknown", None, None, None))
-            continue
+            return name, "unknown", None, None, None
         if done(path):
-            out.append((name, "exists", None, None, None))
-            continue
-        try:
-            pairs, corpus = sources[name]()
-            if pairs.isEmpty():
-                out.append((name, "empty", 0, None, None))
-                continue
-            write(mine(pairs, corpus, count=count), path)
-            one = statistics(spark.read.parquet(path), pairs, count).first()
-            own = spark.read.parquet(path).where(~F.col("was_padded")).count()
-            out.append((name, "mined", one["n_queries"], round(own / one["n_queries"], 6), None))
-        except Exception as error:  # any source's error
-            out.append((name, "failed", None, None, str(error).splitlines()[0][:200]))
+            return name, "exists", None, None, None
+        pairs, corpus = sources[name]()
+        if pairs.isEmpty():
+            return name, "empty", 0, None, None
+        write(mine(pairs, corpus, count=count), path)
+        whole = statistics(spark.read.parquet(path), pairs, count).first()
+        own = spark.read.parquet(path).where(~F.col("was_padded")).count()
+        return name, "mined", whole["n_queries"], round(own / whole["n_queries"], 6), None
+
+    ran = side_by_side(spark, {name: partial(one, name) for name in dict.fromkeys(wanted)}, most)
+    out = [x.value or (name, "failed", None, None, x.message[:200]) for name, x in ran.items()]
     return spark.createDataFrame(out, "source string, status string, n_rows long, avg_negatives double, error string")
 
 

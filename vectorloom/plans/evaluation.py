@@ -109,6 +109,24 @@ register(
 )
 
 
+def observed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations by the number of their answers, those without any left out, and the counters of the same scan."""
+    lists = load(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("candidates"), F.count_if(F.col("role") == "assistant").alias("n_positive"))
+    kept, counters = evaluation.with_candidates(lists)
+    total = counters.first()  # one row
+    average = F.round(F.lit(total["n_candidates"]) / F.lit(total["n_kept"]), 1)
+    return kept.groupBy("n_positive").agg(F.count(F.lit(1)).alias("n")).withColumns({"n_kept": F.lit(total["n_kept"]).cast("long"), "n_skipped": F.lit(total["n_skipped"]).cast("long"), "avg_candidates": average})
+
+
+register(
+    "observed_counts",
+    observed_counts,
+    """WITH c AS (SELECT conv_id, count(turn) AS size, count(*) FILTER (WHERE role = 'assistant') AS n_positive FROM conversations GROUP BY conv_id),
+        t AS (SELECT count(*) FILTER (WHERE n_positive > 0) AS n_kept, count(*) FILTER (WHERE n_positive = 0) AS n_skipped, round(sum(size) FILTER (WHERE n_positive > 0) / count(*) FILTER (WHERE n_positive > 0), 1) AS avg_candidates FROM c)
+        SELECT n_positive, count(*) AS n, any_value(n_kept) AS n_kept, any_value(n_skipped) AS n_skipped, any_value(avg_candidates) AS avg_candidates FROM c, t WHERE n_positive > 0 GROUP BY n_positive""",
+)
+
+
 def missing_images(spark: SparkSession, d: str) -> DataFrame:
     """Paths under a root that are null where no such file is listed."""
     rows = load(spark, d, "documents").select("doc_id", text.image_path("/data", F.concat(F.lit("images/"), (F.col("doc_id") % 300).cast("string"), F.lit(".jpg"))).alias("path"))

@@ -190,3 +190,58 @@ register(
         f AS (SELECT batch, i, -ln(max(x) FILTER (WHERE i = j) / (sum(x) + 1e-12)) AS loss FROM k GROUP BY batch, i), g AS (SELECT batch, j, -ln(max(x) FILTER (WHERE i = j) / (sum(x) + 1e-12)) AS loss FROM k GROUP BY batch, j)
         SELECT batch, round(avg(loss), 6) AS loss FROM (SELECT batch, loss FROM f UNION ALL SELECT batch, loss FROM g) GROUP BY batch""",
 )
+
+
+def _long_vectors(b: DataFrame) -> DataFrame:
+    """Vectors of length 7, so that scores reach 49 and their exponents 2,450, over what a double can hold."""
+    return b.withColumns({c: F.transform(c, lambda x: x * 7) for c in ("q", "d")})
+
+
+SQL_LONG = "long AS (SELECT batch, slot, label, list_transform(q, lambda x: x * 7) AS q, list_transform(d, lambda x: x * 7) AS d FROM b)"
+
+
+def infonce_large_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Losses of long vectors: all negatives count, with weights and without, or those under the margin."""
+    b = materialise(_long_vectors(rows(spark, d)).select("batch", "slot", "q", "d"), "long")
+    found = {"all": L.infonce_rows(b, 1, margin=float("inf")), "weighted": L.infonce_rows(b, 2, alpha=L.ALPHA), "masked": L.infonce_rows(b, 1)}
+    out = None
+    for kind, loss in found.items():
+        one = L.mean_by_batch(loss, 5).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _sql_exponents(kind: str, term: str, stage: int) -> str:
+    scores = ["list_inner_product(i.q, j.d)"] + ["list_inner_product(i.q, j.q)", "list_inner_product(i.d, j.d)"] * (stage == 1)
+    pairs = " UNION ALL ".join(f"SELECT i.batch, i.slot, list_inner_product(i.q, i.d) AS pos, {s} AS s FROM long i JOIN long j ON i.batch = j.batch AND i.slot <> j.slot" for s in scores)
+    return f"SELECT '{kind}' AS kind, batch, slot, pos, {term} AS x FROM ({pairs})"
+
+
+register(
+    "infonce_large_scores",
+    infonce_large_scores,
+    f"""WITH {BASE}, {SQL_LONG},
+        x AS ({_sql_exponents('all', f's / {T}', 1)} UNION ALL {_sql_exponents('weighted', f's / {T} + 9 * s', 2)} UNION ALL {_sql_exponents('masked', f'CASE WHEN s <= pos + 0.1 THEN s / {T} END', 1)}),
+        own AS (SELECT DISTINCT kind, batch, slot, pos FROM x),
+        y AS (SELECT kind, batch, slot, x FROM x UNION ALL SELECT kind, batch, slot, pos / {T} FROM own UNION ALL SELECT kind, batch, slot, ln(1e-12) FROM own),
+        m AS (SELECT kind, batch, slot, max(x) AS top FROM y GROUP BY ALL),
+        l AS (SELECT kind, batch, slot, any_value(top) + ln(sum(exp(x - top))) AS z FROM y JOIN m USING (kind, batch, slot) GROUP BY ALL)
+        SELECT kind, batch, round(avg(z - pos / {T}), 5) AS loss FROM l JOIN own USING (kind, batch, slot) GROUP BY kind, batch""",
+)
+
+
+def cosent_large_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The ordinal loss of long vectors, with the label as the score."""
+    b = _long_vectors(rows(spark, d)).select("batch", "slot", F.col("q").alias("a"), F.col("d").alias("b"), F.col("label").cast("double").alias("score"))
+    return L.cosent(b).select("batch", F.round("loss", 5).alias("loss"))
+
+
+register(
+    "cosent_large_scores",
+    cosent_large_scores,
+    f"""WITH {BASE}, {SQL_LONG},
+        c AS (SELECT batch, label, list_inner_product(q, d) / {T} AS c FROM long),
+        x AS (SELECT i.batch, i.c - j.c AS x FROM c i JOIN c j ON i.batch = j.batch AND j.label > i.label UNION ALL SELECT DISTINCT batch, 0 FROM c),
+        m AS (SELECT batch, max(x) AS top FROM x GROUP BY batch)
+        SELECT batch, round(any_value(top) + ln(sum(exp(x - top))), 5) AS loss FROM x JOIN m USING (batch) GROUP BY batch""",
+)

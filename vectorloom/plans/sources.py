@@ -197,3 +197,53 @@ def single_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("single_document", single_document, "SELECT label::VARCHAR AS task, count(*)::DOUBLE AS score FROM embeddings GROUP BY label")
+
+
+def _in_order(docs: DataFrame) -> DataFrame:
+    """Dealt to eight files in the order of doc_id."""
+    return docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+
+
+def early_stop_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The first 300 lines of a folder of text files and their places; files behind these aren't read."""
+    path = new_path(spark, "lines")
+    _in_order(load(spark, d, "documents")).select(F.concat_ws(" ", "doc_id", F.md5("text"))).write.text(path)
+    return readers.raw_lines(spark, path, 300)
+
+
+register("early_stop_lines", early_stop_lines, "SELECT doc_id || ' ' || md5(text) AS value, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents ORDER BY doc_id LIMIT 300")
+
+
+def early_stop_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first 40 documents in French of a folder of Parquet files, with their places among all."""
+    path = new_path(spark, "rows")
+    _in_order(load(spark, d, "documents")).write.parquet(path)
+    return readers.parquet_rows(spark, path, 40, F.col("lang") == "fr").select("doc_id", F.md5("text").alias("text_md5"), "place")
+
+
+register(
+    "early_stop_rows",
+    early_stop_rows,
+    "SELECT doc_id, md5(text) AS text_md5, place FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) WHERE lang = 'fr' ORDER BY doc_id LIMIT 40",
+)
+
+
+def teacher_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all documents in seven shards: a first run does two of them, the second finds these done and does the others."""
+    rows = load(spark, d, "documents").select("doc_id", text.item(F.col("lang"), _none()).alias("query"), text.item(F.col("source"), _none()).alias("positive"))
+    folder = new_path(spark, "shards")
+    teacher.store_shards(rows, "doc_id", "docs", folder, _length_model, 7, only=[1, 4])
+    report = teacher.store_shards(rows, "doc_id", "docs", folder, _length_model, 7, together=3)
+    unit = lambda v: F.abs(norm(F.col(v)) - 1) < 1e-6
+    size = -(-rows.count() // 7)
+    found = teacher.shard_vectors(spark, folder, "docs").groupBy(F.floor(F.col("row_idx") / size).cast("int").alias("shard")).agg(F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"), F.count_if(unit("q") & unit("p")).alias("n_unit"))
+    return report.join(found, "shard")
+
+
+register(
+    "teacher_shards",
+    teacher_shards,
+    """WITH n AS (SELECT count(*) AS n, (count(*) + 6) // 7 AS size FROM documents),
+        r AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) AS i FROM documents)
+        SELECT (i // size)::INT AS shard, CASE WHEN i // size IN (1, 4) THEN 'exists' ELSE 'stored' END AS status, count(*) AS n_rows, min(i) AS first_row, max(i) AS last_row, count(*) AS n_unit FROM r, n GROUP BY ALL""",
+)
