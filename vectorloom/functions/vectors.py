@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,16 +70,23 @@ def rerank_score(yes: Column, no: Column) -> Column:
 def to_half(v: Column | str) -> Column:
     """Components in half precision, two bytes each, little end first; no built-in type holds them."""
 
-    def pack(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda x: None if x is None else np.asarray(x, "<f2").tobytes())
+    def pack(rows: pa.Array) -> pa.Array:
+        flat = rows.flatten().to_numpy(zero_copy_only=False).astype("<f2")
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 2
+        whole = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+        return pc.if_else(rows.is_valid(), whole, pa.scalar(None, pa.binary()))
 
-    return F.pandas_udf(pack, "binary")(v)
+    return F.arrow_udf(pack, "binary")(v)
 
 
 def from_half(raw: Column | str) -> Column:
     """The reverse of ``to_half``, in single precision."""
 
-    def unpack(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda x: None if x is None else np.frombuffer(x, "<f2").astype(np.float32))
+    def unpack(rows: pa.Array) -> pa.Array:
+        flat = np.frombuffer(b"".join(pc.drop_null(rows).to_pylist()), "<f2").astype(np.float32)
+        sizes = pc.fill_null(pc.binary_length(rows), 0).to_numpy(zero_copy_only=False) // 2
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.array(flat), mask=rows.is_null()).cast(pa.list_(pa.float32()))
 
-    return F.pandas_udf(unpack, "array<float>")(raw)
+    return F.arrow_udf(unpack, "array<float>")(raw)

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectorloom.functions import text
-from vectorloom.functions.tables import new_path
+from vectorloom.functions.tables import new_path, ordinals
 from vectorloom.functions.vectors import last_token, norm
 from vectorloom.operators import batching, mining
 from vectorloom.plans.catalogue import register
 from vectorloom.plans.fixtures import as_corpus, load, pairs, vectors
 from vectorloom.plans.retrieval import SQL_MINED
-from vectorloom.sources import readers, teacher, writers
+from vectorloom.sources import halves, hub, readers, teacher, writers
 
 
 def _none() -> Column:
@@ -247,3 +247,40 @@ register(
         r AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) AS i FROM documents)
         SELECT (i // size)::INT AS shard, CASE WHEN i // size IN (1, 4) THEN 'exists' ELSE 'stored' END AS status, count(*) AS n_rows, min(i) AS first_row, max(i) AS last_row, count(*) AS n_unit FROM r, n GROUP BY ALL""",
 )
+
+
+def half_vector_files(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors in half precision, both sides, joined by row number to their rows again."""
+    placed = ordinals(vectors(spark, d), ["id"], name="row_idx")
+    both = F.array(F.struct(F.lit("query").alias("side"), F.col("v").alias("v")), F.struct(F.lit("positive").alias("side"), F.reverse("v").alias("v")))
+    path = new_path(spark, "halves")
+    halves.write(placed.select(F.lit("all").alias("subset"), "row_idx", F.explode(both).alias("x")).select("subset", "x.side", "row_idx", "x.v"), path, size=100)
+    found = halves.aligned(placed.select("row_idx", "id", "v"), path, "all", size=100)
+    near = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= 5e-4 * F.greatest(F.abs(y), F.lit(1e-3))), lambda x: x)
+    return found.select(F.col("id").alias("vec_id"), "row_idx", F.size("teacher_q").alias("dims"), (near("teacher_q", F.col("v")) & near("teacher_p", F.reverse("v"))).alias("close"))
+
+
+register("half_vector_files", half_vector_files, "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_idx, len(embedding)::INT AS dims, true AS close FROM embeddings")
+
+
+def registry_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Four sources of three formats by repository, configuration and split; the test split's branch isn't in the plan."""
+    root, docs = new_path(spark, "hub"), load(spark, d, "documents")
+    even = F.col("doc_id") % 2 == 0
+    docs.where(even).write.parquet(f"{root}/docs/short/train")
+    docs.where(~even).write.json(f"{root}/docs/short/test")
+    docs.where("lang = 'fr'").select("doc_id", "lang").write.orc(f"{root}/docs/french/train")
+    load(spark, d, "pages").select("page_id", "url").write.parquet(f"{root}/pages/train")
+    known = spark.createDataFrame(
+        [("short", "docs", "short", "train", "parquet", "n_chars < 2000"), ("short", "docs", "short", "test", "json", None), ("french", "docs", "french", "train", "orc", None), ("pages", "pages", None, "train", "parquet", None)], hub.CATALOGUE
+    )
+    return hub.inventory(hub.scan(spark, known, root).where("split = 'train'"), "lang")
+
+
+register(
+    "registry_scan",
+    registry_scan,
+    """SELECT 'short' AS name, 'docs' AS repo, 'short' AS config, 'train' AS split, count(*) AS n, count(lang) AS n_filled FROM documents WHERE doc_id % 2 = 0 AND n_chars < 2000
+        UNION ALL SELECT 'french', 'docs', 'french', 'train', count(*), count(lang) FROM documents WHERE lang = 'fr'
+        UNION ALL SELECT 'pages', 'pages', NULL, 'train', count(*), 0 FROM pages""",
+)
