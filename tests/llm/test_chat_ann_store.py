@@ -40,6 +40,14 @@ def test_repeated_messages_and_cycles(spark):
     differing = spark.createDataFrame([("t", 1, None, "user", "b", 2.0), ("t", 1, None, "user", "a", 3.0)], SCHEMA)
     assert [(r.n_turns, r.score, "a</s>" in r.formatted) for r in chat.format_paths(differing).collect()] == [(1, 2.0, True)]
 
+    # a turn is one that somebody wrote, and no text of a branch that isn't chosen is grouped
+    mixed = spark.createDataFrame([("t", 1, None, "assistant", "zzz", 0.0), ("t", 1, None, "user", "zz", 0.0), ("u", 1, None, None, "b", 0.0), ("u", 1, None, "user", "a", 0.0)], SCHEMA)
+    read = chat.format_paths(mixed).select("tree", chat.parse(F.col("formatted")).alias("turns")).collect()
+    assert {r.tree: [tuple(t) for t in r.turns] for r in read} == {"t": [("assistant", "zzz")], "u": [("", "b")]}
+    plan = chat.format_paths(mixed)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("min(named_struct") if "min(named_struct" in plan else plan.index("min(struct") :]
+    assert "LeftSemi" in grouped
+
 
 def test_conversations_by_turn(spark):
     rows = [(1, 0, "user", "a\n</s>\n<s>[x] "), (1, 1, "assistant", "b" * 9), (1, 1, "assistant", "b" * 9), (2, 0, None, None), (None, 5, "assistant", "é")] + [(3, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(300)]

@@ -66,12 +66,12 @@ def format_paths(messages: DataFrame, best: int = 1) -> DataFrame:
 
     ``messages``: tree, node, parent, role, text, score. The ``best`` branches of each tree are chosen by the
     mean score of their messages (null: 0) to twelve places, ties by the smaller leaf. Null roles and texts are
-    empty. Rows of the same message count once, with the least of each of their columns. Branches are ranked before any
-    text is joined, so only the texts of chosen branches move.
+    empty. Rows of the same message count once, with the least pair of role and text and the least score. Branches are
+    ranked on rows of fixed size; messages then meet the chosen branches in a semi-join before they are grouped, so
+    where branches are few and the messages many, a broadcast or Spark's runtime filter keeps the other texts where they are.
     loss_spans: start and length, in code points from 0, of each assistant text in ``formatted``.
     """
     paths = ancestors(messages.select("tree", "node", "parent"))
-    once = messages.groupBy("tree", "node").agg(*[F.min(c).alias(c) for c in ("role", "text", "score")])
     scored = paths.join(messages.groupBy("tree", "node").agg(F.min("score").alias("score")), ["tree", "node"])
     ranked = (
         scored.groupBy("tree", "leaf")
@@ -81,11 +81,13 @@ def format_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     )
     turn = F.struct(
         (-F.col("up")).alias("at"),
-        (F.coalesce("role", F.lit("")) == "assistant").alias("learned"),
-        F.concat(F.lit(START), escape(F.coalesce("role", F.lit(""))), F.lit(BETWEEN)).alias("head"),
-        escape(F.coalesce("text", F.lit(""))).alias("body"),
+        (F.col("said.role") == "assistant").alias("learned"),
+        F.concat(F.lit(START), escape(F.col("said.role")), F.lit(BETWEEN)).alias("head"),
+        escape(F.col("said.text")).alias("body"),
     )
     chosen = materialise(paths.join(ranked, ["tree", "leaf"]), "chosen")
+    said = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    once = messages.join(chosen.select("tree", "node"), ["tree", "node"], "left_semi").groupBy("tree", "node").agg(F.min(said).alias("said"))
     joined = chosen.join(once, ["tree", "node"]).groupBy("tree", "leaf", "rank", "path_score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
