@@ -72,13 +72,15 @@ def good_documents(rows, rules=quality.QualityRules()):
             words[lang] = {w: n / sum(c.values()) for w, n in top}
     every = np.mean([x for own in chars.values() for x in own], 0).tolist()
     means = [np.mean(chars[lang], 0).tolist() for lang in words]
-    out = []
+    seen, out = {c for own in words.values() for w in own for c in w}, []
     for i, t, lang in passed:
         share, n = classes(t)
-        if n >= rules.min_chars and min(js(share, m) for m in (means if lang in words else [every])) > rules.max_char_distance:
+        letters = [c for c in t.lower() if regex.match(r"\p{L}", c)]
+        own = lang in words or lang is None and bool(words) and 2 * sum(c not in seen for c in letters) <= len(letters)
+        if n >= rules.min_chars and min(js(share, m) for m in (means if own else [every])) > rules.max_char_distance:
             continue
         w = terms(t)
-        if lang in words and len(w) >= rules.min_terms and min(test_quality.plain_distance(w, s) for s in words.values()) > rules.max_word_distance:
+        if own and len(w) >= rules.min_terms and min(test_quality.plain_distance(w, s) for s in words.values()) > rules.max_word_distance:
             continue
         out.append((i, t, lang))
     return out

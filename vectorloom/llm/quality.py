@@ -212,11 +212,19 @@ def word_distance(words: Column, known: dict[str, dict[str, float]]) -> Column:
     return let(words, nearest) if every else F.lit(None).cast("double")
 
 
+def other_script(text: Column, known: dict[str, dict[str, float]]) -> Column:
+    """Most letters of the text are in none of the common words of any language."""
+    inventory = "".join(sorted({c for shares in known.values() for w in shares for c in w}))
+    letters = F.regexp_replace(F.lower(text), r"[^\p{L}]+", "")
+    return let(letters, lambda x: 2 * F.length(F.translate(x, inventory, "")) > F.length(x))
+
+
 def judged(docs: DataFrame, rules: QualityRules) -> DataFrame:
     """``features`` with base_failed, both distances and kept."""
     feats = materialise(features(docs), "quality", compression="zstd")
     refs = references(feats, rules)
-    own = F.coalesce(F.col("lang").isin(list(refs.words)), F.lit(False)) if refs.words else F.lit(False)
+    # a text that names no language is held against all of them, unless it is in another script than theirs
+    own = F.when(F.col("lang").isNull(), ~other_script(text_of(), refs.words)).otherwise(F.col("lang").isin(list(refs.words))) if refs.words else F.lit(False)
 
     def nearest(shares: list[list[float]]) -> Column:
         found = [js_distance(F.col("char_counts"), F.array(*map(F.lit, s))) for s in shares]
@@ -236,7 +244,9 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the base counts, base_failed, both distances, kept.
 
     A null or empty text has no words, so it fails the base rules; distances are taken of texts that pass them. Rows
-    are judged one by one: repeated rows and null doc_ids get a row each. Without any document that passes the base rules
+    are judged one by one: repeated rows and null doc_ids get a row each. A text that names no language is held against the
+    references of all and must be like one of them. One in another script than theirs, and one that names a language
+    without a reference, can't be: it is judged by its characters alone, against the average of all documents. Without any document that passes the base rules
     there are no references, and the base rules alone decide. A text's distance is the least over all languages, so
     a text in another of them than its lang says is not rejected. Extra columns are ignored; without a column lang no
     document says a language.

@@ -31,7 +31,9 @@ def sql(rules: QualityRules = QualityRules()) -> str:
             SELECT tc.lang, term, tc.n / tl.n AS q FROM tc JOIN tl ON tl.lang = tc.lang
             QUALIFY row_number() OVER (PARTITION BY tc.lang ORDER BY tc.n DESC, term) <= {rules.common_words}),
         reft AS (SELECT lang, sum(q) AS total FROM ref GROUP BY lang),
-        own AS (SELECT doc_id, lang IS NOT NULL AND lang IN (SELECT lang FROM tl) AS own FROM f),
+        own AS (
+            SELECT doc_id, CASE WHEN lang IS NULL THEN seen IS NOT NULL AND 2 * length(translate(letters, coalesce(seen, ''), '')) <= length(letters) ELSE lang IN (SELECT lang FROM tl) END AS own
+            FROM (SELECT doc_id, lang, regexp_replace(lower(t), '[^\p{{L}}]+', '', 'g') AS letters FROM f), (SELECT string_agg(term, '') AS seen FROM ref)),
         dc AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(terms) AS term FROM good) GROUP BY ALL),
         met AS (
             SELECT doc_id, lang, sum({term} - q / 2) AS d, sum(p) AS p
