@@ -46,6 +46,8 @@ def test_a_search_is_one_job_and_sends_no_row_to_the_driver(spark, monkeypatch):
         found = knn.topk(asked, rows, 3)
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "FlatMapCoGroupsInArrow" in plan
+        dealt = plan[plan.index("FlatMapCoGroupsInArrow") :]
+        assert dealt.count("Exchange") == 2 == dealt.count("REPARTITION_BY_NUM")  # one for each side
         out = sorted(tuple(r) for r in found.collect())
         n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

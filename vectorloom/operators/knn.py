@@ -22,8 +22,8 @@ from vectorloom.functions.tables import new_path
 
 #: Bytes of the vectors of a tile of queries and of one of the corpus, and scores that are held at once.
 QUERY_BYTES, CORPUS_BYTES, SCORES = 16 << 20, 64 << 20, 1 << 22
-#: Most parts of the shuffle; beyond them a part has several cells, one after the other.
-MOST_PARTS = 20_000
+#: Most parts of the shuffle; beyond them a part has several cells, which are held together.
+MOST_PARTS = 100_000
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -85,15 +85,21 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = Fal
         # by id and vector, so that the place is the same whenever a task runs again
         placed = rows.where(ok).withColumn(mine, F.pmod(F.xxhash64(key, "v"), F.lit(number)).cast("int"))
         cell = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other)).select(key, "v", *own, (F.col("_tile") * parts + F.col("_part")).alias("cell"))
-        return cell.repartitionById(min(cells, MOST_PARTS), (F.col("cell") % MOST_PARTS).cast("int"))
+        # the groups are of the very column that deals the rows, so no second shuffle follows
+        return cell.withColumn("at", (F.col("cell") % MOST_PARTS).cast("int")).repartitionById(min(cells, MOST_PARTS), F.col("at"))
 
     q = dealt(queries, "qid", "_tile", tiles, "_part", parts)
     c = dealt(corpus, "cid", "_part", parts, "_tile", tiles)
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        return nearest(q, c, k, exclude_self, within)
-
-    return _best(q.groupBy("cell").cogroup(c.groupBy("cell")).applyInArrow(run, "qid long, cid long, score double"), k)
+        if cells <= MOST_PARTS:
+            return nearest(q, c, k, exclude_self, within)
+        found = []  # a part of several cells; a query tile meets each of its corpus tiles in one of them
+        for cell in pc.unique(q["cell"]).to_pylist():
+            found.append(nearest(q.filter(pc.equal(q["cell"], cell)), c.filter(pc.equal(c["cell"], cell)), k, exclude_self, within))
+        return pa.concat_tables(found) if found else nearest(q, c, k, exclude_self, within)
+
+    return _best(q.groupBy("at").cogroup(c.groupBy("at")).applyInArrow(run, "qid long, cid long, score double"), k)
 
 
 def nearest(queries: pa.Table, corpus: pa.Table, k: int, exclude_self: bool = False, within: str | None = None) -> pa.Table:
