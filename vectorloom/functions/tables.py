@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import threading
 import uuid
@@ -87,11 +88,13 @@ def ordinals(df: DataFrame, order: list[str | Column], by: str | None = None, na
     numbered = materialise(spread.withColumn("__at", F.monotonically_increasing_id()), "ordinals")
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
     sizes = numbered.groupBy(part.alias("__part")).count().collect()  # one row for each part
+    held = {r["__part"]: r["count"] for r in sizes}
     starts, total = [], 0
-    for r in sorted(sizes, key=lambda r: r["__part"]):
-        starts.append((r["__part"], total))
-        total += r["count"]
-    offset = F.element_at(F.create_map(*[F.lit(x) for pair in starts for x in pair]), part) if starts else F.lit(0)
+    for k in range(max(held, default=-1) + 1):
+        starts.append(total)
+        total += held.get(k, 0)
+    # a constant array, so a row finds its part's start at once however many parts there are
+    offset = F.get(F.from_json(F.lit(json.dumps(starts)), "array<bigint>"), part.cast("int"))
     out = numbered.withColumn(name, (place + offset).cast("long"))
     if by:
         first = out.groupBy(F.col(by).alias("__by")).agg(F.min(name).alias("__first"))

@@ -128,7 +128,7 @@ def distill_kl(rows: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
     return logs.select("batch", each.alias("k")).groupBy("batch").agg(F.avg("k").alias("loss"))
 
 
-def embedding_mse(rows: DataFrame, a: str, b: str) -> DataFrame:
+def vector_mse(rows: DataFrame, a: str, b: str) -> DataFrame:
     """batch, loss: mean squared difference over all components of the batch."""
     squares = F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return rows.groupBy("batch").agg((F.sum(squares) / F.sum(F.size(a))).alias("loss"))
@@ -147,8 +147,8 @@ def over_dims(rows: DataFrame, loss, dims: list[int], vectors: list[str], negati
 def distillation(rows: DataFrame, kl: float = 0.5, mse: float = 0.2, temperature: float = TEMPERATURE) -> DataFrame:
     """batch, loss: kl * KL + mse * (MSE of queries + MSE of documents)."""
     a = distill_kl(rows, temperature).withColumnRenamed("loss", "_kl")
-    b = embedding_mse(rows, "q", "tq").withColumnRenamed("loss", "_mq")
-    c = embedding_mse(rows, "d", "td").withColumnRenamed("loss", "_md")
+    b = vector_mse(rows, "q", "tq").withColumnRenamed("loss", "_mq")
+    c = vector_mse(rows, "d", "td").withColumnRenamed("loss", "_md")
     return a.join(b, "batch").join(c, "batch").select("batch", (kl * F.col("_kl") + mse * (F.col("_mq") + F.col("_md"))).alias("loss"))
 
 

@@ -137,12 +137,12 @@ def distill_kl(spark: SparkSession, d: str) -> DataFrame:
 register("distill_kl", distill_kl, f"WITH {BASE}, tb AS (SELECT * FROM b) SELECT batch, round(loss, 6) AS loss FROM {SQL_KL}")
 
 
-def embedding_mse(spark: SparkSession, d: str) -> DataFrame:
-    return L.embedding_mse(_taught(rows(spark, d)), "q", "tq").select("batch", F.round("loss", 9).alias("loss"))
+def vector_mse(spark: SparkSession, d: str) -> DataFrame:
+    return L.vector_mse(_taught(rows(spark, d)), "q", "tq").select("batch", F.round("loss", 9).alias("loss"))
 
 
 _SQUARES = "list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
-register("embedding_mse", embedding_mse, f"WITH {BASE} SELECT batch, round(sum({_SQUARES.format(a='q', b='list_reverse(q)')}) / (count(*) * 64), 9) AS loss FROM b GROUP BY batch")
+register("vector_mse", vector_mse, f"WITH {BASE} SELECT batch, round(sum({_SQUARES.format(a='q', b='list_reverse(q)')}) / (count(*) * 64), 9) AS loss FROM b GROUP BY batch")
 
 
 def stage3_loss(spark: SparkSession, d: str) -> DataFrame:

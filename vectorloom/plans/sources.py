@@ -200,8 +200,9 @@ register("single_document", single_document, "SELECT label::VARCHAR AS task, cou
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """Dealt to eight files in the order of doc_id."""
-    return docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    """Dealt to files in the order of doc_id, eight at least."""
+    files = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
 
 
 def early_stop_lines(spark: SparkSession, d: str) -> DataFrame:
