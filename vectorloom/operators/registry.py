@@ -60,24 +60,33 @@ QUICK = {
     "document": ("ViDoRe_arxivqa", "VisRAG_ChartQA", "ViDoSeek-page"),
     "text": TEXT_TASKS,
 }
-#: Parts of the action benchmark, by the folder of their videos; the first holds frames.
-ACTION_FOLDERS = {
-    "tvqa/frames_fps3_hq/": ("episodic_reasoning",),
-    "star/Charades_v1_480/": ("action_sequence", "action_prediction", "object_interaction"),
-    "ssv2_video/": ("action_antonym",),
-    "Moments_in_Time_Raw/videos/": ("fine_grained_action",),
-    "FunQA_test/test/": ("unexpected_action",),
-    "clevrer/video_validation/": ("object_existence", "moving_direction", "moving_count", "moving_attribute", "counterfactual_inference"),
-    "perception/videos/": ("object_shuffle", "action_count", "state_change", "character_order"),
-    "sta/sta_video/": ("action_localization",),
-    "scene_qa/video/": ("scene_transition",),
-    "nturgbd/": ("fine_grained_pose",),
-    "vlnqa/": ("egocentric_navigation",),
-}
+#: Parts of the action benchmark: name, folder of their videos, and what that holds.
+ACTION_PARTS = (
+    ("action_sequence", "star/Charades_v1_480/", "video"),
+    ("action_prediction", "star/Charades_v1_480/", "video"),
+    ("action_antonym", "ssv2_video/", "video"),
+    ("fine_grained_action", "Moments_in_Time_Raw/videos/", "video"),
+    ("unexpected_action", "FunQA_test/test/", "video"),
+    ("object_existence", "clevrer/video_validation/", "video"),
+    ("object_interaction", "star/Charades_v1_480/", "video"),
+    ("object_shuffle", "perception/videos/", "video"),
+    ("moving_direction", "clevrer/video_validation/", "video"),
+    ("action_localization", "sta/sta_video/", "video"),
+    ("scene_transition", "scene_qa/video/", "video"),
+    ("action_count", "perception/videos/", "video"),
+    ("moving_count", "clevrer/video_validation/", "video"),
+    ("moving_attribute", "clevrer/video_validation/", "video"),
+    ("state_change", "perception/videos/", "video"),
+    ("fine_grained_pose", "nturgbd/", "video"),
+    ("character_order", "perception/videos/", "video"),
+    ("egocentric_navigation", "vlnqa/", "video"),
+    ("episodic_reasoning", "tvqa/frames_fps3_hq/", "frame"),
+    ("counterfactual_inference", "clevrer/video_validation/", "video"),
+)
 
 
 def tasks(spark: SparkSession) -> DataFrame:
-    """suite, task, category, eval_type, parser, folder, instruction, active, quick of every task.
+    """place, suite, task, category, eval_type, parser, folder, instruction, active, quick of every task; place is its number from 0.
 
     Videos are ranked among all candidates (global) or among those of each query (local): global for retrieval and
     for classification but one task, as its labels are per query.
@@ -90,19 +99,23 @@ def tasks(spark: SparkSession) -> DataFrame:
     ]
     rows += [("document", t, None, "global", "visrag" if t.startswith("VisRAG_") else "vidore", None, None, t not in ENGLISH_ONLY) for t in DOCUMENT_TASKS]
     rows += [("text", t, None, "global", None, None, None, True) for t in TEXT_TASKS]
-    schema = "suite string, task string, category string, eval_type string, parser string, folder string, instruction string, active boolean"
+    schema = "place int, suite string, task string, category string, eval_type string, parser string, folder string, instruction string, active boolean"
     quick = [F.when(F.col("suite") == s, F.col("task").isin(*names)) for s, names in QUICK.items()]
     return (
-        spark.createDataFrame(rows, schema)
+        spark.createDataFrame([(place, *r) for place, r in enumerate(rows)], schema)
         .withColumn("category", F.when(F.col("suite") == "document", document_category(F.col("task"))).otherwise(F.col("category")))
         .withColumn("quick", F.coalesce(*quick, F.lit(False)))
     )
 
 
+def with_tasks(rows: DataFrame, by: str = "task") -> DataFrame:
+    """``rows`` with what the registry says of their task, which they name by ``by`` (task or place); rows of no task go."""
+    return rows.join(F.broadcast(tasks(rows.sparkSession)), by)  # 90 rows
+
+
 def action_parts(spark: SparkSession) -> DataFrame:
     """subset, video_path, data_type of the action benchmark's parts."""
-    rows = [(s, folder, "frame" if "frames" in folder else "video") for folder, subsets in ACTION_FOLDERS.items() for s in subsets]
-    return spark.createDataFrame(rows, "subset string, video_path string, data_type string")
+    return spark.createDataFrame(ACTION_PARTS, "subset string, video_path string, data_type string")
 
 
 def with_action_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

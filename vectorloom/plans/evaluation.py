@@ -24,12 +24,12 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     turns = load(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").cast("long").alias("pos"), "text")
     image = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("i"), (F.col("qid") % 7).cast("string")))
     frames = F.when(F.col("pos") % 5 == 0, F.array(F.lit("f0"), F.concat(F.lit("f"), (F.col("qid") % 3).cast("string")))).otherwise(F.array().cast("array<string>"))
-    return turns.select("qid", "pos", F.when(F.col("pos") % 2 == 0, "").otherwise(F.substring(F.md5("text"), 1, 2)).alias("text"), image.alias("image"), frames.alias("video"))
+    return turns.select("qid", "pos", F.when(F.col("pos") % 2 == 0, "").otherwise(F.md5(F.coalesce("text", F.lit("")))).alias("text"), image.alias("image"), frames.alias("video"))
 
 
 SQL_CANDIDATES = """
     k AS (
-        SELECT conv_id AS qid, turn::BIGINT AS pos, CASE WHEN turn % 2 = 0 THEN '' ELSE substring(md5(text), 1, 2) END AS text,
+        SELECT conv_id AS qid, turn::BIGINT AS pos, CASE WHEN turn % 2 = 0 THEN '' ELSE md5(coalesce(text, '')) END AS text,
                CASE WHEN turn % 3 = 0 THEN 'i' || conv_id % 7 END AS image, CASE WHEN turn % 5 = 0 THEN 'f0,f' || conv_id % 3 END AS video FROM conversations)
 """
 
@@ -204,22 +204,35 @@ register(
 )
 
 
+def _task_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events stand for rows of tasks, which they name by the tasks' place in the registry."""
+    return load(spark, d, "events").select("event_id", (F.col("event_id") % 90).cast("int").alias("place"))
+
+
 def task_registry(spark: SparkSession, d: str) -> DataFrame:
-    return registry.tasks(spark).groupBy("suite", "category", "eval_type").agg(F.count(F.lit(1)).alias("n_tasks"), F.count_if("active").alias("n_active"), F.count_if("quick").alias("n_quick"))
+    """Rows of tasks by suite, category and way of ranking; those of active tasks and of the short lists are counted apart."""
+    joined = registry.with_tasks(_task_events(spark, d), "place")
+    return joined.groupBy("suite", "category", "eval_type").agg(
+        F.count_distinct("task").alias("n_tasks"), F.count(F.lit(1)).alias("n_rows"), F.count_if("active").alias("n_active"), F.count_if("quick").alias("n_quick")
+    )
 
 
 register(
     "task_registry",
     task_registry,
-    """SELECT * FROM (VALUES ('image', 'classification', 'local', 10, 10, 1), ('image', 'vqa', 'local', 10, 10, 1), ('image', 'retrieval', 'local', 12, 12, 1), ('image', 'grounding', 'local', 4, 4, 1),
-        ('video', 'video_cls', 'global', 4, 4, 1), ('video', 'video_cls', 'local', 1, 1, 0), ('video', 'video_ret', 'global', 5, 5, 1), ('video', 'video_qa', 'local', 5, 5, 1), ('video', 'video_mret', 'local', 3, 3, 1),
-        ('document', 'vidore_v1', 'global', 10, 10, 1), ('document', 'vidore_v2', 'global', 7, 4, 0), ('document', 'visrag', 'global', 6, 6, 1), ('document', 'vidoseek', 'global', 4, 4, 1), ('text', NULL, 'global', 9, 9, 9))
-        t(suite, category, eval_type, n_tasks, n_active, n_quick)""",
+    """WITH parts AS (SELECT * FROM (VALUES ('image', 'classification', 'local', 0, 9), ('image', 'vqa', 'local', 10, 19), ('image', 'retrieval', 'local', 20, 31), ('image', 'grounding', 'local', 32, 35),
+            ('video', 'video_cls', 'global', 36, 39), ('video', 'video_cls', 'local', 40, 40), ('video', 'video_ret', 'global', 41, 45), ('video', 'video_qa', 'local', 46, 50), ('video', 'video_mret', 'local', 51, 53),
+            ('document', 'vidore_v1', 'global', 54, 63), ('document', 'vidore_v2', 'global', 64, 70), ('document', 'visrag', 'global', 71, 76), ('document', 'vidoseek', 'global', 77, 80), ('text', NULL, 'global', 81, 89))
+            t(suite, category, eval_type, first, last)),
+        x AS (SELECT event_id % 90 AS place FROM events)
+        SELECT suite, category, eval_type, count(DISTINCT place) AS n_tasks, count(*) AS n_rows, count(*) FILTER (WHERE place NOT IN (65, 67, 69)) AS n_active,
+               count(*) FILTER (WHERE place >= 81 OR place IN (8, 10, 20, 33, 36, 41, 46, 51, 54, 72, 77)) AS n_quick
+        FROM x JOIN parts ON place BETWEEN first AND last GROUP BY ALL""",
 )
 
 
 def task_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Named tasks, the quick list, all active ones, and no word at all."""
+    """Rows of named tasks, of the quick list, of all active ones, and of what is chosen without a word."""
     known = registry.tasks(spark)
     chosen = {
         "named": registry.select(known, "document", names=["VisRAG_PlotQA", "ViDoRe_esg_reports_v2"], quick=True, full=True),
@@ -227,16 +240,19 @@ def task_selection(spark: SparkSession, d: str) -> DataFrame:
         "full": registry.select(known, "document", full=True),
         "default": registry.select(known, "video"),
     }
-    parts = [df.select(F.lit(k).alias("way"), "task") for k, df in chosen.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    parts = [df.select(F.lit(k).alias("way"), "place", "task") for k, df in chosen.items()]
+    wanted = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    rows = _task_events(spark, d).groupBy("place").agg(F.count(F.lit(1)).alias("n_rows"))  # a row for each task
+    return rows.join(F.broadcast(wanted), "place").select("way", "task", "n_rows")
 
 
 register(
     "task_selection",
     task_selection,
-    f"""SELECT 'named' AS way, unnest(['VisRAG_PlotQA', 'ViDoRe_esg_reports_v2']) AS task UNION ALL SELECT 'quick', unnest({list(registry.QUICK["document"])})
-        UNION ALL SELECT 'full', unnest(list_filter({list(registry.DOCUMENT_TASKS)}, lambda x: NOT (contains(x, '_v2') AND NOT contains(x, 'multilingual') AND NOT contains(x, 'human'))))
-        UNION ALL SELECT 'default', unnest({list(registry.QUICK["video"])})""",
+    f"""WITH w AS (SELECT 'named' AS way, unnest(['VisRAG_PlotQA', 'ViDoRe_esg_reports_v2']) AS task, unnest([76, 69]) AS place UNION ALL SELECT 'quick', unnest({list(registry.QUICK["document"])}), unnest([54, 72, 77])
+            UNION ALL SELECT 'full', task, place FROM (SELECT unnest({list(registry.DOCUMENT_TASKS)}) AS task, unnest(range(54, 81)) AS place) WHERE NOT (contains(task, '_v2') AND NOT contains(task, 'multilingual') AND NOT contains(task, 'human'))
+            UNION ALL SELECT 'default', unnest({list(registry.QUICK["video"])}), unnest([36, 41, 46, 51]))
+        SELECT way, task, count(*) AS n_rows FROM events JOIN w ON event_id % 90 = place GROUP BY ALL""",
 )
 
 
@@ -258,10 +274,12 @@ register(
 
 
 def evaluation_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    """Labels stand for tasks that are ranked among all prototypes or among eight candidates; one fails, one has no query."""
+    """Each label stands for a task that is ranked among all prototypes, among those of its parity, or fails; one more has no query."""
     e = vectors(spark, d)
     proto = e.groupBy("label").agg(F.min_by("v", "id").alias("v"))
-    known = spark.createDataFrame([("0", "video_ret", "global"), ("1", "video_qa", "local"), ("2", "video_mret", "odd"), ("99", "video_cls", "global")], "task string, category string, eval_type string")
+    kind = F.element_at(F.array(*[F.struct(F.lit(c).alias("category"), F.lit(t).alias("eval_type")) for c, t in (("video_ret", "global"), ("video_qa", "local"), ("video_mret", "odd"))]), (F.col("label") % 3 + 1).cast("int"))
+    known = proto.select(F.col("label").cast("string").alias("task"), kind.alias("kind")).select("task", "kind.*")
+    known = known.unionByName(spark.createDataFrame([("999", "video_cls", "global")], known.schema))
 
     def overall(task: str) -> DataFrame:
         best = topk(as_queries(e.where(F.col("label") == int(task))), proto.select(F.col("label").cast("long").alias("cid"), "v"), 1)
@@ -269,7 +287,7 @@ def evaluation_dispatch(spark: SparkSession, d: str) -> DataFrame:
 
     def local(task: str) -> DataFrame:
         own = e.where(F.col("label") == int(task))
-        scores = topk(as_queries(own), proto.where("label < 4").select(F.col("label").cast("long").alias("cid"), "v"), 4)
+        scores = topk(as_queries(own), proto.where(F.col("label") % 2 == int(task) % 2).select(F.col("label").cast("long").alias("cid"), "v"), 4)
         return metrics.hit_at_1(scores.select("qid", "cid", "score"), own.select(F.col("id").alias("qid"), F.lit(int(task)).cast("long").alias("gt"))).select("qid", "hit")
 
     return registry.evaluate(known, {"global": overall, "local": local})
@@ -280,11 +298,9 @@ register(
     evaluation_dispatch,
     f"""WITH {SQL_VECTORS}, proto AS (SELECT label AS cid, arg_min(v, id) AS v FROM e GROUP BY label),
         s AS (SELECT e.id, e.label, cid, list_inner_product(e.v, proto.v) AS score FROM e, proto),
-        g AS (SELECT (cid = 0)::INT AS hit FROM s WHERE label = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, cid) = 1),
-        l AS (SELECT (cid = 1)::INT AS hit FROM s WHERE label = 1 AND cid < 4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, cid) = 1)
-        SELECT '0' AS task, 'video_ret' AS category, round(100 * avg(hit), 2) AS hit_at_1, count(*) AS n, NULL AS error FROM g
-        UNION ALL SELECT '1', 'video_qa', round(100 * avg(hit), 2), count(*), NULL FROM l
-        UNION ALL SELECT '2', 'video_mret', NULL, 0, 'Unknown category: video_mret' UNION ALL SELECT '99', 'video_cls', NULL, 0, 'No valid examples'""",
+        h AS (SELECT label, (cid = label)::INT AS hit FROM s WHERE label % 3 = 0 OR label % 3 = 1 AND cid % 2 = label % 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, cid) = 1)
+        SELECT label::VARCHAR AS task, CASE label % 3 WHEN 0 THEN 'video_ret' ELSE 'video_qa' END AS category, round(100 * avg(hit), 2) AS hit_at_1, count(*) AS n, NULL AS error FROM h GROUP BY label
+        UNION ALL SELECT DISTINCT label::VARCHAR, 'video_mret', NULL::DOUBLE, 0, 'Unknown category: video_mret' FROM e WHERE label % 3 = 2 UNION ALL SELECT '999', 'video_cls', NULL, 0, 'No valid examples'""",
 )
 
 
@@ -429,43 +445,40 @@ def _label_source(spark: SparkSession, d: str, label: int):
     def make() -> tuple[DataFrame, DataFrame]:
         e = vectors(spark, d)
         own = e.where(F.col("label") == label)
-        return pairs(own) if label < 90 else pairs(e).limit(0), as_corpus(own)
+        return pairs(own), as_corpus(own)
 
     return make
 
 
 def mining_driver(spark: SparkSession, d: str) -> DataFrame:
-    """Three labels as sources, one without rows, one that can't be read, one that isn't known and one that is there already."""
+    """Every label as a source, one of which is there already; one source has no rows, one can't be read, one isn't known."""
 
     def broken() -> tuple[DataFrame, DataFrame]:
         raise OSError("can't be read")
 
-    sources = {f"label_{k}": _label_source(spark, d, k) for k in (0, 1, 2, 90)} | {"broken": broken}
+    labels = sorted(r["label"] for r in vectors(spark, d).select("label").distinct().collect())  # a row for each source
+    sources = {f"label_{k}": _label_source(spark, d, k) for k in labels} | {"broken": broken, "none": _label_source(spark, d, -1)}
     folder = new_path(spark, "mined")
-    wanted = ["label_0", "broken", "label_1", "label_90", "unknown", "label_2", "label_0"]
+    wanted = ["label_0", "broken", "none", "unknown", "label_0", *(f"label_{k}" for k in labels)]
     done = lambda path: writers.exists(spark, path)
     write = lambda df, path: df.write.parquet(path)
     mining.mine_sources(spark, sources, ["label_2"], folder, done, write)
     return mining.mine_sources(spark, sources, wanted, folder, done, write)
 
 
-def _sql_label(k: int) -> str:
-    return f"""e{k} AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label = {k}),
-        s{k} AS (SELECT a.id AS qid, b.id AS cid, list_inner_product(a.v, b.v) AS score FROM e{k} a JOIN e{k} b ON a.id <> b.id),
-        t{k} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rk FROM s{k}),
-        p{k} AS (SELECT id AS qid, CASE WHEN id % 2 = 0 THEN near ELSE coalesce(lead(id) OVER (ORDER BY id), min(id) OVER ()) END AS pid FROM e{k} LEFT JOIN (SELECT qid, cid AS near FROM t{k} WHERE rk = 1) ON qid = id),
-        c{k} AS (SELECT t.qid, t.rk FROM t{k} t JOIN p{k} p ON p.qid = t.qid JOIN e{k} q ON q.id = t.qid JOIN e{k} x ON x.id = pid WHERE t.rk <= 50 AND t.cid <> pid AND t.score <= list_inner_product(q.v, x.v) + 0.1),
-        n{k} AS (SELECT qid, least(15, count(*)) AS n FROM c{k} GROUP BY qid)"""
-
-
 register(
     "mining_driver",
     mining_driver,
-    f"""WITH {_sql_label(0)}, {_sql_label(1)}
-        SELECT 'label_0' AS source, 'mined' AS status, (SELECT count(*) FROM e0) AS n_rows, (SELECT round(sum(n) / (SELECT count(*) FROM e0), 6) FROM n0) AS avg_negatives, NULL AS error
-        UNION ALL SELECT 'label_1', 'mined', (SELECT count(*) FROM e1), (SELECT round(sum(n) / (SELECT count(*) FROM e1), 6) FROM n1), NULL
-        UNION ALL SELECT 'label_2', 'exists', NULL, NULL, NULL UNION ALL SELECT 'label_90', 'empty', 0, NULL, NULL
-        UNION ALL SELECT 'broken', 'failed', NULL, NULL, 'can''t be read' UNION ALL SELECT 'unknown', 'unknown', NULL, NULL, NULL""",
+    f"""WITH {SQL_VECTORS},
+        s AS (SELECT a.id AS qid, b.id AS cid, a.label, list_inner_product(a.v, b.v) AS score FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id),
+        t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rk FROM s),
+        f AS (SELECT *, coalesce(lead(id) OVER (PARTITION BY label ORDER BY id), min(id) OVER (PARTITION BY label)) AS following FROM e),
+        p AS (SELECT id AS qid, CASE WHEN id % 2 = 0 THEN cid ELSE following END AS pid FROM f LEFT JOIN t ON qid = id AND rk = 1),
+        c AS (SELECT t.qid, t.label FROM t JOIN p ON p.qid = t.qid JOIN s x ON x.qid = t.qid AND x.cid = pid WHERE t.rk <= 50 AND t.cid <> pid AND t.score <= x.score + 0.1),
+        n AS (SELECT label, qid, least(15, count(*)) AS n FROM c GROUP BY ALL)
+        SELECT 'label_' || label AS source, CASE WHEN label = 2 THEN 'exists' ELSE 'mined' END AS status, CASE WHEN label <> 2 THEN count(*) END AS n_rows,
+               CASE WHEN label <> 2 THEN round((SELECT sum(n) FROM n WHERE n.label = e.label) / count(*), 6) END AS avg_negatives, NULL AS error FROM e GROUP BY label
+        UNION ALL SELECT 'none', 'empty', 0, NULL, NULL UNION ALL SELECT 'broken', 'failed', NULL, NULL, 'can''t be read' UNION ALL SELECT 'unknown', 'unknown', NULL, NULL, NULL""",
 )
 
 
@@ -518,7 +531,7 @@ register(
 
 def video_triplets(spark: SparkSession, d: str) -> DataFrame:
     """Rows with a path, which is a folder of listed frames, a file, or nothing."""
-    rows = load(spark, d, "conversations").where("turn = 0").select("conv_id", F.col("role").alias("query_text"), _none().alias("positive_text"), F.when(F.col("conv_id") % 3 < 2, F.concat(F.lit("v/"), (F.col("conv_id") % 5).cast("string"))).otherwise("").alias("video_path"))
+    rows = load(spark, d, "conversations").select("conv_id", F.col("role").alias("query_text"), _none().alias("positive_text"), F.when(F.col("conv_id") % 3 < 2, F.concat(F.lit("v/"), (F.col("conv_id") % 5).cast("string"))).otherwise("").alias("video_path"))
     files = spark.createDataFrame([("file:/root/v/0/f10.jpg",), ("file:/root/v/0/f2.JPG",), ("file:/root/v/0/notes.txt",), ("file:/root/v/3/a.png",)], "path string")
     found = readers.video_triplets(rows, files, "/root", "clips")
     return found.select(F.col("query.text").alias("query"), F.array_join("frames", ",").alias("frames"), "file", "task_type").groupBy("query", "frames", "file", "task_type").agg(F.count(F.lit(1)).alias("n"))
@@ -527,17 +540,26 @@ def video_triplets(spark: SparkSession, d: str) -> DataFrame:
 register(
     "video_triplets",
     video_triplets,
-    """WITH x AS (SELECT role AS query, CASE WHEN conv_id % 3 < 2 THEN conv_id % 5 END AS k FROM conversations WHERE turn = 0)
+    """WITH x AS (SELECT role AS query, CASE WHEN conv_id % 3 < 2 THEN conv_id % 5 END AS k FROM conversations)
         SELECT query, CASE k WHEN 0 THEN '/root/v/0/f10.jpg,/root/v/0/f2.JPG' WHEN 3 THEN '/root/v/3/a.png' END AS frames, CASE WHEN k IN (1, 2, 4) THEN '/root/v/' || k END AS file, 'retrieval' AS task_type, count(*) AS n FROM x GROUP BY ALL""",
 )
 
 
 def mined_file_names(spark: SparkSession, d: str) -> DataFrame:
-    files = spark.createDataFrame([("/m/mmeb_CIRR.jsonl", 10), ("/m/quora.jsonl", 0), ("/m/gooaq.jsonl", 5), ("/m/classification_hn.jsonl", 7), ("/m/readme.md", 9)], "path string, length long")
-    return readers.mined_files(files)
+    """Documents stand for files by their source and length: some have the prefix, some are empty, no lines of JSON, or class labels."""
+    kind = F.col("doc_id") % 5
+    stem = F.when(kind == 0, F.concat(F.lit("mmeb_"), "source", F.lit("_"), "doc_id")).when(kind == 1, "classification_hn").otherwise(F.concat("source", F.lit("_"), "doc_id"))
+    path = F.concat(F.lit("/m/"), F.col("doc_id").cast("string"), F.lit("/"), stem, F.when(kind == 2, ".md").otherwise(".jsonl"))
+    return readers.mined_files(load(spark, d, "documents").select(path.alias("path"), F.when(kind == 3, 0).otherwise(F.col("n_chars")).cast("long").alias("length")))
 
 
-register("mined_file_names", mined_file_names, "SELECT * FROM (VALUES ('CIRR', '/m/mmeb_CIRR.jsonl', false), ('gooaq', '/m/gooaq.jsonl', false), ('classification_hn', '/m/classification_hn.jsonl', true)) t(name, path, is_classes)")
+register(
+    "mined_file_names",
+    mined_file_names,
+    """SELECT CASE WHEN doc_id % 5 = 1 THEN 'classification_hn' ELSE source || '_' || doc_id END AS name,
+               '/m/' || doc_id || '/' || CASE doc_id % 5 WHEN 0 THEN 'mmeb_' || source || '_' || doc_id WHEN 1 THEN 'classification_hn' ELSE source || '_' || doc_id END || '.jsonl' AS path, doc_id % 5 = 1 AS is_classes
+        FROM documents WHERE doc_id % 5 IN (0, 1, 4) AND n_chars > 0 AND (doc_id % 5 = 1 OR source IS NOT NULL)""",
+)
 
 
 def subset_concat(spark: SparkSession, d: str) -> DataFrame:

@@ -111,7 +111,7 @@ def teacher_vectors(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents")
 
     def texts() -> tuple[DataFrame, str]:
-        rows = docs.select("doc_id", F.col("lang").alias("query"), F.col("source").alias("positive"), F.lit("x").alias("negative"))
+        rows = docs.select("doc_id", F.col("text").alias("query"), F.col("source").alias("positive"), F.lit("x").alias("negative"))
         return readers.text_triplets(rows, "texts").withColumn("at", F.monotonically_increasing_id()), "at"
 
     def pages() -> tuple[DataFrame, str]:
@@ -126,7 +126,7 @@ def teacher_vectors(spark: SparkSession, d: str) -> DataFrame:
         raise OSError("gone")
 
     folder = new_path(spark, "teacher")
-    report = teacher.store_vectors(spark, {"texts": texts, "pages": pages, "scored": scored, "gone": gone}, folder, _length_model, cap=200)
+    report = teacher.store_vectors(spark, {"texts": texts, "pages": pages, "scored": scored, "gone": gone}, folder, _length_model)
     found = teacher.stored_vectors(spark, folder, ["texts", "pages", "scored"])
     checked = found.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.abs(norm(F.col("q")) - 1) < 1e-6) & (F.abs(norm(F.col("p")) - 1) < 1e-6)).alias("n_unit"))
     return report.join(checked, "subset", "left").select("subset", "status", "n_rows", "n", "n_unit", "error")
@@ -135,7 +135,7 @@ def teacher_vectors(spark: SparkSession, d: str) -> DataFrame:
 register(
     "teacher_vectors",
     teacher_vectors,
-    """WITH n AS (SELECT least(200, count(*) FILTER (WHERE lang <> '' AND source <> '')) AS texts, least(200, count(*) FILTER (WHERE source <> '')) AS pages, least(200, count(*)) AS scored FROM documents),
+    """WITH n AS (SELECT count(*) FILTER (WHERE text <> '' AND source <> '') AS texts, count(*) FILTER (WHERE source <> '') AS pages, count(*) AS scored FROM documents),
         s AS (SELECT 'texts' AS subset, texts AS k FROM n UNION ALL SELECT 'pages', pages FROM n UNION ALL SELECT 'scored', scored FROM n)
         SELECT subset, 'stored' AS status, k AS n_rows, k AS n, k AS n_unit, NULL AS error FROM s UNION ALL SELECT 'gone', 'failed', NULL, NULL, NULL, 'gone'""",
 )
