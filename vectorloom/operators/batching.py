@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vectorloom.functions.tables import ordinals
 
@@ -82,7 +83,7 @@ def gather(rows: DataFrame, batch: str = "batch", rank: str = "rank", slot: str
 
     A loss over global batches joins within ``batch`` alone, which is what an exchange of vectors between workers gives.
     """
+    before = Window.partitionBy(batch).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)  # a row for each rank
     sizes = rows.groupBy(batch, rank).agg(F.count(F.lit(1)).alias("_n"))
-    later = sizes.select(batch, F.col(rank).alias("_other"), F.col("_n").alias("_before"))
-    first = sizes.join(later, batch).groupBy(batch, rank).agg(F.coalesce(F.sum(F.when(F.col("_other") < F.col(rank), F.col("_before"))), F.lit(0)).alias("_first"))
+    first = sizes.select(batch, rank, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     return rows.join(first, [batch, rank]).withColumn("global_slot", (F.col("_first") + F.col(slot)).cast("long")).drop("_first")

@@ -133,3 +133,17 @@ def running_mean(steps: DataFrame, epoch: str = "epoch", step: str = "step", val
 
     upto = Window.partitionBy(epoch).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return steps.withColumn("mean", F.avg(value).over(upto))
+
+
+def link_questions(questions: DataFrame, contexts: DataFrame, question: str, link: str, order: str) -> DataFrame:
+    """question_id, ``question``, ``link``, first, context_id: different questions, numbered as first seen, each with the first context of its link.
+
+    ``questions``: ``question``, ``link``, ``order``; ``contexts``: ``link``, ``order``. A question that comes with several links
+    is one for each; one whose link is null or has no context keeps its number and has none. A link's contexts are cut to one
+    row before the join, so a common link copies nothing; equal questions are found by 128-bit hashes.
+    """
+    first_context = contexts.where(F.col(link).isNotNull()).groupBy(link).agg(F.min(order).alias("context_id"))
+    hashed = questions.select(link, order, F.struct(F.xxhash64(question).alias("a"), F.xxhash64(F.lit(1), question).alias("b")).alias("_h"), question)
+    # the row that is first seen carries its text; the others go in the partial aggregates
+    different = hashed.groupBy("_h", link).agg(F.min(order).alias("first"), F.first(question).alias(question))
+    return ordinals(different, ["first"], name="question_id").join(first_context, link, "left").select("question_id", question, link, "first", "context_id")

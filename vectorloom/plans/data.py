@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions import media, text
 from vectorloom.functions.tables import ordinals, prefix
-from vectorloom.operators import batching, instructions, mining, mixing, reports
+from vectorloom.operators import batching, epochs, evaluation, instructions, mining, mixing, reports
 from vectorloom.plans.catalogue import register
 from vectorloom.plans.fixtures import load
 from vectorloom.sources import readers
@@ -325,6 +325,72 @@ register(
 )
 
 
+#: SQL of the permutation of ``epochs.place``, by rounds: w(g, i, n, x, k, e) until x is one of the n rows after whole turns of eight.
+SQL_EPOCHS = """
+    keys AS (SELECT e, k, ('0x' || substr(md5('42_' || e || '_' || k), 1, 7))::BIGINT | 1 AS m, ('0x' || substr(md5('42_' || e || '_' || k), 8, 7))::BIGINT AS c FROM range(3) a(e), range(8) b(k)),
+    grid AS (SELECT *, greatest(ceil(sqrt(n))::BIGINT, 1) AS a FROM numbered),
+    w(g, i, n, a, b, e, x, k) AS (
+        SELECT g, i, n, a, (n + a - 1) // a, e, i, 0 FROM grid, range(3) t(e)
+        UNION ALL
+        SELECT g, i, n, a, b, w.e, CASE WHEN w.k % 2 = 0
+                   THEN (x // b + xor(hc, hc >> 23) % a) % a * b + x % b ELSE x // b * b + (x % b + xor(hr, hr >> 23) % b) % b END, w.k + 1
+        FROM (SELECT w.*, xor((x % b) * m + c, ((x % b) * m + c) >> 17) % 2147483647 * m + c AS hc, xor((x // b) * m + c, ((x // b) * m + c) >> 17) % 2147483647 * m + c AS hr
+              FROM w JOIN keys ON keys.e = w.e AND keys.k = w.k % 8) w
+        WHERE NOT (w.k > 0 AND w.k % 8 = 0 AND x < n)),
+    placed AS (SELECT g, i, n, e, x AS place FROM w WHERE k > 0 AND k % 8 = 0 AND x < n)
+"""
+
+
+def epoch_order(spark: SparkSession, d: str) -> DataFrame:
+    """Three epochs of all events without a sort but the one that numbers them; the last one is resumed at its fifth batch."""
+    numbered = ordinals(load(spark, d, "events").select("event_id"), ["event_id"])
+    n = numbered.count()
+    parts = [epochs.epoch_batches(numbered, n, 32, ranks=2, epoch=e, first=4 if e == 2 else 0).withColumn("epoch", F.lit(e)) for e in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("epoch", "event_id", "rank", "batch", "slot")
+
+
+register(
+    "epoch_order",
+    epoch_order,
+    f"""WITH RECURSIVE numbered AS (SELECT 0 AS g, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n, event_id FROM events), {SQL_EPOCHS}
+        SELECT e::INT AS epoch, event_id, (place % 2)::INT AS rank, (place // 2 // 32)::INT AS batch, (place // 2 % 32)::INT AS slot
+        FROM placed JOIN numbered USING (i) WHERE place < placed.n // 64 * 64 AND (e < 2 OR place // 2 // 32 >= 4)""",
+)
+
+
+def epoch_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Two epochs of batches of one type of event each, over one numbering of the events of each type."""
+    numbered = ordinals(load(spark, d, "events").select("event_id", "event_type"), ["event_id"], by="event_type")
+    sizes = numbered.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    parts = [epochs.group_epoch(numbered, sizes, "event_type", 32, ranks=2, epoch=e).withColumn("epoch", F.lit(e)) for e in range(2)]
+    return parts[0].unionByName(parts[1]).select("epoch", "event_id", "event_type", "rank", "batch", "slot", "batch_order")
+
+
+register(
+    "epoch_groups",
+    epoch_groups,
+    f"""WITH RECURSIVE numbered AS (SELECT event_type AS g, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, event_id FROM events), {SQL_EPOCHS},
+        r AS (SELECT g, i, e, place // (n // 2) AS rank, place % (n // 2) AS inside, n // 2 AS each FROM placed WHERE place < n // 2 * 2)
+        SELECT e::INT AS epoch, event_id, g AS event_type, rank::INT AS rank, (inside // 32)::INT AS batch, (inside % 32)::INT AS slot, md5(g || '_' || rank || '_' || inside // 32 || '_' || (42 + e)) AS batch_order
+        FROM r JOIN numbered USING (g, i) WHERE e < 2 AND inside < each // 32 * 32""",
+)
+
+
+def epoch_batch_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of all documents in an epoch, found from the places of the batches by the inverse of the order."""
+    numbered = ordinals(load(spark, d, "documents").select("doc_id", F.md5("text").alias("text_md5")), ["doc_id"])
+    n = numbered.count()
+    return epochs.batch_rows(numbered, n, 16, range(0, n // 16), epoch=1).select("batch", "slot", "doc_id", "text_md5")
+
+
+register(
+    "epoch_batch_rows",
+    epoch_batch_rows,
+    f"""WITH RECURSIVE numbered AS (SELECT 0 AS g, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n, doc_id, text FROM documents), {SQL_EPOCHS}
+        SELECT (place // 16)::INT AS batch, (place % 16)::INT AS slot, doc_id, md5(text) AS text_md5 FROM placed JOIN numbered USING (i) WHERE e = 1 AND place < placed.n // 16 * 16""",
+)
+
+
 def pad_negatives(spark: SparkSession, d: str) -> DataFrame:
     listed = F.when(F.col("vec_id") % 5 > 0, F.transform(F.sequence(F.lit(1), (F.col("vec_id") % 5).cast("int")), lambda k: (F.col("vec_id") + k).cast("string"))).otherwise(F.array().cast("array<string>"))
     rows = load(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 3).alias("batch"), listed.alias("negatives"))
@@ -342,10 +408,8 @@ register(
 def belebele_link(spark: SparkSession, d: str) -> DataFrame:
     """Questions (labels) linked to the first context (document) of their link; different questions are numbered as first seen."""
     docs = load(spark, d, "documents").select("doc_id", F.concat_ws("_", "lang", "source").alias("link"))
-    contexts = docs.groupBy("link").agg(F.min("doc_id").alias("context_id"))
     asked = load(spark, d, "labels").join(docs, "doc_id").select("doc_id", "link", F.concat_ws("_", "link", "quality", "toxic").alias("question"))
-    first = asked.groupBy("question", "link").agg(F.min("doc_id").alias("first"))
-    return ordinals(first, ["first"], name="question_id").join(contexts, "link").select("question_id", "question", "context_id")
+    return evaluation.link_questions(asked, docs, "question", "link", "doc_id").select("question_id", "question", "context_id")
 
 
 register(
