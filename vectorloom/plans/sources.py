@@ -14,7 +14,7 @@ from vectorloom.operators import batching, mining
 from vectorloom.plans.catalogue import register
 from vectorloom.plans.fixtures import as_corpus, load, pairs, vectors
 from vectorloom.plans.retrieval import SQL_MINED
-from vectorloom.sources import halves, hub, readers, teacher, writers
+from vectorloom.sources import arrows, halves, hub, readers, teacher, writers
 
 
 def _none() -> Column:
@@ -264,6 +264,27 @@ def half_vector_files(spark: SparkSession, d: str) -> DataFrame:
 register("half_vector_files", half_vector_files, "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_idx, len(embedding)::INT AS dims, true AS close FROM embeddings")
 
 
+def arrow_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All pages with their bytes in a folder of Arrow streams, in batches of seven rows, read by batches; every third has a name of its own, every tenth no query."""
+    pages = load(spark, d, "pages").select(
+        "page_id", F.when(F.col("page_id") % 10 != 9, F.col("url")).alias("query"),
+        F.struct(F.encode("html", "UTF-8").alias("bytes"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("p"), "page_id")).alias("path")).alias("image"),
+    )
+    path = new_path(spark, "arrows")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    arrows.write(pages.repartitionByRange(parts, "page_id").sortWithinPartitions("page_id").select("query", "image"), path, size=7)
+    found = readers.page_images(arrows.read(spark, path, ["query", "image"]), "colpali")
+    return found.select("place", F.col("query.text").alias("query"), F.col("positive.name").alias("name"), F.md5("positive.image").alias("image_md5"), "subset_name")
+
+
+register(
+    "arrow_pages",
+    arrow_pages,
+    """SELECT place, url AS query, CASE WHEN page_id % 3 = 0 THEN 'p' || page_id ELSE 'colpali_' || place END AS name, CASE WHEN html <> '' THEN md5(html) END AS image_md5, 'colpali' AS subset_name
+        FROM (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS place FROM pages) WHERE page_id % 10 <> 9 AND url <> ''""",
+)
+
+
 def registry_scan(spark: SparkSession, d: str) -> DataFrame:
     """Four sources of three formats by repository, configuration and split; the test split's branch isn't in the plan."""
     root, docs = new_path(spark, "hub"), load(spark, d, "documents")

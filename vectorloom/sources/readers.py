@@ -108,6 +108,19 @@ def document_pages(rows: DataFrame, subset: str, ordinal: str) -> DataFrame:
     )
 
 
+def page_images(rows: DataFrame, subset: str) -> DataFrame:
+    """query, image (struct of bytes and path), place, as ``sources.arrows`` reads them: rows with a query, with the bytes of their page.
+
+    A page is called by its path, and by its place if it has none. Empty bytes are none.
+    """
+    held = F.when(F.length("image.bytes") > 0, F.col("image.bytes"))
+    name = F.coalesce(filled(F.col("image.path")), F.concat(F.lit(f"{subset}_"), F.col("place").cast("string")))
+    return rows.where(F.coalesce(F.col("query"), F.lit("")) != "").select(
+        item(F.col("query"), F.lit(None).cast("string")).alias("query"), F.struct(name.alias("name"), held.alias("image")).alias("positive"),
+        F.lit("retrieval").alias("task_type"), F.lit(subset).alias("subset_name"), "place",
+    )
+
+
 def mined_rows(spark: SparkSession, path: str, file_stem: str, most: int = 15) -> DataFrame:
     """Rows as ``writers.jsonl`` leaves mined negatives; a row's own task and subset go before the file's."""
     rows = spark.read.schema(MINED).json(path)
