@@ -138,3 +138,16 @@ def test_components_of_a_long_chain(spark):
     for rows in (200_000, 0):
         found = {r.node: r.component for r in minhash.components(edges, rows).collect()}
         assert found == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_mixed_buckets_are_looked_up_again_only_after_links(spark, monkeypatch):
+    nodes = 12
+    sets = spark.createDataFrame([(i, [100 * i + k for k in range(50)] + list(range(-50, 0))) for i in range(nodes)], "node long, shingles array<long>")
+    active = spark.createDataFrame([(7, nodes, i, 100, 100, nodes) for i in range(nodes)], "key long, size long, node long, n long, m long, w long")
+    linker, calls, mixed = minhash.Linker(sets, minhash.Rules()), [], minhash.Linker.mixed
+    monkeypatch.setattr(minhash.Linker, "mixed", lambda self, *a: calls.append(1) or mixed(self, *a))
+    assert sorted(r.node for r in linker.resolve(active).collect()) == list(range(nodes))
+    assert len(calls) == 2  # at first, and when there are components; no link is found
+    near = active.withColumn("far", active["node"] != 3)
+    assert mixed(linker, near, ~near["far"]).count() == nodes
+    assert mixed(linker, near.where("far"), ~near["far"]).isEmpty()

@@ -280,14 +280,22 @@ class Linker:
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.hubs_of: DataFrame | None = None
+        #: How often links were found; as long as it stays, components do too.
+        self.finds = 0
 
-    def mixed(self, active: DataFrame) -> DataFrame:
-        """The rows of ``active`` (key, node, ...) in buckets of more than one component, with component and what the hubs told of each class."""
+    def mixed(self, active: DataFrame, wanted: Column | None = None) -> DataFrame:
+        """The rows of ``active`` (key, node, ...) in buckets of more than one component, with component and what the hubs told of each class.
+
+        With ``wanted``, a condition on rows, buckets in which none meets it are left out too.
+        """
         if self.labels is None:
             return active.select("*", F.col("node").alias("component"), *[F.lit(None).cast(t).alias(c) for c, t in HUB_COLUMNS])
         named = active.join(small(self.labels, self.rules.broadcast_rows), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        keys = named.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
-        return materialise(named.join(keys, "key", "left_semi").join(small(self.hubs_of, self.rules.broadcast_rows), "node", "left"), "mixed")
+        open_ = (F.min("component") != F.max("component")) & F.bool_or(F.lit(True) if wanted is None else wanted)
+        keys = materialise(named.groupBy("key").agg(open_.alias("open")), "keys")
+        if not keys.where("NOT open").isEmpty():  # else the join would keep all rows
+            named = named.join(keys.where("open"), "key", "left_semi")
+        return materialise(named.join(small(self.hubs_of, self.rules.broadcast_rows), "node", "left"), "mixed")
 
     def heads(self, named: DataFrame, most: int, before: int = 0) -> DataFrame:
         """The hubs of each bucket from number ``before`` + 1 to ``most``: the members that share most bands with most classes."""
@@ -326,18 +334,29 @@ class Linker:
         if self.hubs_of is None:
             self.hubs_of = materialise(_nearest_hubs(pairs, compared), "hubs")
         found = compared.where(linked(F.col("shared"), F.col("n"), F.col("h_n"), self.rules.percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if self.labels is not None and found.isEmpty():
+            return
+        self.finds += 1
         self.links = found if self.links is None else self.links.unionByName(found)
         self.labels = materialise(components(self.links), "labels")
 
     def resolve(self, active: DataFrame) -> DataFrame:
-        """Compares hubs round by round; gives the rows of the large buckets that are still mixed."""
-        before = 0
-        for most in self.rules.hubs:
-            named = self.mixed(active.where(F.col("size") > before))
-            if not named.isEmpty():
-                self.compare(named, self.heads(named, most, before))
-            before = most
-        return self.mixed(active.where(F.col("size") > before))
+        """Compares hubs round by round; gives the rows of the large buckets that are still mixed.
+
+        Components only grow together, so a round starts from the buckets that were mixed in the last one, and these are
+        looked up again only if links have been found since.
+        """
+        bare, named, before, seen = active.columns, None, 0, -1
+        for most in (*self.rules.hubs, None):
+            large = (active if named is None else named).where(F.col("size") > before)
+            if named is None or seen != self.finds:
+                large = self.mixed(large.select(*bare))
+            named, seen = large, self.finds
+            if most is not None:
+                if not named.isEmpty():
+                    self.compare(named, self.heads(named, most, before))
+                before = most
+        return named
 
     def separate(self, rest: DataFrame) -> None:
         """Links of the members of large mixed buckets: by their rests, or directly where these are small."""
@@ -355,7 +374,7 @@ class Linker:
         # members of buckets of rests that are still mixed, and members that are near the hub: pair by pair, each pair once
         self.directly(left, F.col("node") < F.col("h_node"))
         near = held.join(rests.select("node", "top", "far"), ["node", "top"]).select(*[c for c in rest.columns if c not in ("component", *[c for c, _ in HUB_COLUMNS])], "far")
-        near = self.mixed(near)
+        near = self.mixed(near, ~F.col("far"))
         self.directly(near, F.col("far") | (F.col("node") < F.col("h_node")), ~F.col("far"))
 
     def directly(self, named: DataFrame, once: Column, heads: Column | None = None) -> None:
