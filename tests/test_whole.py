@@ -1,14 +1,16 @@
 """Queries against brute force over whole tables, where their SQL sees less."""
 
 import hashlib
+import re
 
 import duckdb
 import numpy as np
 import pytest
 
 from tests.conftest import DATA
-from vectorloom.operators import mining
-from vectorloom.plans import catalogue
+from vectorloom.operators import metrics, mining
+from vectorloom.plans import catalogue, retrieval
+from vectorloom.plans.fixtures import relevance, vectors
 
 catalogue.load_all()
 
@@ -147,3 +149,23 @@ def test_long_conversations_are_kept(spark, tmp_path):
         options = [f"({chr(65 + i)}) {x}" for i, x in enumerate([*(f"turn {i}" for i in range(n)), "turn 0"])]
         expected[c] = (hashlib.md5("\n".join(["Which?", *options]).encode()).hexdigest(), n, options[n])
     assert found == expected
+
+
+def test_relevance_is_made_and_grouped_in_one_place(spark):
+    e = vectors(spark, DATA)
+    plan = metrics.max_relevance(relevance(e))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(qid#\d+L?, \d+\)", plan)
+    assert not re.search(r"hashpartitioning\(qid#\d+L?, cid#", plan)  # no shuffle of pairs
+
+
+def odd_ids(spark, folder):
+    rows = [(i, [float(i % 3), 1.0], i % 2 if i % 5 else 3) for i in range(-7, 9)] + [(20, [1.0, 1.0], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+
+
+def test_relevance_of_negative_ids(spark, tmp_path):
+    odd_ids(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for name in ("qrels_max", "mrr_at_10"):
+        assert sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(catalogue.ORACLES[name]).fetchall()), name
