@@ -169,3 +169,23 @@ def test_relevance_of_negative_ids(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     for name in ("qrels_max", "mrr_at_10"):
         assert sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(catalogue.ORACLES[name]).fetchall()), name
+
+
+def test_metrics_take_no_row_for_each_relevant_pair(spark, monkeypatch):
+    def pairwise(*_):
+        raise AssertionError("relevance was made pair by pair")
+
+    monkeypatch.setattr(retrieval, "relevance", pairwise)
+    for name in ("beir_eval", "recall_at_k", "mrr_at_10"):
+        assert rows_of(spark, name)
+
+
+def test_ideal_of_grades(spark):
+    qrels = spark.createDataFrame([(1, c, r) for c, r in enumerate([3, 3, 1, 2, 1, 1])] + [(2, 0, 1)], "qid long, cid long, rel long")
+    ranked = spark.createDataFrame([(1, 1, 2), (1, 2, 9), (1, 3, 0), (2, 1, 5)], "qid long, rank int, cid long")
+    degrees = qrels.groupBy("qid", "rel").count().withColumnRenamed("count", "n")
+    own = ranked.join(qrels, ["qid", "cid"]).select("qid", "rank", "rel")
+    one, two = (sorted(map(tuple, x.collect())) for x in (metrics.at_k(ranked, qrels, (1, 4, 9)), metrics.at_k_of_grades(own, degrees, (1, 4, 9))))
+    assert len(one) == len(two) == 2
+    for a, b in zip(one, two, strict=True):
+        assert a == pytest.approx(b)
