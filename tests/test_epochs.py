@@ -87,3 +87,15 @@ def test_questions_of_links(spark):
     asked = spark.createDataFrame([("q1", "a", 4), ("q1", "a", 3), ("q2", "c", 1), ("q1", "b", 7), ("q3", None, 8), (None, "b", 9)], "q string, link string, at long")
     found = {(r["question_id"], r["q"], r["link"], r["context_id"]) for r in evaluation.link_questions(asked, contexts, "q", "link", "at").collect()}
     assert found == {(0, "q2", "c", None), (1, "q1", "a", 2), (2, "q1", "b", 9), (3, "q3", None, None), (4, None, "b", 9)}
+
+
+def test_places_of_groups_are_computed_in_many_tasks(spark):
+    rows = spark.range(4000).select("id", F.lit("one").alias("kind"))
+    numbered = ordinals(rows, ["id"], by="kind")
+    sizes = numbered.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    found = epochs.group_epoch(numbered, sizes, "kind", 32)
+    held = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in held) == 4000 // 32 * 32
+    assert len(held) == 4 and max(r["count"] for r in held) < 2000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 3  # the walk, its first step and the next ones: the place is computed once a row
