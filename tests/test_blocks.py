@@ -1,6 +1,7 @@
 """Blocks of queries, scratch tables, faults of a model, and sources by registry."""
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -135,3 +136,19 @@ def test_a_report_as_text(spark):
 def test_first_row_of_a_video(spark):
     rows = spark.createDataFrame([("v", 2, ["x"]), ("v", 1, []), ("w", 1, ["y"])], "k string, at int, frames array<string>")
     assert sorted((r.k, r.frames, r.text) for r in evaluation.first_rows(rows, "k", "at", "frames").collect()) == [("v", [], ""), ("w", ["y"], None)]
+
+
+def test_rows_of_other_groups_share_no_cell(spark, monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_BYTES", 50 * 16)
+    monkeypatch.setattr(knn, "CORPUS_BYTES", 50 * 16)
+    rows = [(i, [float(i % 7), float(i % 11) + 1], f"group {i % 8}") for i in range(400)] + [(400, [9.0, 9.0], None)]
+    e = spark.createDataFrame(rows, "id long, v array<double>, label string")
+    found = knn.topk(e.selectExpr("id AS qid", "v", "label"), e.selectExpr("id AS cid", "v", "label"), 1, exclude_self=True, within="label")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    cells = {int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan)}
+    assert cells and max(cells) <= 16  # 64 where every row met every other
+    expected = {}
+    for i, v, label in rows[:400]:
+        rivals = [(-(v[0] * w[0] + v[1] * w[1]), j) for j, w, other in rows[:400] if other == label and j != i]
+        expected[i] = min(rivals)[1]
+    assert {r.qid: r.cid for r in found.collect()} == expected
