@@ -169,3 +169,12 @@ def test_vectors(spark):
     assert one(spark, vectors.l2_normalize(F.col("v")), v=[0.0, 0.0]) == [0.0, 0.0]
     assert one(spark, vectors.prefix(F.col("v"), 2), v=[3.0, 4.0, 9.0]) == pytest.approx([0.6, 0.8])
     assert one(spark, vectors.cosine(F.col("v"), F.col("w")), v=[1.0, 0.0], w=[2.0, 2.0]) == pytest.approx(math.sqrt(0.5))
+
+
+def test_losses_share_scores_of_pairs(spark):
+    rows = spark.createDataFrame([(0, i, [0.1 * i, 1.0], [1.0, 0.2 * i]) for i in range(5)] + [(1, 0, [1.0, 0.0], [1.0, 0.0])], "batch long, slot long, q array<double>, d array<double>")
+    scores = losses.pair_scores(rows)
+    assert scores.count() == 20
+    for stage, alpha in ((1, None), (2, 9.0)):
+        one, two = (sorted(map(tuple, losses.infonce_rows(rows, stage, alpha=alpha, scores=x).collect())) for x in (None, scores.drop("qq", "dd") if stage == 2 else scores))
+        assert one == two and len(one) == 6

@@ -203,7 +203,8 @@ SQL_LONG = "long AS (SELECT batch, slot, label, list_transform(q, lambda x: x *
 def infonce_large_scores(spark: SparkSession, d: str) -> DataFrame:
     """Losses of long vectors: all negatives count, with weights and without, or those under the margin."""
     b = materialise(_long_vectors(rows(spark, d)).select("batch", "slot", "q", "d"), "long")
-    found = {"all": L.infonce_rows(b, 1, margin=float("inf")), "weighted": L.infonce_rows(b, 2, alpha=L.ALPHA), "masked": L.infonce_rows(b, 1)}
+    scores = materialise(L.pair_scores(b), "scores")  # the products once for all three
+    found = {"all": L.infonce_rows(b, 1, margin=float("inf"), scores=scores), "weighted": L.infonce_rows(b, 2, alpha=L.ALPHA, scores=scores), "masked": L.infonce_rows(b, 1, scores=scores)}
     out = None
     for kind, loss in found.items():
         one = L.mean_by_batch(loss, 5).withColumn("kind", F.lit(kind))
