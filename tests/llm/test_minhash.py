@@ -99,6 +99,22 @@ def test_template_pages_are_not_compared_with_all_others(spark, monkeypatch):
     assert share[2] < 0.25 and share[2] < share[1], counts
 
 
+def test_a_class_has_one_rest_for_its_family(spark, monkeypatch):
+    """Buckets of one template have one top, so rests are as many as classes and not as classes times buckets."""
+    counts, bands = [], minhash.rest_bands
+
+    def counted(rests, rules):
+        counts.append((rests.count(), rests.select("node").distinct().count()))
+        return bands(rests, rules)
+
+    monkeypatch.setattr(minhash, "rest_bands", counted)
+    rows = template_pages(200, pool=200, slots=11)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), minhash.Rules(words=3, percent=85, bands=30, rows=5))
+    assert got(found) == sorted(brute(rows, 3, 85), key=repr)
+    ((rests, classes),) = counts
+    assert classes > 20 and rests <= 1.1 * classes, counts
+
+
 def test_ids_beside_a_null(spark):
     big = 1 << 60
     rows = [(big + 1, "a b c d e f"), (big + 2, "a b c d e f"), (None, "x y z"), (None, None), (big + 3, "")]

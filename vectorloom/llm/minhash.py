@@ -361,8 +361,7 @@ class Linker:
     def separate(self, rest: DataFrame) -> None:
         """Links of the members of large mixed buckets: by their rests, or directly where these are small."""
         rules = self.rules
-        tops = self.heads(rest, 1).select("key", F.col("h_node").alias("top"))
-        held = materialise(rest.join(tops, "key"), "held")
+        held = materialise(rest.join(tops(rest), "key"), "held")
         own = held.select("node", "top", "n", "m", "w").distinct()
         one, other = (self.sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("node", "top"))
         rests = own.join(one, "node").join(other, "top").select("node", "top", "n", "m", "w", F.array_except("_node", "_top").alias("others"))
@@ -384,6 +383,17 @@ class Linker:
             self.compare(named, chosen, once)
 
 
+def tops(rest: DataFrame) -> DataFrame:
+    """key, top: the class whose set the members of each bucket are told apart by.
+
+    It is the heaviest hub that any member has met, in whatever bucket, so the buckets of one family have one top and a
+    class has a rest for its family, not one for each of its buckets; where no member has met a hub, the heaviest member.
+    The bound of ``Rules.far`` holds for any set, also one that isn't in the bucket.
+    """
+    heaviest = F.max(F.struct("rate", "hub"))["hub"]
+    return rest.groupBy("key").agg(F.coalesce(heaviest, F.max(F.struct("w", "node"))["node"]).alias("top"))
+
+
 def rest_bands(rests: DataFrame, rules: Rules) -> DataFrame:
     """node, n, m, w, key: the bands of the rests, which meet only under the same hub."""
 
@@ -436,13 +446,13 @@ def _nearest_hubs(pairs: DataFrame, compared: DataFrame) -> DataFrame:
     """What the comparisons tell of each class by the best hub that it was compared with; of a hub, by itself."""
     zero = F.lit(0).cast("long")
     itself = pairs.select(F.col("b").alias("a"), F.col("h_n").alias("n"), "b", "h_n", "rate", F.col("h_n").alias("shared"), zero.alias("lacks0"), zero.alias("lacks1")).distinct()
-    told = F.struct((-F.col("rate")).alias("_r"), F.col("b").alias("hub"), F.col("h_n").alias("hub_n"), (F.col("n") - F.col("shared")).alias("others"), "lacks0", "lacks1")
+    told = F.struct((-F.col("rate")).alias("_r"), F.col("b").alias("hub"), "rate", F.col("h_n").alias("hub_n"), (F.col("n") - F.col("shared")).alias("others"), "lacks0", "lacks1")
     known = compared.select(*itself.columns).unionByName(itself).groupBy(F.col("a").alias("node")).agg(F.min(told).alias("_best"))
     return known.select("node", *[F.col("_best")[c].cast(t).alias(c) for c, t in HUB_COLUMNS])
 
 
 #: What is known of a class by a hub that it was compared with.
-HUB_COLUMNS = (("hub", "long"), ("hub_n", "long"), ("others", "long"), ("lacks0", "long"), ("lacks1", "long"))
+HUB_COLUMNS = (("hub", "long"), ("rate", "long"), ("hub_n", "long"), ("others", "long"), ("lacks0", "long"), ("lacks1", "long"))
 
 
 def compare(pairs: DataFrame, sets: DataFrame, rules: Rules, tell: bool = True) -> DataFrame:
