@@ -133,3 +133,33 @@ def test_fuzz():
         ids, total = tokens.encode(pa.array(half), 1)
         expected = [[*e.ids, 1] for e in library.encode_batch(half, add_special_tokens=False)]
         assert [x.tolist() for x in np.split(ids, np.cumsum(total)[:-1])] == expected
+
+
+def test_known_words_are_looked_up_once():
+    """The second time, each different word of a batch takes one lookup; ids are the same, also of texts without words."""
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, name, *more):
+            Counting.asked += name in words
+            return dict.get(self, name, *more)
+
+        def __getitem__(self, name):
+            Counting.asked += name in words
+            return dict.__getitem__(self, name)
+
+        def __contains__(self, name):
+            Counting.asked += name in words
+            return dict.__contains__(self, name)
+
+    tokens = packing.WordTokens(tokenizer_file("word_bpe_49k.json"))
+    texts = pa.array(["Some words, some more.", "", "one-two été  x3", " "])
+    words = {"Some", "words,", "some", "more.", "one-two", "été", "x3"}
+    ids, total = tokens.encode(texts, 1)
+    tokens.known = Counting(tokens.known)
+    again, sizes = tokens.encode(texts, 1)
+    assert ids.tolist() == again.tolist() and total.tolist() == sizes.tolist()
+    own = [tokens.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts.to_pylist()]
+    assert ids.tolist() == sum(own, []) and total.tolist() == list(map(len, own))
+    assert Counting.asked == len(words)

@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -129,11 +129,18 @@ class WordTokens:
             self.clear()
         if not self.known:
             self.add_others([".", ","])
+        run = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(run < 0)
+        if len(missing):  # words that are known, most of them, are looked up once
+            new = list(map(words.__getitem__, missing.tolist()))
+            self.add_new(new)
+            run[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        return run
+
+    def add_new(self, words: list[str]) -> None:
         known = self.known
         whole, ended, rest = [], [], []
         for x in words:
-            if x in known:
-                continue
             body = x[:-1] if x[-1] in ".," else x
             if body.isalpha() and (body.isascii() or max(body) < "\u0100"):
                 (whole if body is x else ended).append((x, body.lower()))
@@ -145,8 +152,7 @@ class WordTokens:
             both = np.array([(known[s], known[x[-1]]) for x, s in ended]).reshape(-1)
             size = self.size[both].reshape(-1, 2).sum(1)
             self.add([x for x, _ in ended], self.flat[spread(both, self.first, self.size)], size)
-        self.add_others(rest)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.add_others([x for x in rest if x not in known])
 
     def add_others(self, words: list[str]) -> None:
         for k in range(0, len(words), 1 << 14):
@@ -166,16 +172,22 @@ class WordTokens:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the number of ids of each text."""
         words, place, n_words = split(texts)
-        run = self.learn(words.to_pylist())
+        run = np.append(self.learn(words.to_pylist()), self.run_of_end(end_id))
         # the runs of this batch side by side, as most words come again
         own, size = self.flat[spread(run, self.first, self.size)], self.size[run]
-        ids = own[spread(place, np.cumsum(size) - size, size)]
-        before = np.concatenate([[0], np.cumsum(size[place])])
-        ends = before[np.cumsum(n_words)]
-        total = np.diff(ends, prepend=0) + 1
-        out = np.full(len(ids) + len(total), end_id, "<u4")
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(total)), total - 1)] = ids
-        return out, total
+        # the end stands behind the words of each text like one more word
+        ends = np.cumsum(n_words + 1) - 1
+        is_word = np.ones(len(place) + len(ends), bool)
+        is_word[ends] = False
+        whole = np.full(len(is_word), len(words), place.dtype)
+        whole[is_word] = place
+        return own[spread(whole, np.cumsum(size) - size, size)], np.add.reduceat(size[whole], ends - n_words)
+
+    def run_of_end(self, end_id: int) -> int:
+        name = f" {end_id}"  # no word holds a blank
+        if name not in self.known:
+            self.add([name], np.array([end_id], "<u4"), np.ones(1, np.int64))
+        return self.known[name]
 
 
 @lru_cache(maxsize=2)
