@@ -4,6 +4,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,22 @@ def test_rows_of_other_groups_share_no_cell(spark, monkeypatch):
         rivals = [(-(v[0] * w[0] + v[1] * w[1]), j) for j, w, other in rows[:400] if other == label and j != i]
         expected[i] = min(rivals)[1]
     assert {r.qid: r.cid for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_few_scores_of_a_tile_are_ranked(monkeypatch, exclude_self):
+    """Only the largest scores of groups of columns are ranked, and results stay those of brute force, whatever the size of the numbers."""
+    seen, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *more: seen.append(x.size) or partition(x, *more))
+    r = np.random.default_rng(5)
+    for scale in (1.0, 1e-150, 1e100):
+        q, x = r.normal(size=(30, 8)) * scale, r.normal(size=(5000, 8))
+        x[1::2] = x[::2]  # ties
+        listed = lambda v: pa.array(list(v), pa.list_(pa.float64()))
+        found = knn.nearest(pa.table({"qid": pa.array(range(30)), "v": listed(q)}), pa.table({"cid": pa.array(range(5000)), "v": listed(x)}), 10, exclude_self)
+        for i in range(30):
+            score = (x * q[i]).sum(1)
+            order = [c for c in np.lexsort((np.arange(5000), -score)).tolist() if not (exclude_self and c == i)][:10]
+            own = found.filter(pc.equal(found["qid"], i))
+            assert own["cid"].to_pylist() == order and own["score"].to_pylist() == score[order].tolist()
+    assert sum(seen) < 3 * 30 * 5000 / 16
