@@ -173,3 +173,9 @@ def test_few_scores_of_a_tile_are_ranked(monkeypatch, exclude_self):
             own = found.filter(pc.equal(found["qid"], i))
             assert own["cid"].to_pylist() == order and own["score"].to_pylist() == score[order].tolist()
     assert sum(seen) < 3 * 30 * 5000 / 16
+
+
+def test_an_infinite_vector_hides_no_other():
+    listed = lambda v: pa.array(v, pa.list_(pa.float64()))
+    q, x = pa.table({"qid": [0], "v": listed([[1.0, 1.0]])}), pa.table({"cid": [1, 2, 3], "v": listed([[2.0, 1.0], [float("inf"), 1.0], [1.0, 1.0]])})
+    assert knn.nearest(q, x, 3)["cid"].to_pylist() == [2, 1, 3]
